@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.ordered import BLOCK_LINES, with_block
-from loomlog.session import cut
+from loomlog.session import cut, ship_by_value
 from loomlog.sources.lines import entries, has_thinking
 
+ship_by_value(__name__)
+
 # Hop limits of the source tools (fixed values).
 CHAIN_LIMIT = 50_000
 RESUME_LIMIT = 10_000

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on. Duplicate JSON keys follow the "last one wins"
@@ -19,6 +21,11 @@ RUNTIME_SETTINGS = {
 }
 
 
+def ship_by_value(module_name: str) -> None:
+    """Send a module's functions to the workers as code, so they need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session; safe to call repeatedly."""
     for key, value in RUNTIME_SETTINGS.items():
