@@ -124,8 +124,18 @@ def looks_like_initial_context(text: Column) -> Column:
 
 
 def fixed1(x: Column) -> Column:
-    """One decimal, rounded half away from zero on the exact binary value."""
-    return F.format_string("%.1f", x)
+    """One decimal, nearest to the exact binary value, ties upward.
+
+    Whether x lies above the middle of two tenths is decided on the exact
+    product 20 * x (its rounding error is recovered by splitting x).
+    """
+    tenths = F.floor(x * 10)
+    product = x * 20
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * 20 - product) + (x - high) * 20
+    up = (product - (tenths * 2 + 1)) + error >= 0
+    n = tenths + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(n / 10).cast("bigint").cast("string"), F.lit("."), (n % 10).cast("bigint").cast("string"))
 
 
 def format_k(value: Column, rounded: bool = False) -> Column:

@@ -4,6 +4,10 @@
 of counts per text and scales with the rows. The ordered form (U2) anchors
 lines that are unique on both sides and keeps the longest run of anchors in the
 same order, then compares the stretches between anchors from both ends.
+
+An anchor in order with every other anchor belongs to every longest run. Those
+are found with running maxima, so only the stretches between them, the places
+where the versions really differ, go to a grouped function.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.session import ship_by_value
+from loomlog.operators.ordered import Running, running
+from loomlog.session import cut, ship_by_value
 
 ship_by_value(__name__)
 
@@ -56,28 +61,37 @@ def _increasing(values: list[int]) -> list[int]:
     return run[::-1]
 
 
-def _anchors(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+def _anchors(left: list[str | None], right: list[str | None]) -> list[tuple[int, int]]:
     def single(texts):
         seen = pd.Series(range(len(texts)), index=texts, dtype="int64")
-        return seen[~seen.index.duplicated(keep=False)]
+        return seen[~seen.index.duplicated(keep=False) & seen.index.notna()]
 
     pairs = pd.concat([single(left), single(right)], axis=1, join="inner", keys=["a", "b"]).sort_values("a")
     rows = list(zip(pairs["a"].tolist(), pairs["b"].tolist()))
     return [rows[i] for i in _increasing([b for _, b in rows])]
 
 
-def _ordered_ops(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> list[tuple]:
-    """Edit script of two numbered texts; stretches wait on a stack, so depth is no limit."""
+def _ordered_ops(a: list[tuple], b: list[tuple]) -> list[tuple]:
+    """Edit script of one stretch; rows are (line, text, is_anchor).
+
+    Open stretches wait on a stack, so nesting has no limit. The first level
+    uses the marked anchors if there are any, deeper levels their own.
+    """
     out: list[tuple] = []
     todo: list[tuple] = [("range", 0, len(a), 0, len(b))]
     equal = lambda i, j: ("equal", a[i][0], b[j][0], a[i][1])
+    marked = any(row[2] for row in a)
     while todo:
         step = todo.pop()
         if step[0] != "range":
             out.append(step)
             continue
         _, a0, a1, b0, b1 = step
-        found = _anchors([t for _, t in a[a0:a1]], [t for _, t in b[b0:b1]]) if a0 < a1 and b0 < b1 else []
+        found = []
+        if a0 < a1 and b0 < b1:
+            usable = lambda rows: [text if anchor or not marked else None for _, text, anchor in rows]
+            found = _anchors(usable(a[a0:a1]), usable(b[b0:b1]))
+        marked = False
         if found:
             parts, i0, j0 = [], a0, b0
             for i, j in ((a0 + x, b0 + y) for x, y in found):
@@ -91,28 +105,53 @@ def _ordered_ops(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> list[tup
         same = 0
         while a1 - same > a0 and b1 - same > b0 and a[a1 - same - 1][1] == b[b1 - same - 1][1]:
             same += 1
-        out += [("delete", n, None, t) for n, t in a[a0:a1 - same]]
-        out += [("insert", None, n, t) for n, t in b[b0:b1 - same]]
+        out += [("delete", row[0], None, row[1]) for row in a[a0:a1 - same]]
+        out += [("insert", None, row[0], row[1]) for row in b[b0:b1 - same]]
         out += [equal(a1 - k, b1 - k) for k in range(same, 0, -1)]
     return out
 
 
-def _per_session(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    session = (left if len(left) else right)["session_id"].iloc[0]
-    rows = lambda pdf: list(pdf.sort_values("line")[["line", "text"]].itertuples(index=False, name=None))
-    ops = _ordered_ops(rows(left), rows(right))
-    out = pd.DataFrame(ops, columns=["kind", "a_line", "b_line", "text"])
-    out.insert(0, "pos", range(1, len(out) + 1))
-    out.insert(0, "session_id", session)
+def _per_stretch(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    key = (left if len(left) else right).iloc[0]
+    rows = lambda pdf: list(pdf.sort_values("line")[["line", "text", "anchor"]].itertuples(index=False, name=None))
+    out = pd.DataFrame(_ordered_ops(rows(left), rows(right)), columns=["kind", "a_line", "b_line", "text"])
+    out.insert(0, "k", range(1, len(out) + 1))
+    out.insert(0, "stretch", key["stretch"])
+    out.insert(0, "session_id", key["session_id"])
     return out.astype({"a_line": "Int64", "b_line": "Int64"})
 
 
-def ordered_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(session_id, pos, kind, a_line, b_line, text).
+def _single(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy("session_id", "text").agg(F.count(F.lit(1)).alias("_n"), F.min("line").alias(name)).where(
+        "_n = 1").drop("_n")
 
-    Lines both versions share at their start and end never reach the grouped
-    step, so a group holds the changed stretch of one session, not the session.
-    """
-    schema = "session_id string, pos bigint, kind string, a_line bigint, b_line bigint, text string"
-    left, right = (df.select("session_id", "line", "text") for df in (a, b))
-    return left.groupBy("session_id").cogroup(right.groupBy("session_id")).applyInPandas(_per_session, schema)
+
+def ordered_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(session_id, stretch, k, kind, a_line, b_line, text), in order of (stretch, k)."""
+    anchors = _single(a, "a_line").join(_single(b, "b_line"), ["session_id", "text"])
+    anchors = cut(anchors)
+    up = running(anchors, {"_hi": Running("max", F.col("b_line"), before=True)}, order=("a_line",))
+    both = running(
+        up.withColumn("_rev", -F.col("a_line")), {"_lo": Running("max", -F.col("b_line"), before=True)}, order=("_rev",))
+    settled = cut(both.where(
+        (F.col("_hi").isNull() | (F.col("_hi") < F.col("b_line")))
+        & (F.col("_lo").isNull() | (-F.col("_lo") > F.col("b_line")))).select("session_id", "text", "a_line", "b_line"))
+
+    def placed(df: DataFrame, line: str) -> DataFrame:
+        fixed = settled.select("session_id", F.col(line).alias("line"), F.col("a_line").alias("_at"))
+        loose = anchors.select("session_id", F.col(line).alias("line"), F.lit(True).alias("_anchor"))
+        rows = df.select("session_id", "line", "text").join(fixed, ["session_id", "line"], "left").join(
+            loose, ["session_id", "line"], "left")
+        spread = running(rows, {"_s": Running("last", F.col("_at"))})
+        return spread.where("_at is null").select(
+            "session_id", F.coalesce("_s", F.lit(0).cast("bigint")).alias("stretch"), "line", "text",
+            F.coalesce("_anchor", F.lit(False)).alias("anchor"))
+
+    keys = ["session_id", "stretch"]
+    schema = "session_id string, stretch bigint, k bigint, kind string, a_line bigint, b_line bigint, text string"
+    changed = placed(a, "a_line").groupBy(*keys).cogroup(placed(b, "b_line").groupBy(*keys)).applyInPandas(
+        _per_stretch, schema)
+    kept = settled.select(
+        "session_id", F.col("a_line").alias("stretch"), F.lit(0).cast("bigint").alias("k"), F.lit("equal").alias("kind"),
+        "a_line", "b_line", "text")
+    return kept.unionByName(changed)

@@ -19,9 +19,9 @@ BLOCK_LINES = 1 << 16
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: ``sum`` or ``last`` non-null, up to or strictly before a row."""
+    """A running value: ``sum``, ``max`` or ``last`` non-null, up to or strictly before a row."""
 
-    how: str  # "sum" | "last"
+    how: str  # "sum" | "max" | "last"
     expr: Column
     before: bool = False
 
@@ -53,6 +53,9 @@ def running(
         if spec.how == "sum":
             inner[f"_{name}_in"] = F.coalesce(F.sum(x).over(frame), F.lit(0))
             totals[f"_{name}_t"] = F.sum(x)
+        elif spec.how == "max":
+            inner[f"_{name}_in"] = F.max(x).over(frame)
+            totals[f"_{name}_t"] = F.max(x)
         else:
             inner[f"_{name}_in"] = F.last(x, ignorenulls=True).over(frame)
             totals[f"_{name}_t"] = F.max_by(x, F.when(x.isNotNull(), F.struct(*order)))
@@ -64,6 +67,8 @@ def running(
             (
                 F.coalesce(F.sum(f"_{name}_t").over(prior), F.lit(0))
                 if spec.how == "sum"
+                else F.max(f"_{name}_t").over(prior)
+                if spec.how == "max"
                 else F.last(f"_{name}_t", ignorenulls=True).over(prior)
             ).alias(f"_{name}_c")
             for name, spec in values.items()
@@ -74,6 +79,8 @@ def running(
         name: (
             F.col(f"_{name}_in") + F.col(f"_{name}_c")
             if spec.how == "sum"
+            else F.greatest(f"_{name}_in", f"_{name}_c")
+            if spec.how == "max"
             else F.coalesce(f"_{name}_in", f"_{name}_c")
         )
         for name, spec in values.items()

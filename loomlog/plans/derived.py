@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.operators.ordered import Running, running
+from loomlog.operators.graph import active_chain
+from loomlog.operators.stats import message_tokens
 from loomlog.session import configure
-from loomlog.sources.lines import flat_lines, linked_lines, parse_lines
+from loomlog.sources.documents import read_log
+from loomlog.sources.lines import flat_lines, linked_lines, parse_lines, split_lines
 from loomlog.sources.tables import once
 
 EPOCH = 1704067200  # 2024-01-01T00:00:00Z
@@ -242,3 +245,86 @@ def linked(spark: SparkSession, sf_dir: str, which: str = "chats") -> DataFrame:
 def flat(spark: SparkSession, sf_dir: str, which: str = "rollouts") -> DataFrame:
     """Typed lines of the flat format, written once per application."""
     return once(spark, sf_dir, f"flat_{which}", lambda: flat_lines(parsed_table(spark, sf_dir, which)))
+
+
+def chain(spark: SparkSession, sf_dir: str, which: str = "chats") -> DataFrame:
+    """Active chains, written once per application."""
+    return once(spark, sf_dir, f"chain_{which}", lambda: active_chain(linked(spark, sf_dir, which)))
+
+
+def chain_sizes(spark: SparkSession, sf_dir: str, which: str = "chats") -> DataFrame:
+    """Approximate tokens of the chain's messages, written once per application."""
+    return once(spark, sf_dir, f"sizes_{which}", lambda: message_tokens(
+        linked(spark, sf_dir, which), chain(spark, sf_dir, which)))
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "event_log", lambda: read_log(log_lines(spark, sf_dir)))
+
+
+def chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing for the conversations: path, project directory, mtime, size."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("project_dir", F.expr("concat('-work-p', conv_id % 10)")).selectExpr(
+        "cast(conv_id as string) as session_id", "concat('/logs/', project_dir, '/', conv_id, '.jsonl') as path", "project_dir",
+        f"timestamp_seconds({EPOCH} + (conv_id * 37) % 1000 * 3600) as mtime", "n * 100 as size",
+        "concat('/work/p', conv_id % 10) as cwd")
+
+
+def rollout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing for the event sessions: two files for every third user (an older copy)."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.selectExpr(
+        "*", "explode(case when user_id % 3 = 0 then array(0, 1) else array(0) end) as old",
+    ).selectExpr(
+        "cast(user_id as string) as session_id", "concat('/rollouts/', old, '/rollout-', user_id, '.jsonl') as path",
+        f"timestamp_seconds({EPOCH} + (user_id * 53) % 997 * 3600 - old * 86400) as mtime", "n * 100 as size",
+        "concat('/work/p', user_id % 10) as cwd")
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Working directories of the conversations, with both forms of their directory name."""
+    rows = table(spark, sf_dir, "conversations").selectExpr("concat('/work/p', conv_id % 10) as cwd").distinct()
+    return rows.selectExpr(
+        "cwd as project", "cwd",
+        "explode(array(struct(translate(cwd, '/.', '--') as project_dir, 2 as name_version), "
+        "struct(translate(cwd, '/', '-') as project_dir, 1 as name_version))) as d",
+    ).selectExpr("project", "cwd", "d.project_dir", "d.name_version")
+
+
+def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracking state of some sessions: folder, state, log and backup times."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("e")).where("user_id % 4 <> 0")
+    at = lambda expr: f"timestamp_seconds({EPOCH} + {expr} * 3600)"
+    return rows.selectExpr(
+        "cast(user_id as string) as session_id", f"{at('user_id % 50')} as dir_mtime",
+        f"case when user_id % 2 = 0 then {at('(user_id * 7) % 600')} end as state_mtime",
+        f"case when user_id % 3 = 0 then {at('(user_id * 11) % 700')} end as log_mtime",
+        "cast(null as timestamp) as backups_mtime",
+    ).withColumn("tracked_activity", F.greatest("dir_mtime", "state_mtime", "log_mtime", "backups_mtime"))
+
+
+def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending compactions of some sessions."""
+    return table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 5 < 4").selectExpr(
+        "cast(user_id as string) as session_id",
+        "case user_id % 5 when 0 then 'running' when 1 then 'ready' when 2 then 'failed' else 'stale' end as status")
+
+
+def locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 6 = 3").selectExpr(
+        "cast(user_id as string) as session_id")
+
+
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of every document as numbered lines (sentences).
+
+    The second drops some sentences, marks some and moves the first one to the end.
+    """
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "cast(doc_id as string) as session_id", "doc_id", "replace(text, '. ', '.\\n') as value")
+    a = split_lines(docs).selectExpr("session_id", "doc_id", "line", "raw as text")
+    b = a.where("(doc_id + line) % 11 <> 3").selectExpr(
+        "session_id", "case when line = 1 and doc_id % 3 = 0 then cast(1000000 as bigint) else line end as line",
+        "case when (doc_id + line) % 13 = 5 then concat(text, ' !') else text end as text")
+    return a.select("session_id", "line", "text"), b
