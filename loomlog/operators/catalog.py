@@ -71,7 +71,7 @@ def rank_linked(
     ``files``: session_id, path, project_dir, mtime, size. ``projects``: project,
     cwd, project_dir (one row per accepted directory name).
     """
-    pool = _newest(files.join(projects.select("project", "cwd", "project_dir").distinct(), "project_dir"), ["project"], max_candidates)
+    pool = _newest(files.drop("cwd").join(projects.select("project", "cwd", "project_dir").distinct(), "project_dir"), ["project"], max_candidates)
     top = head(parsed, 50)
     v = F.col("v")
     sid, cwd = J.as_id(v, "$.sessionId"), J.as_id(v, "$.cwd")

@@ -12,11 +12,14 @@ where the versions really differ, go to a grouped function.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter, defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.operators.ordered import Running, running
+from loomlog.operators.ordered import BLOCK_LINES, Running, running
 from loomlog.session import cut, ship_by_value
 
 ship_by_value(__name__)
@@ -44,8 +47,6 @@ def summary(ops: DataFrame, n: str | None = None) -> DataFrame:
 
 def _increasing(values: list[int]) -> list[int]:
     """Positions of a longest increasing run."""
-    from bisect import bisect_left
-
     ends: list[int] = []
     at: list[int] = []
     back = [-1] * len(values)
@@ -63,12 +64,12 @@ def _increasing(values: list[int]) -> list[int]:
 
 def _anchors(left: list[str | None], right: list[str | None]) -> list[tuple[int, int]]:
     def single(texts):
-        seen = pd.Series(range(len(texts)), index=texts, dtype="int64")
-        return seen[~seen.index.duplicated(keep=False) & seen.index.notna()]
+        counts = Counter(texts)
+        return {t: i for i, t in enumerate(texts) if t is not None and counts[t] == 1}
 
-    pairs = pd.concat([single(left), single(right)], axis=1, join="inner", keys=["a", "b"]).sort_values("a")
-    rows = list(zip(pairs["a"].tolist(), pairs["b"].tolist()))
-    return [rows[i] for i in _increasing([b for _, b in rows])]
+    other = single(right)
+    rows = [(i, other[t]) for t, i in single(left).items() if t in other]
+    return [rows[i] for i in _increasing([j for _, j in rows])]
 
 
 def _ordered_ops(a: list[tuple], b: list[tuple]) -> list[tuple]:
@@ -111,14 +112,20 @@ def _ordered_ops(a: list[tuple], b: list[tuple]) -> list[tuple]:
     return out
 
 
-def _per_stretch(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    key = (left if len(left) else right).iloc[0]
-    rows = lambda pdf: list(pdf.sort_values("line")[["line", "text", "anchor"]].itertuples(index=False, name=None))
-    out = pd.DataFrame(_ordered_ops(rows(left), rows(right)), columns=["kind", "a_line", "b_line", "text"])
-    out.insert(0, "k", range(1, len(out) + 1))
-    out.insert(0, "stretch", key["stretch"])
-    out.insert(0, "session_id", key["session_id"])
-    return out.astype({"a_line": "Int64", "b_line": "Int64"})
+def _per_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Scripts of all changed stretches that start in one block of lines."""
+    session = (left if len(left) else right)["session_id"].iloc[0]
+    sides: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+    for side, pdf in enumerate((left, right)):
+        for stretch, line, text, anchor in pdf.sort_values("line")[["stretch", "line", "text", "anchor"]].itertuples(
+                index=False, name=None):
+            sides[stretch][side].append((line, text, anchor))
+    out = [
+        (session, stretch, k, *op)
+        for stretch, (a, b) in sides.items() for k, op in enumerate(_ordered_ops(a, b), 1)
+    ]
+    columns = ["session_id", "stretch", "k", "kind", "a_line", "b_line", "text"]
+    return pd.DataFrame(out, columns=columns).astype({"a_line": "Int64", "b_line": "Int64"})
 
 
 def _single(df: DataFrame, name: str) -> DataFrame:
@@ -145,12 +152,13 @@ def ordered_diff(a: DataFrame, b: DataFrame) -> DataFrame:
         spread = running(rows, {"_s": Running("last", F.col("_at"))})
         return spread.where("_at is null").select(
             "session_id", F.coalesce("_s", F.lit(0).cast("bigint")).alias("stretch"), "line", "text",
-            F.coalesce("_anchor", F.lit(False)).alias("anchor"))
+            F.coalesce("_anchor", F.lit(False)).alias("anchor")
+        ).withColumn("block", F.floor(F.col("stretch") / BLOCK_LINES))
 
-    keys = ["session_id", "stretch"]
+    keys = ["session_id", "block"]
     schema = "session_id string, stretch bigint, k bigint, kind string, a_line bigint, b_line bigint, text string"
     changed = placed(a, "a_line").groupBy(*keys).cogroup(placed(b, "b_line").groupBy(*keys)).applyInPandas(
-        _per_stretch, schema)
+        _per_block, schema)
     kept = settled.select(
         "session_id", F.col("a_line").alias("stretch"), F.lit(0).cast("bigint").alias("k"), F.lit("equal").alias("kind"),
         "a_line", "b_line", "text")

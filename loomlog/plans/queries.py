@@ -954,7 +954,7 @@ bound as (select a.session_id, arg_min(a.line, depth) bline from a join chain on
 gone as (select r.* from reach r left join bound using (session_id) left join roots using (session_id) where not (bline is null and rline is not null and rline = r.line)),
 snap as (select session_id, min(line) sline from a where typ = 'file-history-snapshot' group by session_id), ends as (select session_id, max(line) eline from a group by session_id),
 ins as (select h.session_id, coalesce(bline, case when rline is not null then (case when rmeta then rline end) else coalesce(sline, 0) end) anchor
-  from hit h left join bound using (session_id) left join roots using (session_id) left join snap using (session_id))
+  from (select distinct session_id from gone) h left join bound using (session_id) left join roots using (session_id) left join snap using (session_id))
 select a.session_id, a.line, 0 sub from a where not exists (select 1 from gone g where g.session_id = a.session_id and g.line = a.line)
 union all select i.session_id, case when g.line is not null then eline else anchor end, 1 from ins i join ends using (session_id) left join gone g on g.session_id = i.session_id and g.line = i.anchor where anchor is not null"""))
 def compact(spark, sf_dir):
