@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomlog.operators.ordered import Running, running
 from loomlog.operators.graph import active_chain
 from loomlog.operators.stats import message_tokens
-from loomlog.session import configure
+from loomlog.session import configure, cut, spread
 from loomlog.sources.documents import read_log
 from loomlog.sources.lines import flat_lines, linked_lines, parse_lines, split_lines
 from loomlog.sources.tables import once
@@ -23,8 +23,13 @@ EPOCH = 1704067200  # 2024-01-01T00:00:00Z
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; a scan with fewer splits than cores is spread first.
+
+    Building JSON text multiplies the work per row, and a small compressed file
+    is a single split. With enough splits there is no exchange.
+    """
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _json(*fields: str) -> str:
@@ -179,10 +184,8 @@ def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(user_id as string) as session_id", "cast(event_id + 1 as bigint) as line", "event_id as e",
         "event_type", "ts",
     )
-    linked = running(events, {
-        "prev": Running("last", F.col("e"), before=True),
-    })
-    linked = running(linked, {"prev2": Running("last", F.col("prev"), before=True)})
+    linked = running(events, {"prev": Running("last", F.col("e"), before=True)})
+    linked = cut(running(linked, {"prev2": Running("last", F.col("prev"), before=True)}))
     raw = (
         "concat('{\"type\":\"', who, '\",\"uuid\":\"', session_id, '-', e, '\",\"parentUuid\":', "
         "coalesce(concat('\"', par, '\"'), 'null'), ',\"sessionId\":\"run-', session_id, "
@@ -224,8 +227,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """Raw lines of one derivation, parsed; nothing is reused between calls."""
-    return parse_lines(BUILDERS[which](spark, sf_dir))
+    """Raw lines of one derivation, parsed anew on every call."""
+    return parse_lines(raw_table(spark, sf_dir, which))
 
 
 BUILDERS = {
@@ -233,18 +236,23 @@ BUILDERS = {
 }
 
 
+def raw_table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """Raw lines as a stored table, in place of the files a real job would read."""
+    return spread(once(spark, sf_dir, f"raw_{which}", lambda: BUILDERS[which](spark, sf_dir)))
+
+
 def parsed_table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    return once(spark, sf_dir, f"parsed_{which}", lambda: parsed(spark, sf_dir, which))
+    return once(spark, sf_dir, f"parsed_{which}", lambda: parse_lines(raw_table(spark, sf_dir, which)))
 
 
 def linked(spark: SparkSession, sf_dir: str, which: str = "chats") -> DataFrame:
     """Typed lines of the linked format, written once per application."""
-    return once(spark, sf_dir, f"linked_{which}", lambda: linked_lines(parsed_table(spark, sf_dir, which)))
+    return once(spark, sf_dir, f"linked_{which}", lambda: linked_lines(spread(parsed_table(spark, sf_dir, which))))
 
 
 def flat(spark: SparkSession, sf_dir: str, which: str = "rollouts") -> DataFrame:
     """Typed lines of the flat format, written once per application."""
-    return once(spark, sf_dir, f"flat_{which}", lambda: flat_lines(parsed_table(spark, sf_dir, which)))
+    return once(spark, sf_dir, f"flat_{which}", lambda: flat_lines(spread(parsed_table(spark, sf_dir, which))))
 
 
 def chain(spark: SparkSession, sf_dir: str, which: str = "chats") -> DataFrame:
@@ -259,7 +267,7 @@ def chain_sizes(spark: SparkSession, sf_dir: str, which: str = "chats") -> DataF
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "event_log", lambda: read_log(log_lines(spark, sf_dir)))
+    return once(spark, sf_dir, "event_log", lambda: read_log(raw_table(spark, sf_dir, "log")))
 
 
 def chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,15 @@ def store_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/loomlog/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores; otherwise no exchange.
+
+    For row-wise work that is heavy per byte, such as parsing a small file.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage of an iterated DataFrame with a table in the shared folder.
 
