@@ -169,10 +169,6 @@ def progress_bar(current: Column, threshold: Column, width: int = 8) -> Column:
     return F.when(current.isNotNull() & (threshold > 0), bar)
 
 
-def _json_number(value: Column) -> Column:
-    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
-
-
 def log_line(row: dict[str, Column]) -> Column:
     """One readable line per compaction log event."""
     cleaned = J.js_trim(F.regexp_replace(row["error"], r"[\s\u00A0\uFEFF]+", " "))

@@ -24,21 +24,24 @@ def safe_top(age_gap_hours: Column, score_gap: Column) -> Column:
     return (age_gap_hours >= 6) | (score_gap >= 30)
 
 
-def ranked(scored: DataFrame, key: list[str]) -> DataFrame:
-    """Rank candidates by activity, score, mtime and path; the winner's confidence obeys W9.
+def ranked(scored: DataFrame, key: list[str], keep: int = 6) -> DataFrame:
+    """The best candidate and its alternatives per key, by activity, score, mtime and path.
 
-    The key is a project, so a window per key holds its candidates (capped by
-    the caller's ``max_candidates``).
+    The report is a top list (``keep`` rows); every task keeps only its own best
+    rows before the exchange, so the size of a project does not matter. The
+    winner's confidence obeys W9.
     """
-    w = Window.partitionBy(*key).orderBy(
-        F.col("activity").desc(), F.col("score").desc(), F.col("mtime").desc(), F.col("path"))
+    order = [F.col("activity").desc(), F.col("score").desc(), F.col("mtime").desc(), F.col("path").asc()]
+    top = first_rows(scored, max(keep, 2), order, tuple(key))
+    w = Window.partitionBy(*key).orderBy(*order)
     gap_h = (F.unix_millis("activity") - F.unix_millis(F.lead("activity").over(w))) / 3_600_000
     gap_s = F.col("score") - F.lead("score").over(w)
     base = confidence(F.col("score"), F.col("method"))
     doubtful = (F.col("rank") == 1) & (base == "high") & ~F.coalesce(safe_top(F.col("_gh"), F.col("_gs")), F.lit(True))
     return (
-        scored.withColumn("rank", F.row_number().over(w)).withColumn("_gh", gap_h).withColumn("_gs", gap_s)
+        top.withColumn("rank", F.row_number().over(w)).withColumn("_gh", gap_h).withColumn("_gs", gap_s)
         .withColumn("confidence", F.when(doubtful, "medium").otherwise(base)).drop("_gh", "_gs")
+        .where(F.col("rank") <= keep)
     )
 
 
@@ -64,14 +67,16 @@ def has_messages(parsed: DataFrame, n_head: int = 50, n_tail: int = 500) -> Data
 
 
 def rank_linked(
-    parsed: DataFrame, files: DataFrame, projects: DataFrame, tail_lines: int = 500, max_candidates: int = 200,
+    parsed: DataFrame, files: DataFrame, projects: DataFrame, tail_lines: int = 500, max_candidates: int | None = 200,
 ) -> DataFrame:
     """Candidates of each project, best first.
 
     ``files``: session_id, path, project_dir, mtime, size. ``projects``: project,
     cwd, project_dir (one row per accepted directory name).
     """
-    pool = _newest(files.drop("cwd").join(projects.select("project", "cwd", "project_dir").distinct(), "project_dir"), ["project"], max_candidates)
+    pool = files.drop("cwd").join(projects.select("project", "cwd", "project_dir").distinct(), "project_dir")
+    if max_candidates is not None:
+        pool = _newest(pool, ["project"], max_candidates)
     top = head(parsed, 50)
     v = F.col("v")
     sid, cwd = J.as_id(v, "$.sessionId"), J.as_id(v, "$.cwd")

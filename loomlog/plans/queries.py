@@ -1091,9 +1091,9 @@ ff as (select cast(user_id as varchar) session_id, user_id u, o, concat('/rollou
  bool_or(not bad and sid = session_id) own, max(sec) filter (not bad) act from al group by session_id),
 sc as (select fl.session_id, c % 10 p, path, mt, 100 - (case when good then 10 else 0 end) + (case when good then 20 else 0 end) + (case when good then 20 else -100 end) - (case when bad then 50 else 0 end) score, coalesce(act, mt) act
  from fl join nh using (session_id) where talks)
-select concat('/work/p', p) project, session_id, score::bigint score, row_number() over (partition by p order by act desc, score desc, mt desc, path) rank from sc"""))
+select concat('/work/p', p) project, session_id, score::bigint score, row_number() over (partition by p order by act desc, score desc, mt desc, path) rank from sc qualify rank <= 6"""))
 def rank_linked(spark, sf_dir):
-    rows = CT.rank_linked(D.parsed_table(spark, sf_dir, "chats"), D.chat_files(spark, sf_dir), D.projects(spark, sf_dir), max_candidates=1_000_000)
+    rows = CT.rank_linked(D.parsed_table(spark, sf_dir, "chats"), D.chat_files(spark, sf_dir), D.projects(spark, sf_dir), max_candidates=None)
     return rows.select("project", "session_id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

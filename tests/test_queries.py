@@ -1,0 +1,53 @@
+"""Registered queries against their SQL twins, and the driver contract."""
+
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_module
+
+TABLES = "events documents pages conversations labels benchmark embeddings".split()
+# A spread over the modules; the long rewrites have their own tests on small sessions.
+SOME = (
+    "s1_line_kinds", "s4_format_detect", "s10_session_states", "s12_runs", "a2_session_stats", "a6_call_stats", "w1_segments",
+    "j1_broken_parent", "j2_orphan_tools", "j3_merged_thinking", "v9_flat_issues", "v10_legacy_issues", "g2_chain", "g3_turns",
+    "g5_relink", "w2_token_plan", "w3_prompt_fit", "j8_repair_links", "x5_fix_flat", "x6_remove_flat", "x10_migrate",
+    "x14_fork", "t1_rank_linked", "t4_catalog", "k5_backup_retention", "u4_version_diff", "p7_prompt_text", "p17_log_lines",
+    "m1_status", "m2_status_flat", "m3_trigger", "m5_quiet_sessions", "m7_counters", "a12_heartbeat_gaps",
+)
+
+
+def plain(value):
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return "NULL"
+    if isinstance(value, bool):
+        return str(int(value))
+    return repr(round(value, 6) + 0.0) if isinstance(value, float) else str(value)
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", SOME)
+def test_query_equals_its_twin(spark, sf, duck, name):
+    rows = entry_module.queries()[name](spark, sf)
+    columns = sorted(rows.columns)
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in rows.collect())
+    result = duck.execute(entry_module.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    at = [names.index(c) for c in columns]
+    want = sorted(tuple(plain(r[i]) for i in at) for r in result.fetchall())
+    assert got == want and got
+
+
+def test_contract(spark):
+    queries, twins = entry_module.queries(), entry_module.oracle_sql()
+    assert set(twins) <= set(queries) and len(queries) > 100
+    assert entry_module.entry(spark).count() > 0
