@@ -1442,3 +1442,33 @@ def initial_context(spark, sf_dir):
 @register("f9_noise", sql("b", "select session_id, line, typ why from b where typ in ('turn_context', 'event_msg')"))
 def noise(spark, sf_dir):
     return D.flat(spark, sf_dir).select("session_id", "line", RF.noise_reason().alias("why")).where("why is not null")
+
+
+@register("p3_tool_refs", sql("al a refs", "select session_id, line, side, id tool_id from refs"))
+def tool_refs(spark, sf_dir):
+    return L.tool_refs(D.linked(spark, sf_dir)).select("session_id", "line", "side", "tool_id")
+
+
+@register("p4_thinking_first", sql("al a", """select session_id, line, array_to_string([x for x in [case when think then 'thinking' end, case when has_res then 'tool_result' end, case when has_late then 'tool_result' end, 'text', case when has_use then 'tool_use' end] if x is not null], ',') block_types
+from a where role = 'assistant' or has_res"""))
+def thinking_first(spark, sf_dir):
+    rows = L.entries(D.linked(spark, sf_dir)).where(F.size("blocks") > 0)
+    ordered = F.transform(L.thinking_first(F.col("blocks")), lambda b: b["type"])
+    return rows.select("session_id", "line", F.array_join(ordered, ",").alias("block_types"))
+
+
+@register("p9_message_tokens", sql("recursive al a chain sizes", "select session_id, line, tokens approx_tokens from sizes"))
+def message_tokens(spark, sf_dir):
+    return D.chain_sizes(spark, sf_dir).select("session_id", "line", "approx_tokens")
+
+
+@register("m10_control_windows", """select user_id::varchar run_id, epoch_ms(time_bucket(interval 1 hour, ts)) window_ms, count(*) commands, case when arg_max(event_type, (ts, event_id)) = 'click' then 'manual' else 'auto' end reason
+from events where event_type in ('click', 'view') group by all""")
+def control_windows(spark, sf_dir):
+    """Batch twin of the control-log stream: pending commands of a window count once."""
+    from loomlog.streaming.monitor import follow_control_log
+
+    rows = D.table(spark, sf_dir, "events").selectExpr(
+        "cast(user_id as string) as run_id", "case when event_type in ('click', 'view') then 'reload' else 'stop' end as cmd",
+        "cast(ts as timestamp) as ts", "case when event_type = 'click' then 'manual' else 'auto' end as reason")
+    return follow_control_log(rows, width="1 hour").select("run_id", F.unix_millis("window_start").alias("window_ms"), "commands", "reason")

@@ -50,15 +50,35 @@ def rewritten(rewrite):
     return [json.loads(r.raw) for r in rewrite.lines.orderBy("line", "sub").collect()]
 
 
+def codes_of(spark, cases):
+    """Issue codes of several sessions in one job."""
+    lines = None
+    for name, values in cases.items():
+        part = to_lines(spark, values, name)
+        lines = part if lines is None else lines.unionByName(part)
+    flat = cut(L.flat_lines(cut(L.parse_lines(cut(lines)))))
+    found = {name: [] for name in cases}
+    for r in GP.FLAT.issues(flat).collect():
+        found[r.session_id].append(r.code.split(".")[1])
+    return {name: sorted(c) for name, c in found.items()}
+
+
 def test_pairs(spark):
-    assert codes(typed(spark, [META, call("a"), output("a")])) == []
-    assert codes(typed(spark, [META, call("a", "local_shell_call"), output("a")])) == []
-    assert codes(typed(spark, [META, call("a"), output("a", "custom_tool_call_output")])) == ["missing_output", "orphan_output"]
-    assert codes(typed(spark, [META, output("a"), call("a")])) == ["output_before_call"]
-    assert codes(typed(spark, [META, call("a"), output("a"), output("a")])) == ["duplicate_outputs_for_call_id"]
-    assert codes(typed(spark, [META, call("a"), call("a"), output("a")])) == ["duplicate_call_id"]
-    assert codes(typed(spark, [META, call("")])) == ["function_call_missing_call_id"]
-    assert codes(typed(spark, [META, call("", "local_shell_call")])) == []
+    got = codes_of(spark, {
+        "fine": [META, call("a"), output("a")],
+        "shell": [META, call("a", "local_shell_call"), output("a")],
+        "kinds": [META, call("a"), output("a", "custom_tool_call_output")],
+        "early": [META, output("a"), call("a")],
+        "outputs": [META, call("a"), output("a"), output("a")],
+        "calls": [META, call("a"), call("a"), output("a")],
+        "nameless": [META, call("")],
+        "nameless_shell": [META, call("", "local_shell_call")],
+    })
+    assert got == {
+        "fine": [], "shell": [], "kinds": ["missing_output", "orphan_output"], "early": ["output_before_call"],
+        "outputs": ["duplicate_outputs_for_call_id"], "calls": ["duplicate_call_id"],
+        "nameless": ["function_call_missing_call_id"], "nameless_shell": [],
+    }
 
 
 def test_three_meanings_of_orphan(spark):
@@ -78,14 +98,18 @@ def test_shapes(spark):
         wrap("turn_context", {"sandbox_policy": {}}), wrap("compacted", 1), wrap("compacted", {"message": 3, "replacement_history": "x"}),
         {"k": 1}, "broken", [1],
     ]
-    assert codes(typed(spark, rows)) == sorted([
-        "turn_context_payload_not_object", "turn_context_sandbox_policy_not_object", "sandbox_policy_has_mode_and_type",
-        "sandbox_policy_missing_mode_or_type", "compacted_payload_not_object", "compacted_message_not_string",
-        "compacted_replacement_history_not_array", "unknown_json_line", "invalid_json_line", "non_object_line"])
-    assert codes(typed(spark, [call("a"), output("a")])) == ["missing_session_meta"]
-    assert codes(typed(spark, [wrap("session_meta", {}), META])) == ["multi_session_meta", "session_meta_missing_id"]
-    assert codes(typed(spark, [wrap("session_meta", 1)])) == ["session_meta_payload_not_object"]
-    assert codes(typed(spark, [{"k": 1}])) == ["unrecognized_format"]
+    got = codes_of(spark, {
+        "all": rows, "no_meta": [call("a"), output("a")], "two": [wrap("session_meta", {}), META],
+        "scalar": [wrap("session_meta", 1)], "strange": [{"k": 1}],
+    })
+    assert got == {
+        "all": sorted([
+            "turn_context_payload_not_object", "turn_context_sandbox_policy_not_object", "sandbox_policy_has_mode_and_type",
+            "sandbox_policy_missing_mode_or_type", "compacted_payload_not_object", "compacted_message_not_string",
+            "compacted_replacement_history_not_array", "unknown_json_line", "invalid_json_line", "non_object_line"]),
+        "no_meta": ["missing_session_meta"], "two": ["multi_session_meta", "session_meta_missing_id"],
+        "scalar": ["session_meta_payload_not_object"], "strange": ["unrecognized_format"],
+    }
 
 
 def test_fix(spark):
