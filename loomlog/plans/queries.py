@@ -707,9 +707,19 @@ def collapse_chunks(spark, sf_dir):
     return G.collapse_plan(D.linked(spark, sf_dir, "runs")).select("session_id", "tip_line", "line")
 
 
-@register("g7_resume_chain")
+@register("g7_resume_chain", sql("recursive r", """
+, leaf as (select session_id, arg_max(uuid, line) uuid, max(line) leaf_line from r group by session_id),
+chain as (select r.session_id, r.uuid, r.line, r.parent, 0 depth from r join leaf using (session_id, uuid)
+ union all select r.session_id, r.uuid, r.line, r.parent, chain.depth + 1 from chain join r on r.session_id = chain.session_id and r.uuid = chain.parent),
+m as (select c.session_id, c.line, depth, role, mkey, think, e,
+  sum(case when role = 'user' and not (e % 6 = 0 and prev is not null) then 1 else 0 end) over (partition by c.session_id order by depth) walls
+  from chain c join r on r.session_id = c.session_id and r.line = c.line),
+s as (select *, case when lag(mkey) over w = mkey and lag(walls) over w = walls then 0 else 1 end fresh from m where role = 'assistant' window w as (partition by session_id order by depth)),
+k as (select *, sum(fresh) over (partition by session_id order by depth) island from s),
+g as (select session_id, island, bool_or(think) thinks, arg_max(think and e % 2 = 0, depth) first_thinks, arg_max(line, depth) line from k group by all)
+select session_id, count(*) violations, arg_min(line, island) line, any_value(leaf_line) leaf_line from g join leaf using (session_id) where thinks and not first_thinks group by session_id"""))
 def resume_chain(spark, sf_dir):
-    return G.resume_violations(D.linked(spark, sf_dir, "runs"))
+    return G.resume_violations(D.linked(spark, sf_dir, "runs")).select("session_id", "violations", "line", "leaf_line")
 
 
 # --- rewrites -----------------------------------------------------------------
