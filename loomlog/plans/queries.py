@@ -1107,11 +1107,22 @@ def rank_linked(spark, sf_dir):
     return rows.select("project", "session_id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("t2_rank_flat")
+@register("t2_rank_flat", sql("b", ", " + _FILES + """,
+hd as (select * from b where kind <> 'non_object' qualify row_number() over (partition by session_id order by line) <= 100),
+mm as (select session_id, arg_min(e, line) me from hd where typ = 'session_meta' group by session_id),
+bd as (select session_id, bool_or(kind = 'invalid_json') bad from b group by session_id),
+tl as (select * from b qualify row_number() over (partition by session_id order by line desc) <= 500),
+ac as (select session_id, max(date_trunc('milliseconds', ts)) act from tl where kind = 'wrapped' group by session_id),
+pj as (select distinct c % 10 p from fl),
+sc as (select concat('/work/p', u % 10) project, session_id, path, mt, 170 + (case when me % 2 = 0 then 10 else 0 end) - (case when bad then 50 else 0 end) score, act
+  from ff join mm using (session_id) join bd using (session_id) join ac using (session_id) join pj on p = u % 10 where o = 0),
+rk as (select *, row_number() over w rank, lead(act) over w act2, lead(score) over w score2 from sc window w as (partition by project order by act desc, score desc, mt desc, path))
+select project, session_id, score::bigint score, rank, case when score >= 140 then case when rank = 1 and act2 is not null and not (epoch_ms(act) - epoch_ms(act2) >= 21600000 or score - score2 >= 30) then 'medium' else 'high' end
+ when score >= 80 then 'medium' else 'low' end confidence from rk where rank <= 6"""))
 def rank_flat(spark, sf_dir):
     files = CT.dedupe_latest(D.rollout_files(spark, sf_dir)).drop("cwd")
-    projects = D.projects(spark, sf_dir)
-    return CT.rank_flat(D.parsed_table(spark, sf_dir, "rollouts"), files, projects).select("project", "session_id", "score", "rank", "confidence")
+    rows = CT.rank_flat(D.parsed_table(spark, sf_dir, "rollouts"), files, D.projects(spark, sf_dir))
+    return rows.select("project", "session_id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"), "confidence")
 
 
 @register("t2_fallback_flat")
