@@ -1009,11 +1009,16 @@ def compact_flat(spark, sf_dir):
     return rewrite.lines.select("session_id", "line", "sub")
 
 
-@register("x17_pending_selection_flat")
+@register("x17_pending_selection_flat", sql("b calls pairs", _PINNED + """, picked as (select session_id, line from chosen union select pin.* from pin where exists (select 1 from chosen where chosen.session_id = pin.session_id)), hit as (select distinct session_id from chosen),
+badid as (select session_id, cid from paired where outputs > 0 and (not fits or exists (select 1 from picked p where p.session_id = paired.session_id and p.line = paired.call_line))),
+gone0 as (select * from picked union select c.session_id, c.line from calls c join badid using (session_id, cid) join hit using (session_id) where c.side = 'output'),
+fk as (select session_id, min(line) filter (typ = 'response_item' and not exists (select 1 from gone0 g where g.session_id = b.session_id and g.line = b.line)) fk from b join hit using (session_id) group by session_id)
+select session_id, count(*) remove_count, min(line) first_removed, max(line) last_removed, coalesce(any_value(fk), -1) anchor from chosen join fk using (session_id) group by session_id"""))
 def pending_selection_flat(spark, sf_dir):
     flat = D.flat(spark, sf_dir)
     rewrite = CP.compact_flat(flat, _flat_summaries(spark, sf_dir), Amount("percent", 35), STAMP)
-    return CP.pending_selection_flat(flat, rewrite.changes)
+    rows = CP.pending_selection_flat(flat, rewrite.changes)
+    return rows.withColumn("anchor", F.coalesce("anchor", F.lit(-1).cast("bigint")))
 
 
 @register("x16_guarded_fix")
@@ -1125,10 +1130,18 @@ def rank_flat(spark, sf_dir):
     return rows.select("project", "session_id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"), "confidence")
 
 
-@register("t2_fallback_flat")
+@register("t2_fallback_flat", sql("b", ", " + _FILES + """,
+hd as (select * from b where kind <> 'non_object' qualify row_number() over (partition by session_id order by line) <= 100),
+mm as (select session_id, arg_min(e, line) me from hd where typ = 'session_meta' group by session_id),
+bd as (select session_id, bool_or(kind = 'invalid_json') bad from b group by session_id),
+tl as (select * from b qualify row_number() over (partition by session_id order by line desc) <= 500),
+ac as (select session_id, max(date_trunc('milliseconds', ts)) act from tl where kind = 'wrapped' group by session_id)
+select session_id, (20 + (case when me is not null then 40 else 0 end) + (case when me % 2 = 0 then 10 else 0 end) - (case when bad then 50 else 0 end))::bigint score
+from ff left join mm using (session_id) join bd using (session_id) join ac using (session_id) where o = 0 order by act desc, score desc, mt desc, path limit 5"""))
 def fallback_flat(spark, sf_dir):
     files = CT.dedupe_latest(D.rollout_files(spark, sf_dir)).drop("cwd")
-    return CT.fallback_flat(D.parsed_table(spark, sf_dir, "rollouts"), files).select("session_id", "score")
+    rows = CT.fallback_flat(D.parsed_table(spark, sf_dir, "rollouts"), files)
+    return rows.select("session_id", F.col("score").cast("bigint").alias("score"))
 
 
 @register("f5_match_text", sql("al a", """select distinct session_id from (select * from al qualify row_number() over (partition by session_id order by line desc) <= 5) where not bad and lower(text) like '%thand%'"""))
