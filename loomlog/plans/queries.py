@@ -1379,11 +1379,14 @@ def status(spark, sf_dir):
     return rows.select("session_id", "mode", F.coalesce("bar", F.lit("-")).alias("bar"))
 
 
-@register("m2_status_flat", sql("b", """, rd as (select session_id, arg_max(floor(case when e % 3 <> 0 then value * 1000 else value * 2000 end), line)::bigint tokens, arg_max(date_trunc('milliseconds', ts), line) rts from b where typ = 'event_msg' group by session_id),
+_READINGS = """, rd as (select session_id, arg_max(floor(case when e % 3 <> 0 then value * 1000 else value * 2000 end), line)::bigint tokens, arg_max(date_trunc('milliseconds', ts), line) rts from b where typ = 'event_msg' group by session_id),
 cp as (select session_id, max(date_trunc('milliseconds', ts)) cts from b where typ = 'compacted' group by session_id),
 est as (select session_id, sum(case when itype = 'message' then (strlen(concat('[', mrole, ']: ', trim(note))) + 1 + 3) // 4
   when itype like '%output' then (strlen(concat('[assistant]: [result: ', itype, case when cid is null then '' else concat(' ', cid) end, ']', chr(10), '{"type":"', itype, '"', case when cid is null then '' else concat(',"call_id":"', cid, '"') end, ',"output":"out ', e, '"}')) + 1 + 3) // 4
-  else (strlen(concat('[assistant]: [tool: tool', e % 5, ']', chr(10), '{"type":"', itype, '"', case when cid is null then '' else concat(',"call_id":"', cid, '"') end, ',"name":"tool', e % 5, '","arguments":"{\\"e\\":', e, '}"}')) + 1 + 3) // 4 end)::bigint est from b where itype is not null group by session_id),
+  else (strlen(concat('[assistant]: [tool: tool', e % 5, ']', chr(10), '{"type":"', itype, '"', case when cid is null then '' else concat(',"call_id":"', cid, '"') end, ',"name":"tool', e % 5, '","arguments":"{\\"e\\":', e, '}"}')) + 1 + 3) // 4 end)::bigint est from b where itype is not null group by session_id),"""
+
+
+@register("m2_status_flat", sql("b", _READINGS + """
 k as (select s.session_id, s.u, coalesce(cts > rts, false) stale, case when coalesce(cts > rts, false) then coalesce(est, 0) else tokens end shown, case when tokens is not null then 140000 end lim
  from (select session_id, any_value(u) u from b group by session_id) s left join rd using (session_id) left join cp using (session_id) left join est using (session_id))
 select session_id, case when (u % 6 = 3 and coalesce(shown >= lim, false)) or u % 5 = 0 then 'Compacting' when u % 5 = 1 then 'Reload' when lim is null then 'Active' when shown >= lim then 'Over' else 'Waiting' end mode,
@@ -1402,7 +1405,10 @@ def trigger(spark, sf_dir):
         F.expr("timestamp'2024-01-30 00:00:00'"))
 
 
-@register("m3_trigger_flat")
+@register("m3_trigger_flat", sql("b", _READINGS + """
+k as (select s.session_id, s.u, coalesce(tokens, est, 0) used, case when tokens is not null then 40000 else 90000 end lim
+ from (select session_id, any_value(u) u from b group by session_id) s left join rd using (session_id) left join est using (session_id))
+select session_id, used::bigint tokens, lim::bigint threshold, case when used < lim then 'not_triggered' when u % 5 in (0, 1) then 'pending_ready' else 'started' end result from k"""))
 def trigger_flat(spark, sf_dir):
     return M.flat_trigger(D.flat(spark, sf_dir), D.pending(spark, sf_dir), threshold_percent=20)
 
