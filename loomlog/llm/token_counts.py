@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from loomlog.session import ship_by_value
 ship_by_value(__name__)
 
 SLICE_BYTES = 4 << 20  # text held as Python strings at a time
-BATCH_BYTES = 256 << 10  # parts per call of the encoder
+BATCH_BYTES = 64 << 10  # of parts that the encoder gets at a time
 TABLE_SIZE = 400_000  # distinct parts remembered by a task; beyond it the table starts afresh
+SPACE = "\u0120"  # fixed value: how byte-level vocabularies write a space
 LONG_PART = 256  # longer parts are counted but not remembered
 
 UNSAFE = re.compile(r"\s \s?|\A | (?=\s)| \Z")  # a space that is no safe boundary
@@ -50,25 +52,41 @@ class PartCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.leads[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
         self.table: dict[str, int] = {}
 
-    def lengths(self, parts: list[str]) -> list[int]:
-        """Tokens of each part, encoded in batches balanced by bytes."""
+    def alone(self, parts: list[str]) -> list[int]:
+        """Tokens of each part, encoded one by one in batches balanced by bytes."""
+        return [n for batch in self.batches(parts) for n in map(len, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))]
+
+    def spaced(self, parts: list[str]) -> list[int]:
+        """Tokens of each part with a space before it.
+
+        The boundaries between the parts are safe, so a whole batch goes in as one text; its tokens with a leading
+        space begin the parts.
+        """
         out: list[int] = []
-        batch, held = [], 0
-        for part in parts:
-            batch.append(part)
-            held += len(part) + 16
-            if held >= BATCH_BYTES:
-                out += map(len, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
-                batch, held = [], 0
-        if batch:
-            out += map(len, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
+        for batch in self.batches(parts):
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(batch)], add_special_tokens=False)[0].ids)
+            begins = np.flatnonzero(self.leads[ids])
+            out += np.diff(begins, append=len(ids)).tolist()
         return out
 
+    @staticmethod
+    def batches(parts: list[str]) -> Iterator[list[str]]:
+        start, held = 0, 0
+        for i, part in enumerate(parts):
+            held += len(part) + 1
+            if held >= BATCH_BYTES:
+                yield parts[start : i + 1]
+                start, held = i + 1, 0
+        if start < len(parts):
+            yield parts[start:]
+
     def count(self, texts: list[str | None]) -> list[int]:
         cut = [safe_parts(text) if text else [] for text in texts]
-        first = self.lengths([parts[0] for parts in cut if parts])  # has no space before it
+        first = self.alone([parts[0] for parts in cut if parts])  # has no space before it
         seen: set[str] = set()
         for parts in cut:
             seen.update(parts[1:])
@@ -76,7 +94,10 @@ class PartCounter:
             self.table = {}
         table = self.table
         new = [part for part in seen if part not in table]
-        fresh = dict(zip(new, self.lengths([" " + part for part in new])))
+        odd = [part for part in new if " " in part or part[-1:].isspace()]
+        fresh = dict(zip(odd, self.alone([" " + part for part in odd])))
+        plain = [part for part in new if part not in fresh] if odd else new
+        fresh.update(zip(plain, self.spaced(plain), strict=True))
         table.update(fresh)
         heads = iter(first)
         counts = [next(heads) + sum(map(table.__getitem__, parts[1:])) if parts else 0 for parts in cut]
