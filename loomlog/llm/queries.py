@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import line_dedup, pieces, shards, token_counts, warc
+from loomlog.llm import kdtree, line_dedup, mixing, pieces, shards, token_counts, warc
 from loomlog.session import configure
 
 
@@ -28,6 +28,19 @@ def op1_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("key"))
 
 
+def op2_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows, sizes, goal = mixing.mix(docs, F.array("source"), ["doc_id", "source"])
+    # At most MAX_PATTERNS rows, else mix() has refused.
+    known = spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], "name string, source_size long, target double")
+    met = rows.join(F.broadcast(known), F.col("row.source").eqNullSafe(F.col("name")))
+    return met.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op3_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
@@ -58,6 +71,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hash_tree": op1_hash_tree,
+    "op2_mix_flow": op2_mix_flow,
+    "op3_kd_search": op3_kd_search,
     "op5_line_dedup": op5_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_sentence_pieces": op9_sentence_pieces,
@@ -107,6 +122,19 @@ select doc_id, size, text_crc32, 'key' as law, now.shard::int as shard, later.sh
 from d join now using (r) join later using (r)
 """
 
+OP3_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0
+)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
 OP5_SQL = r"""
 with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 l as (
@@ -141,4 +169,4 @@ select page_id, payload_bytes,
 from b
 """
 
-ORACLES = {"op1_hash_tree": OP1_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op1_hash_tree": OP1_SQL, "op3_kd_search": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
