@@ -28,7 +28,7 @@ ship_by_value(__name__)
 
 FILE_BYTES = 32 << 20  # payload bytes after which a task begins a new file
 READ_BYTES = 256 << 10  # compressed bytes per read
-LEVEL = 1  # of gzip
+LEVEL = 6  # of gzip
 EPOCH = "1970-01-01T00:00:00Z"  # records carry no clock, so reruns write equal bytes
 END = b"\r\n\r\n"
 
