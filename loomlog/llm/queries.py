@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import kdtree, line_dedup, mixing, pieces, shards, token_counts, warc
+from loomlog.llm import jaccard, kdtree, line_dedup, mixing, pieces, shards, token_counts, warc
 from loomlog.session import configure
 
 
@@ -47,6 +47,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -74,6 +78,7 @@ QUERIES = {
     "op2_mix_flow": op2_mix_flow,
     "op3_kd_search": op3_kd_search,
     "op5_line_dedup": op5_line_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_warc": op10_warc,
@@ -153,6 +158,25 @@ select doc_id, len(lines) as n_lines, len(lines) - coalesce(n, 0) as n_dropped,
 from d left join kept using (r)
 """
 
+OP7_SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+),
+s as (
+  select r, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as shingles from d
+),
+t as (select r, len(shingles) as n, unnest(shingles) as shingle from s),
+e as (
+  select x.r as a, y.r as b from t x join t y on x.shingle = y.shingle and x.r <> y.r
+  group by x.r, y.r, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))
+),
+reach(r, z) as (select r, r from s union select e.b, reach.z from reach join e on reach.r = e.a)
+select s.doc_id, len(s.shingles) as n_shingles, min(o.doc_id) as component_id
+from reach join s using (r) join s o on o.r = reach.z group by s.r, s.doc_id, s.shingles
+"""
+
 OP10_SQL = """
 with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
 b as (
@@ -169,4 +193,4 @@ select page_id, payload_bytes,
 from b
 """
 
-ORACLES = {"op1_hash_tree": OP1_SQL, "op3_kd_search": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op1_hash_tree": OP1_SQL, "op3_kd_search": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op10_warc": OP10_SQL}
