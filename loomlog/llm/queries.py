@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import jaccard, kdtree, line_dedup, mixing, pieces, shards, token_counts, warc
+from loomlog.llm import jaccard, kdtree, line_dedup, mixing, perplexity, pieces, quality, shards, token_counts, warc
 from loomlog.session import configure
 
 
@@ -41,12 +41,24 @@ def op3_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learnt only where crc32 of the id's digits leaves another remainder than 1 by 3."""
+    fold = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 3
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 1)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("row.doc_id", *perplexity.COUNTS, "base_failed", "kept", "perplexity")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -77,7 +89,9 @@ QUERIES = {
     "op1_hash_tree": op1_hash_tree,
     "op2_mix_flow": op2_mix_flow,
     "op3_kd_search": op3_kd_search,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_line_dedup": op5_line_dedup,
+    "op6_perplexity_rules": op6_perplexity_rules,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_sentence_pieces": op9_sentence_pieces,
