@@ -1,22 +1,76 @@
-"""The corpus pipeline: stages that each read what the one before has kept."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate join, mixing, encoding.
+
+Each stage takes the documents that the one before has kept and, but for the last, returns their columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomlog.llm import jaccard, line_dedup, mixing, perplexity, pieces
+from loomlog.llm.queries import tokenizer_path
+from loomlog.session import configure, cut
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the perplexity band of their language."""
+    rest = [c for c in docs.columns if c != "text"]
+    judged = perplexity.judge(docs, rest, with_text=True).where("kept")
+    return judged.select(*["text" if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines of ten documents or more; every document stays."""
+    kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1).withColumn("n_chars", F.char_length("text").cast("long"))
+    return kept.select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity 0.8. The smallest doc_id stays.
+
+    Documents without words or without an id are in no group. Of rows that repeat a doc_id one stays.
+    """
+    groups = cut(jaccard.link(docs, words=5, percent=80), "groups").where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    left = docs.join(others, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    filled = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
+    once = left.where(filled).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = left.where(filled).join(repeated, "doc_id", "left_anti")
+    return rest.select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(left.where(~filled).select(*docs.columns))
+
 
-from loomlog.llm import line_dedup
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by the copies that the mix takes; weights 5, 2, 1 by source, three copies at most."""
+    rows, _, _ = mixing.mix(docs, F.array("source"), docs.columns)
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return rows.where("copies > 0").select("row", copies).select("row.*")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_common_lines(docs)
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row of the mix."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(docs, path), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-STAGES = [("line dedup", dedup_lines)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality rules", keep_good),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("mixing", mix_sources),
+    ("sentence pieces", to_pieces),
+]
+ORACLE_SQL = None  # perplexity and the tokenizer have no SQL form; tests compare with a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs, "stage")
     return docs
