@@ -8,7 +8,8 @@ routed out of a pattern are then taken from its documents: all of them a whole n
 once more, found by hash order without sorting a pattern in one task.
 
 Defined results: a null source (or a null in the array) is a source of its own, last in order; a document without
-any source is never taken; null and empty texts have size 0; repeated rows are documents of their own; an empty table
+any source is never taken; texts without words have size 0 and are never
+taken; repeated rows are documents of their own; an empty table
 gives an empty result. Only the named columns are read; ``carry`` columns come back under their own names.
 """
 
@@ -184,4 +185,4 @@ def mix(
     fill = fill.withColumnRenamed("pattern", "fp")
     full = placed.join(F.broadcast(fill), F.col("pattern") == F.col("fp"), "left")
     copies = F.coalesce(F.col("whole"), F.lit(0)) + once_more.cast("int") + F.coalesce(F.col("uid") == F.col("fill"), F.lit(False)).cast("int")
-    return full.select("row", "size", copies.cast("long").alias("copies")), sizes, goal
+    return full.select("row", "size", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies")), sizes, goal
