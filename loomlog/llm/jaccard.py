@@ -12,8 +12,8 @@ percent * union. Documents with equal sets are one node from the start. The join
   2 * slack + 2 tokens, and some two tokens stand side by side in both: of the shared tokens there, every token that is
   not shared can part one pair, and there is at least one pair more. Sets with two frequent tokens are therefore also
   indexed by the combinations of neighbours; only pairs with a heavy set are looked for there.
-* Candidates must pass the size bound and a parity bound: with 512 parities of token counts, the differing bits are
-  never more than the differing tokens. What remains is verified on whole sets.
+* Candidates must pass the size bound and a parity bound: of the parities of token counts by hash class, never more
+  differ than tokens differ. What remains is verified on whole sets.
 
 In a combination with many sets no pairs are made at first: each set is compared with one heavy set, linked sets are
 joined into components, and only pairs of different components follow.
@@ -21,9 +21,11 @@ joined into components, and only pairs of different components follow.
 Class membership travels as bitmaps of fixed size. A wrong bit can only make a rare token frequent or keep a token
 that is in one set alone; both are harmless to the result.
 
+A node goes by the smallest doc_id of its rows. Rows that repeat a doc_id with another text belong together by that
+id, so it does no harm that their sets share a name.
+
 Defined results: null, empty and white-space texts have no shingles and link with nothing; a text with fewer words
-than a shingle is one shingle; rows that repeat a doc_id are one node of the graph each, joined by their id; rows
-with a null doc_id link with nothing and have a null component; an empty table gives an empty result; columns that are
+than a shingle is one shingle; rows that repeat a doc_id are in one component; rows with a null doc_id link with nothing and have a null component; an empty table gives an empty result; columns that are
 not named are ignored.
 """
 
@@ -43,11 +45,11 @@ from loomlog.session import cut, ship_by_value
 ship_by_value(__name__)
 
 SLICE_BYTES = 2 << 20
-FREQUENT = 16
+FREQUENT, WIDE = 16, 30
 BROADCAST_ROWS = 500_000  # of 24 bytes; a larger table of copies is joined by a shuffle
 CLASS_BITS = 26
 ID_BITS = 24
-PARITIES = 8  # words of 64 bits
+PARITY_WORDS, LARGE_PARITY_WORDS, LARGE = 8, 64, 1500  # 64-bit words; sets over LARGE tokens get the larger bitmap
 
 # --- shingles -----------------------------------------------------------------------------------------------------
 
@@ -147,33 +149,32 @@ class Bounds:
         return min(n, max(self.need(n), n * self.wide // 100)) if self.slack(n) else 0
 
 
-def as_longs(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def parities(tokens: np.ndarray) -> np.ndarray:
+    bits = 64 * (LARGE_PARITY_WORDS if len(tokens) > LARGE else PARITY_WORDS)
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def fingerprints(docs: DataFrame, words: int, bounds: Bounds, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, node, lead, p0..p7) of every document: set size, digest of the set, extended prefix, parities."""
+    """(doc_id, n, node, lead, parity) of every document: set size, digest of the set, extended prefix, parities."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    names = [f"p{i}" for i in range(PARITIES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 sets = shingler.sets(part.column("text"))
-                bits = np.zeros((len(sets), 64 * PARITIES), np.uint8)
-                for i, s in enumerate(sets):
-                    bits[i] = np.bincount((s & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
-                parity = np.packbits(bits, axis=1).view(np.int64)
-                columns = [
-                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(digest, sets), pa.binary()),
                     pa.array([s[: bounds.lead(len(s))].tobytes() for s in sets], pa.binary()),
-                    *(pa.array(parity[:, i]) for i in range(PARITIES)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "lead", *names])
+                    pa.array([parities(s) if bounds.slack(len(s)) else None for s in sets], pa.list_(pa.int64())),
+                ], ["doc_id", "n", "node", "lead", "parity"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n int, node binary, lead binary, " + ", ".join(f"{p} bigint" for p in names))
+    return rows.mapInArrow(run, "doc_id bigint, n int, node binary, lead binary, parity array<bigint>")
 
 
 # --- token classes ------------------------------------------------------------------------------------------------
@@ -182,8 +183,9 @@ def fingerprints(docs: DataFrame, words: int, bounds: Bounds, doc_id: str, text:
 def token_classes(leads: DataFrame, frequent: int, total: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bitmaps of the tokens found in two sets or more, and in more than ``frequent``.
 
-    Tasks count their own tokens first and send each token once, in blobs by hash range; a range is counted in one
-    task, and their number follows the ``total`` of tokens. What reaches the driver has a fixed size.
+    Tasks count their own tokens first and send each token once, in blobs by hash range with 40 bits beyond the range; a
+    range is counted in one task, and their number follows the ``total`` of tokens. What reaches the driver has a
+    fixed size.
     """
     bits = 6
     while total >> bits > 1 << 22 and bits < CLASS_BITS - 3:
@@ -194,9 +196,12 @@ def token_classes(leads: DataFrame, frequent: int, total: int) -> tuple[np.ndarr
         def counted(tokens):
             values, counts = np.unique(np.concatenate(tokens), return_counts=True)
             places = np.searchsorted(values >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            out = [(b, values[i:j].tobytes(), counts[i:j].astype(np.int32).tobytes()) for b, (i, j) in enumerate(zip(places[:-1], places[1:])) if j > i]
+            high, low = ((values << np.uint64(bits)) >> np.uint64(56)).astype(np.uint8), ((values << np.uint64(bits)) >> np.uint64(24)).astype(np.uint32)
+            counts = counts.astype(np.int32)
+            out = [(b, high[i:j].tobytes(), low[i:j].tobytes(), counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(places[:-1], places[1:])) if j > i]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["part", "tokens", "counts"])
+                part, *blobs = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "high", "low", "counts"])
 
         held, n = [], 0
         for batch in batches:
@@ -210,13 +215,15 @@ def token_classes(leads: DataFrame, frequent: int, total: int) -> tuple[np.ndarr
             yield from counted(held)
 
     def merged(table: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["tokens"]])
+        high = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["high"]])
+        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["low"]])
+        tokens = high.astype(np.uint64) << np.uint64(32) | low
         counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table["counts"]])
         order = np.argsort(tokens, kind="stable")
         tokens, counts = tokens[order], counts[order].astype(np.int64)
         begins = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
         tokens, counts = tokens[begins], np.add.reduceat(counts, begins)
-        place = ((tokens << np.uint64(bits)) >> np.uint64(64 - width)).astype(np.int64)
+        place = (tokens >> np.uint64(40 - width)).astype(np.int64)
         out = []
         for least in (2, frequent + 1):
             marks = np.zeros(1 << width, np.uint8)
@@ -224,7 +231,7 @@ def token_classes(leads: DataFrame, frequent: int, total: int) -> tuple[np.ndarr
             out.append(np.packbits(marks, bitorder="little").tobytes())
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "shared": pa.array([out[0]], pa.binary()), "often": pa.array([out[1]], pa.binary())})
 
-    parts = leads.select("lead").mapInArrow(local, "part int, tokens binary, counts binary").groupBy("part").applyInArrow(merged, "part int, shared binary, often binary")
+    parts = leads.select("lead").mapInArrow(local, "part int, high binary, low binary, counts binary").groupBy("part").applyInArrow(merged, "part int, shared binary, often binary")
     shared, often = np.zeros((1 << CLASS_BITS) // 8, np.uint8), np.zeros((1 << CLASS_BITS) // 8, np.uint8)
     step = (1 << width) // 8
     for row in parts.toLocalIterator():
@@ -240,94 +247,84 @@ def marked(bitmap: np.ndarray, tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def index_keys(leads: DataFrame, bounds: Bounds, classes) -> DataFrame:
-    """(key, combined, heavy, node, n, p0..p7): single rare tokens, and neighbours where tokens are frequent."""
-    shared_bits, often_bits, bits = classes.value
-    names = [f"p{i}" for i in range(PARITIES)]
-    classes_ = classes
+    """(key, combined, heavy, rep, n): single rare tokens, and neighbours where tokens are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared_bits, often_bits, bits = classes_.value
+        shared_bits, often_bits, bits = classes.value
         for batch in batches:
-            keys, rows, combined, heavies = [], [], [], []
+            found: list[tuple] = []
             sizes = batch.column("n").to_pylist()
             for i, blob in enumerate(batch.column("lead")):
                 n, tokens = sizes[i], np.frombuffer(blob.as_buffer(), np.uint64)
-                if not len(tokens):
-                    continue
                 often, shared = marked(often_bits, tokens, bits), marked(shared_bits, tokens, bits)
-                rare = np.flatnonzero(~often)
+                rare, need = np.flatnonzero(~often), bounds.need(n)
                 heavy = len(rare) < bounds.prefix(n)
                 if not heavy:
                     rare = rare[: bounds.prefix(n)]
-                    got = tokens[rare[shared[rare]]]
-                    if len(got):
-                        keys.append(got)
-                        rows.append(np.full(len(got), i))
-                        combined.append(np.zeros(len(got), bool))
-                        heavies.append(np.zeros(len(got), bool))
-                need = bounds.need(n)
+                    found.append((tokens[rare[shared[rare]]], i, False, False))
                 if np.count_nonzero(often[:need]) >= 2:
                     pairs = np.flatnonzero(shared[: need - 1] & shared[1:need])
                     with np.errstate(over="ignore"):
-                        got = mix64(tokens[pairs] * np.uint64(0x589965CC75374CC3) + tokens[pairs + 1])
-                    keys.append(got)
-                    rows.append(np.full(len(got), i))
-                    combined.append(np.ones(len(got), bool))
-                    heavies.append(np.full(len(got), heavy))
-            if keys:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_longs(np.concatenate(keys))), pa.array(np.concatenate(combined)), pa.array(np.concatenate(heavies)), *(batch.column(c).take(at) for c in ["node", "n", *names])],
-                    ["key", "combined", "heavy", "node", "n", *names],
-                )
-
-    schema = "key bigint, combined boolean, heavy boolean, node binary, n int, " + ", ".join(f"{p} bigint" for p in names)
-    return leads.select("lead", "node", "n", *names).mapInArrow(run, schema)
+                        found.append((mix64(tokens[pairs] * np.uint64(0x589965CC75374CC3) + tokens[pairs + 1]), i, True, heavy))
+            lengths = [len(x[0]) for x in found]
+            if sum(lengths):
+                at = pa.array(np.repeat([x[1] for x in found], lengths))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([x[0] for x in found]).view(np.int64)), pa.array(np.repeat([x[2] for x in found], lengths)),
+                    pa.array(np.repeat([x[3] for x in found], lengths)), batch.column("rep").take(at), batch.column("n").take(at),
+                ], ["key", "combined", "heavy", "rep", "n"])
+
+    return leads.select("lead", "rep", "n").mapInArrow(run, "key bigint, combined boolean, heavy boolean, rep bigint, n int")
 
 
 # --- candidates and links -----------------------------------------------------------------------------------------
 
 
-def may_link(a: str, b: str, percent: int):
-    """Size and parity bounds between the rows of two aliases."""
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differing = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITIES)), F.lit(0))
-    return (
-        (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
-        & (differing * (100 + percent) <= (n_a + n_b).cast("long") * (100 - percent))
-    )
+def sizes_allow(a: str, b: str, percent: int):
+    return 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= percent * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
 
 
-def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def parities_allow(a: str, b: str, percent: int):
+    """Differing parities against the differing tokens that linked sets of these sizes may have."""
+    x, y = F.col(f"{a}.parity"), F.col(f"{b}.parity")
+    differing = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    most = (F.col(f"{a}.n") + F.col(f"{b}.n")).cast("long") * (100 - percent)
+    return (F.size(x) != F.size(y)) | (differing * (100 + percent) <= most)
 
 
 def single_pairs(index: DataFrame, percent: int) -> DataFrame:
-    rows = index.where("not combined")
-    met = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & may_link("x", "y", percent))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rows = index.where("not combined").select("key", "rep", "n")
+    met = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & sizes_allow("x", "y", percent))
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def star_pairs(index: DataFrame, percent: int) -> DataFrame:
     """Each set of a combination with its smallest heavy set."""
     rows = index.where("combined")
-    fields = F.struct("node", "n", *[f"p{i}" for i in range(PARITIES)])
-    centres = rows.where("heavy").groupBy("key").agg(F.min(fields).alias("c")).select("key", "c.*")
-    met = centres.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may_link("x", "y", percent))
-    return ordered_pairs(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    centres = rows.where("heavy").groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c")).select("key", "c.*")
+    met = centres.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & sizes_allow("x", "y", percent))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
+def passing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs that pass the parity bound; ``sets`` has (rep, n, parity)."""
+    met = pairs.distinct().join(sets.alias("x"), F.col("a") == F.col("x.rep")).join(sets.alias("y"), F.col("b") == F.col("y.rep"))
+    return met.where(parities_allow("x", "y", percent)).select("a", "b").distinct()
 
 
-def cross_pairs(index: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(index: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in combinations that hold more than one component."""
-    rows = index.where("combined").join(component, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = index.where("combined").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rows = cut(rows, "rooted")
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("heavy").alias("any"))
-    rows = cut(rows.join(mixed.where((F.col("low") != F.col("high")) & F.col("any")).select("key"), "key", "left_semi"), "mixed")
+    rows = rows.join(mixed.where((F.col("low") != F.col("high")) & F.col("any")).select("key"), "key", "left_semi").join(sets.select("rep", "parity"), "rep")
+    rows = cut(rows, "mixed")
     met = rows.where("heavy").alias("x").join(
         rows.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-        & (~F.col("y.heavy") | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y", percent),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.heavy") | (F.col("x.rep") < F.col("y.rep")))
+        & sizes_allow("x", "y", percent) & parities_allow("x", "y", percent),
     )
-    return ordered_pairs(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
@@ -341,15 +338,13 @@ def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) that link, decided on the whole sets of their documents."""
-    spark = docs.sparkSession
+def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) that link, decided on the whole sets of their documents; ``wanted`` has (rep, node) of all sets."""
     pairs = cut(pairs, "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(nodes.join(asked, "node", "left_semi").select("node", "rep"), "wanted")
-    bitmap = spark.sparkContext.broadcast(id_bitmap(wanted, "rep"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    rows = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - ID_BITS))
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "asked")
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(asked, "rep"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where(F.col("rep").isNotNull())
+    rows = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64("rep"), 64 - ID_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -358,14 +353,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
             hit = (bitmap.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             for part in slices(batch.filter(pa.array(hit)), "text", SLICE_BYTES):
                 found = shingler.sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
-                    pa.array([s.tobytes() for s in found], pa.binary()),
-                ], ["rep", "node", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(map(digest, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "node", "tokens"])
 
-    known = rows.mapInArrow(sets, "rep bigint, node binary, tokens binary").join(wanted, ["rep", "node"], "left_semi").select("node", "tokens")
-    known = cut(known, "sets")
-    met = pairs.join(known.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    # The bitmap lets some others pass; rows that stand for another id's set are not needed either.
+    asked = wanted.join(asked, "rep", "left_semi")
+    known = cut(rows.mapInArrow(sets, "rep bigint, node binary, tokens binary").join(asked, ["rep", "node"], "left_semi").select("rep", "tokens"), "sets")
+    met = pairs.join(known.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(known.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,7 +369,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(met.select("a", "b", "x", "y").mapInArrow(linked, "a binary, b binary").distinct(), "links")
+    return cut(met.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -387,7 +380,7 @@ def components(edges: DataFrame) -> DataFrame:
     def signature(e):
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    now = cut(ordered_pairs(edges).where("a <> b"), "edges")
+    now = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     before = None
     while (mark := signature(now)) != before:
         before = mark
@@ -402,40 +395,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(
-    docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, wide: int = 40,
+    docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, wide: int = WIDE,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     ``frequent`` and ``wide`` (percent of a set kept as extended prefix, if more than needed) steer the work, not the result.
     """
-    spark, bounds = docs.sparkSession, Bounds(percent, wide)
+    bounds = Bounds(percent, wide)
     prints = cut(fingerprints(docs, words, bounds, doc_id, text), "fingerprints")
     filled = prints.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    nodes = cut(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")), "nodes")
-    copied = nodes.where("rows > 1").select("node", "rep")
+    copied = cut(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node", "rep"), "copied")
     if copied.count() <= BROADCAST_ROWS:
         copied = F.broadcast(copied)
-    leads = filled.where(F.length("lead") > 0).join(copied, "node", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
+    named = filled.join(copied, "node", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    sets = named.where(F.col("rep") == F.col("doc_id"))
+    leads = sets.where(F.length("lead") > 0)
     total = leads.agg(F.sum(F.length("lead"))).first()[0] or 0
-    classes = spark.sparkContext.broadcast(token_classes(leads, frequent, total // 8))
+    classes = docs.sparkSession.sparkContext.broadcast(token_classes(leads, frequent, total // 8))
     index = cut(index_keys(leads, bounds, classes), "index")
 
-    pairs = single_pairs(index, percent).union(star_pairs(index, percent)).distinct()
-    links = verified(pairs, nodes, docs, words, percent, doc_id, text)
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, sets.select("rep", "node"), docs, words, percent, doc_id, text)
+
+    bitmaps = sets.select("rep", "n", "parity")
+    links = verify(passing(single_pairs(index, percent).union(star_pairs(index, percent)), bitmaps, percent))
     # Rows that repeat a doc_id with another set belong together.
-    same = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
-    same = filled.join(same, "doc_id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    same = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    same = named.join(same, "doc_id").where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b"))
     found = cut(components(links.union(same)), "components")
-    more = verified(cross_pairs(index, found, percent), nodes, docs, words, percent, doc_id, text)
+    more = verify(cross_pairs(index, found, bitmaps, percent))
     if not more.isEmpty():
         found = cut(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)), "components")
-    # The smallest doc_id of a component, then of each node.
-    joined = nodes.join(found, "node")
-    lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = joined.join(lowest, "root").select("node", "component_id")
-    least = cut(nodes.join(linked, "node", "left").where((F.col("rows") > 1) | F.col("component_id").isNotNull()).select(
-        "node", F.coalesce("component_id", "rep").alias("component_id"),
-    ), "grouped")
-    rows = prints.select("doc_id", "node", "n").join(least, "node", "left")
-    own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    # Names are smallest doc_ids, so the root of a component is its smallest doc_id.
+    rows = prints.select("doc_id", "n", "node").join(copied, "node", "left")
+    rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
+    rows = rows.select("doc_id", "n", rep.alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
