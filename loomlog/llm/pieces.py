@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,9 @@ ship_by_value(__name__)
 MARK = "\u2581"  # fixed value of the library
 MARKED = re.compile("\u2581+[^\u2581]*")
 IRREGULAR = re.compile("  |\\A | \\Z|\u2581")  # more than single spaces between words
-SLICE_BYTES = 4 << 20
-TABLE_SIZE = 400_000
+SLICE_BYTES = 2 << 20  # text held as Python strings at a time
+BATCH_CHARS = 16 << 10  # of new words that the model gets at a time
+TABLE_SIZE = 400_000  # words remembered by a task; beyond it the table starts afresh
 LONG_WORD = 256
 
 
@@ -52,14 +54,29 @@ def marked_words(text: str) -> list[str]:
 
 
 class WordTable:
-    """Ids of distinct marked words; one for each task."""
+    """Ids of distinct marked words, as bytes of 32-bit integers; one for each task."""
 
     def __init__(self, path: str):
         self.model = processor(path)
-        self.lone = [self.model.piece_to_id(MARK)]
-        self.table: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        self.leads = np.array([self.model.id_to_piece(i).startswith(MARK) for i in range(self.model.get_piece_size())])
+        self.lone = np.array([self.model.piece_to_id(MARK)], np.int32).tobytes()
+        self.table: dict[str, bytes] = {}
+
+    def segment(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words without inner markers go to the model as one text; the pieces with a marker begin the words."""
+        start, held = 0, 0
+        for i, word in enumerate(words):
+            held += len(word) + 1
+            if held >= BATCH_CHARS or i == len(words) - 1:
+                batch = words[start : i + 1]
+                ids = np.array(self.model.encode(" ".join(batch)), np.int32)
+                begins = np.flatnonzero(self.leads[ids])
+                data, ends = ids.tobytes(), np.append(begins[1:], len(ids))
+                found = [data[a:b] for a, b in zip((begins * 4).tolist(), (ends * 4).tolist())]
+                yield from zip(batch, found, strict=True)
+                start, held = i + 1, 0
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [marked_words(text) if text else [] for text in texts]
         seen: set[str] = set()
         for row in words:
@@ -68,10 +85,11 @@ class WordTable:
             self.table = {}
         table = self.table
         new = [word for word in seen if word not in table]
-        table.update(zip(new, self.model.encode(new, num_threads=1)))
-        if "" in seen:
-            table[""] = self.lone  # a marker alone, as before a trailing space
-        out = [list(chain.from_iterable(map(table.__getitem__, row))) for row in words]
+        odd = [word for word in new if not word or MARK in word or " " in word]
+        for word, ids in zip(odd, self.model.encode(odd)):
+            table[word] = np.array(ids, np.int32).tobytes() if word else self.lone  # a lone marker, as before a trailing space
+        table.update(self.segment([word for word in new if word not in table] if odd else new))
+        out = [b"".join(map(table.__getitem__, row)) for row in words]
         for word in new:
             if len(word) > LONG_WORD:
                 del table[word]
@@ -86,7 +104,10 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         table = WordTable(path)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                ids = pa.array(table.encode(part.column("text").to_pylist()), pa.list_(pa.int32()))
+                found = table.encode(part.column("text").to_pylist())
+                offsets = np.zeros(len(found) + 1, np.int32)
+                np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -100,9 +121,9 @@ def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = processor(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                texts = [model.decode(row) if row else "" for row in part.column("ids").to_pylist()]
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                texts = [model.decode(row.values.to_numpy().tolist()) if row.is_valid and len(row) else "" for row in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
