@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.session import cut
+
 SPACE = " \t\n\x0b\x0c\r"  # fixed value: \x20 \x09-\x0D
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,6 +54,8 @@ def drop_common_lines(
 
     keys = base.select(F.explode(F.array_distinct(F.transform(text_lines(F.col("text")), line_key))).alias("line"))
     common = hashed(keys).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).drop("n")
+    # Stored, so its size is known: Spark broadcasts it if it is small, and else can split the hot keys of the join.
+    common = cut(common, "common-lines")
     lines = hashed(base.select("d1", "d2", F.posexplode(text_lines(F.col("text"))).alias("pos", "line")), "d1", "d2", "pos")
     # Repeated rows share their hashes and their positions; the set holds each position once.
     dropped = lines.join(common, ["k1", "k2"], "left_semi").groupBy("d1", "d2").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
