@@ -7,6 +7,7 @@ helper, in Arrow batches. Untouched lines keep their original text.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,9 +41,20 @@ def set_string(path: str, text: Column) -> Column:
     return edit("set", path, F.coalesce(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit("null")))
 
 
-def _number(text: str) -> float | int:
-    value = float(text)
-    return int(value) if value.is_integer() and abs(value) < 1e21 else value
+# Numbers pass through as their own text, behind a mark that texts do not hold.
+_MARK = "\ue000number\x00"
+_MARKED = re.compile(r'"\ue000number\\u0000([-+.0-9eE]+)"')
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _loads(text: str):
+    keep = lambda number: _MARK + number
+    return json.loads(text, parse_float=keep, parse_int=keep)
+
+
+def _dumps(value) -> str:
+    text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m.group()):04x}", _MARKED.sub(r"\1", text))
 
 
 def _blocks(value: dict) -> list[dict]:
@@ -56,7 +68,7 @@ def _thinking_first(blocks: list[dict]) -> list[dict]:
 
 
 def _apply(raw: str, edits, others) -> str:
-    value = json.loads(raw, parse_float=_number)
+    value = _loads(raw)
     for step in edits:
         op, path, arg = step["op"], step["path"], step["value"]
         if op in ("set", "rename"):
@@ -65,13 +77,13 @@ def _apply(raw: str, edits, others) -> str:
             for name in parents:
                 holder = holder[name]
             if op == "set":
-                holder[last] = json.loads(arg, parse_float=_number)
+                holder[last] = _loads(arg)
             else:
                 holder[arg] = holder.pop(last)
         elif op == "thinking_first":
             value["message"]["content"] = _thinking_first(_blocks(value))
         elif op == "merge":
-            earlier = [b for text in others for b in _blocks(json.loads(text, parse_float=_number))]
+            earlier = [b for text in others for b in _blocks(_loads(text))]
             value["message"]["content"] = _thinking_first(earlier + _blocks(value))
         elif op == "strip_thinking":
             rest = [b for b in _blocks(value) if b.get("type") not in THINKING]
@@ -79,7 +91,7 @@ def _apply(raw: str, edits, others) -> str:
         elif op == "tombstone" and isinstance(value.get("message"), dict):
             message = value["message"]
             message["content"] = [{"type": "text", "text": arg}] if message.get("role") == "assistant" else arg
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return _dumps(value)
 
 
 def _apply_batches(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:

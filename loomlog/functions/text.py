@@ -172,8 +172,7 @@ def progress_bar(current: Column, threshold: Column, width: int = 8) -> Column:
 def log_line(row: dict[str, Column]) -> Column:
     """One readable line per compaction log event."""
     cleaned = J.js_trim(F.regexp_replace(row["error"], r"[\s\u00A0\uFEFF]+", " "))
-    shown = F.when(F.length(cleaned) > 1000, F.concat(F.substring(cleaned, 1, 999), F.lit("…"))).otherwise(cleaned)
-    error = F.when(F.length(shown) > 0, F.to_json(F.to_variant_object(F.array(shown))))
+    error = F.when(F.length(cleaned) > 0, F.to_json(F.to_variant_object(F.array(cleaned))))
     quoted = F.substring(error, F.lit(2), F.length(error) - 2)
 
     def part(label: str, value: Column) -> Column:

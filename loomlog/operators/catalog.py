@@ -60,14 +60,17 @@ def _with_messages(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.bool_or(F.coalesce(kind.isin("user", "assistant"), F.lit(False))).alias("talks"))
 
 
-def has_messages(parsed: DataFrame, n_head: int = 50, n_tail: int = 500) -> DataFrame:
-    """(session_id, talks) over head and tail."""
+def has_messages(parsed: DataFrame, n_head: int | None = None, n_tail: int | None = None) -> DataFrame:
+    """(session_id, talks) over all lines, or over a head and a tail."""
     columns = ["session_id", "line", "v"]
+    if n_head is None or n_tail is None:
+        return _with_messages(parsed.select(*columns))
     return _with_messages(head(parsed, n_head).select(*columns).unionByName(tail(parsed, n_tail).select(*columns)))
 
 
 def rank_linked(
-    parsed: DataFrame, files: DataFrame, projects: DataFrame, tail_lines: int = 500, max_candidates: int | None = 200,
+    parsed: DataFrame, files: DataFrame, projects: DataFrame, tail_lines: int | None = None, max_candidates: int | None = None,
+    head_lines: int | None = None,
 ) -> DataFrame:
     """Candidates of each project, best first.
 
@@ -77,25 +80,25 @@ def rank_linked(
     pool = files.drop("cwd").join(projects.select("project", "cwd", "project_dir").distinct(), "project_dir")
     if max_candidates is not None:
         pool = _newest(pool, ["project"], max_candidates)
-    top = head(parsed, 50)
+    top = head(parsed, head_lines)
     v = F.col("v")
     sid, cwd = J.as_id(v, "$.sessionId"), J.as_id(v, "$.cwd")
     first = top.groupBy("session_id").agg(
         F.bool_or(sid.isNotNull()).alias("any_id"), F.bool_or(F.coalesce(sid == F.col("session_id"), F.lit(False))).alias("own_id"),
-        F.collect_set(cwd).alias("cwds"),  # at most 50 rows per session
         F.count_if(F.col("json_kind") == "invalid").alias("bad_head"),
     )
     last = tail(parsed, tail_lines).where("json_kind = 'object'").select("session_id", "line", J.as_string(v, "$.timestamp").alias("ts_raw"))
     facts = first
-    for part in (last_activity(last), invalid_counts(parsed), has_messages(parsed, 50, tail_lines), detect_format(parsed)):
+    for part in (last_activity(last), invalid_counts(parsed), has_messages(parsed, head_lines, tail_lines), detect_format(parsed)):
         facts = facts.join(part, "session_id", "left")
-    known = pool.join(facts, "session_id", "left").where((F.col("size") == 0) | F.coalesce("talks", F.lit(False)))
+    at_home = top.select("session_id", cwd.alias("cwd")).where("cwd is not null").distinct().withColumn("at_home", F.lit(True))
+    known = pool.join(facts, "session_id", "left").join(at_home, ["session_id", "cwd"], "left").where((F.col("size") == 0) | F.coalesce("talks", F.lit(False)))
     yes = lambda c: F.coalesce(c, F.lit(False))
     detected = yes((F.col("agent") == "claude") & F.col("confidence").isin("high", "medium"))
     score = (
         F.lit(100)
         + F.when(yes(F.col("own_id")), 30).when(yes(F.col("any_id")), -10).otherwise(0)
-        + F.when(yes(F.array_contains("cwds", F.col("cwd"))), 20).otherwise(0)
+        + F.when(yes(F.col("at_home")), 20).otherwise(0)
         + F.when(detected, 20).when(F.col("size") == 0, 0).otherwise(-100)
         + F.when(yes(F.col("bad_head") + F.col("invalid_lines") > 0), -50).otherwise(0)
     )
@@ -105,8 +108,8 @@ def rank_linked(
     return ranked(scored, ["project"])
 
 
-def rollout_metas(parsed: DataFrame, n: int) -> DataFrame:
-    """First session_meta row among the first ``n`` lines: (session_id, has_meta, id, cwd, meta_ts)."""
+def rollout_metas(parsed: DataFrame, n: int | None = None) -> DataFrame:
+    """First session_meta row, of all lines or of the first ``n``: (session_id, has_meta, id, cwd, meta_ts)."""
     v = F.col("v")
     rows = head(parsed, n).where((F.col("json_kind") == "object") & (J.as_string(v, "$.type") == "session_meta"))
     facts = F.struct(
@@ -117,13 +120,13 @@ def rollout_metas(parsed: DataFrame, n: int) -> DataFrame:
         F.col("m.meta_ts").alias("meta_ts"))
 
 
-def _flat_facts(parsed: DataFrame, files: DataFrame, tail_lines: int) -> DataFrame:
+def _flat_facts(parsed: DataFrame, files: DataFrame, tail_lines: int | None, head_lines: int | None) -> DataFrame:
     v = F.col("v")
-    bad_head = head(parsed, 100).groupBy("session_id").agg(F.count_if(F.col("json_kind") == "invalid").alias("bad_head"))
+    bad_head = head(parsed, head_lines).groupBy("session_id").agg(F.count_if(F.col("json_kind") == "invalid").alias("bad_head"))
     last = tail(parsed, tail_lines).where("json_kind = 'object'").select(
         "session_id", "line", J.as_string(v, "$.timestamp").alias("ts_raw"))
     facts = files
-    for part in (rollout_metas(parsed, 100), bad_head, last_activity(last), invalid_counts(parsed),
+    for part in (rollout_metas(parsed, head_lines), bad_head, last_activity(last), invalid_counts(parsed),
                  detect_format(parsed).select("session_id", "agent")):
         facts = facts.join(part, "session_id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -136,34 +139,38 @@ def _flat_facts(parsed: DataFrame, files: DataFrame, tail_lines: int) -> DataFra
         "activity", F.coalesce("last_activity_ts", F.timestamp_seconds(F.lit(0))))
 
 
-def rank_flat(parsed: DataFrame, files: DataFrame, projects: DataFrame, tail_lines: int = 500) -> DataFrame:
+def rank_flat(
+    parsed: DataFrame, files: DataFrame, projects: DataFrame, tail_lines: int | None = None, head_lines: int | None = None,
+) -> DataFrame:
     """Rollouts whose cwd matches a project, best first (an equi-join on cwd).
 
     Projects without any match use :func:`fallback_flat`.
     """
-    hits = _flat_facts(parsed, files, tail_lines).join(
+    hits = _flat_facts(parsed, files, tail_lines, head_lines).join(
         projects.select("project", F.col("cwd").alias("meta_cwd")).distinct(), "meta_cwd").select(
         "project", "session_id", "path", "mtime", (F.col("base") + 100).alias("score"), F.lit("cwd-hash").alias("method"), "activity")
     return ranked(hits, ["project"])
 
 
-def fallback_flat(parsed: DataFrame, files: DataFrame, tail_lines: int = 500, n: int = 5) -> DataFrame:
+def fallback_flat(
+    parsed: DataFrame, files: DataFrame, tail_lines: int | None = None, n: int = 5, head_lines: int | None = None,
+) -> DataFrame:
     """T2 without any cwd match: the ``n`` best rollouts, the same for every such project."""
     score = F.col("base") + F.when(F.col("meta_cwd").isNotNull(), -10).otherwise(0)
-    return _flat_facts(parsed, files, tail_lines).select(
+    return _flat_facts(parsed, files, tail_lines, head_lines).select(
         "session_id", "path", "mtime", score.alias("score"), F.lit("fallback").alias("method"),
         F.lit("low").alias("confidence"), "activity",
     ).orderBy(F.col("activity").desc(), F.col("score").desc(), F.col("mtime").desc(), "path").limit(n)
 
 
-def match_text(parsed: DataFrame, needle: str, tail_lines: int = 500) -> DataFrame:
-    """sessions whose tail contains the text in its re-serialised JSON."""
+def match_text(parsed: DataFrame, needle: str, tail_lines: int | None = None) -> DataFrame:
+    """sessions whose lines, or whose last ``tail_lines``, contain the text in its re-serialised JSON."""
     rows = tail(parsed, tail_lines).where("json_kind <> 'invalid'")
     return rows.where(F.contains(F.lower(F.to_json("v")), F.lit(needle.lower()))).select("session_id").distinct()
 
 
-def lookup(parsed: DataFrame, files: DataFrame, needle: str, tail_lines: int = 500, n: int = 5) -> DataFrame:
-    """Newest sessions whose tail contains the text."""
+def lookup(parsed: DataFrame, files: DataFrame, needle: str, tail_lines: int | None = None, n: int = 5) -> DataFrame:
+    """Newest sessions that contain the text (in their last ``tail_lines``, if given)."""
     v = F.col("v")
     last = tail(parsed, tail_lines).where("json_kind = 'object'").select("session_id", "line", J.as_string(v, "$.timestamp").alias("ts_raw"))
     hits = files.join(match_text(parsed, needle, tail_lines), "session_id").join(last_activity(last), "session_id", "left").join(
@@ -191,7 +198,7 @@ def enrich(catalog: DataFrame, tracked: DataFrame) -> DataFrame:
     return catalog.join(tracked.withColumn("tracked", F.lit(True)), "session_id", "left").na.fill(False, ["tracked"])
 
 
-def catalog(linked_files: DataFrame, flat_files: DataFrame, tracked: DataFrame, limit: int | None = 80) -> DataFrame:
+def catalog(linked_files: DataFrame, flat_files: DataFrame, tracked: DataFrame, limit: int | None = None) -> DataFrame:
     """T4: both listings with their tracking state, newest activity first."""
     columns = ["agent", "session_id", "path", "mtime", "cwd", "source"]
     a = linked_files.withColumn("agent", F.lit("claude")).withColumn("source", F.lit("claude-project"))

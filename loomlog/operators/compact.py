@@ -45,18 +45,18 @@ def root_users(linked: DataFrame, chain: DataFrame) -> DataFrame:
     return placed.groupBy("session_id").agg(F.min(rank).alias("r")).select("session_id", "r.line", "r.uuid", "r.is_meta")
 
 
-def visible_messages(linked: DataFrame, chain: DataFrame, roots: DataFrame) -> DataFrame:
-    """Chain messages root first, led by a meta root that is off the chain: (…, pos).
+BEFORE_ALL = -(1 << 60)  # a place before every row of a chain
 
-    The chain has at most 50 000 rows, so its depth serves as a dense order.
-    """
+
+def visible_messages(linked: DataFrame, chain: DataFrame, roots: DataFrame) -> DataFrame:
+    """Chain messages root first, led by a meta root that is off the chain: (…, pos)."""
     messages = entries(linked).where("is_message").select("session_id", "line", "uuid", "role", "v")
     on_chain = messages.join(chain.select("session_id", "line", "depth"), ["session_id", "line"])
     meta = roots.where("is_meta").select("session_id", "line")
     detached = messages.join(meta, ["session_id", "line"], "left_semi").join(
         chain.select("session_id", "line"), ["session_id", "line"], "left_anti")
-    return on_chain.withColumn("pos", G.CHAIN_LIMIT - F.col("depth")).drop("depth").unionByName(
-        detached.withColumn("pos", F.lit(-1).cast("bigint")))
+    return on_chain.withColumn("pos", -F.col("depth")).drop("depth").unionByName(
+        detached.withColumn("pos", F.lit(BEFORE_ALL).cast("bigint")))
 
 
 def select_prefix(visible: DataFrame, amount: Amount, keep_last: bool = False, counts: DataFrame | None = None) -> DataFrame:

@@ -135,6 +135,8 @@ def _single(df: DataFrame, name: str) -> DataFrame:
 
 def ordered_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(session_id, stretch, k, kind, a_line, b_line, text), in order of (stretch, k)."""
+    # Plain copies under fresh names, so that one side may be derived from the other.
+    a, b = (df.toDF(*df.columns).select("session_id", "line", "text") for df in (a, b))
     anchors = _single(a, "a_line").join(_single(b, "b_line"), ["session_id", "text"])
     anchors = cut(anchors)
     up = running(anchors, {"_hi": Running("max", F.col("b_line"), before=True)}, order=("a_line",))

@@ -13,18 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.operators.ordered import BLOCK_LINES, with_block
+from loomlog.operators.ordered import BLOCK_LINES, Running, running, with_block
 from loomlog.session import cut, ship_by_value
 from loomlog.sources.lines import entries, has_thinking
 
 ship_by_value(__name__)
 
-# Hop limits of the source tools (fixed values).
-CHAIN_LIMIT = 50_000
-RESUME_LIMIT = 10_000
-RELINK_LIMIT = 100
-MAX_ROUNDS = 17
-
 
 def nodes(linked: DataFrame, *extra: str) -> DataFrame:
     """One row per (session, uuid); the last row of a repeated uuid wins."""
@@ -65,11 +59,16 @@ def _segment_links(rows: DataFrame) -> DataFrame:
     return heads.join(targets, ["session_id", "head_parent"], "left")
 
 
-def walk(rows: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
+def _upto(rows: DataFrame, column: str, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.where(F.col(column) < limit)
+
+
+def walk(rows: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows on the parent path from each start uuid: (session_id, uuid, line, depth).
 
     ``rows`` come from :func:`segments`; ``starts`` has (session_id, uuid). A path
-    ends at a missing parent, at a row it has already visited, or after ``limit`` rows.
+    ends at a missing parent, at a row it has already visited, or after ``limit``
+    rows if a limit is given. Rounds follow the logarithm of the segment changes.
     """
     rows = cut(rows)
     reached = rows.join(starts.select("session_id", "uuid"), ["session_id", "uuid"]).select(
@@ -81,11 +80,11 @@ def walk(rows: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
         .select("session_id", "seg", "to_seg", "to_off", F.lit(1).cast("bigint").alias("hops"))
     )
     known = reached.count()
-    for _ in range(MAX_ROUNDS):
-        step = reached.join(jumps, ["session_id", "seg"]).select(
+    while True:
+        step = _upto(reached.join(jumps, ["session_id", "seg"]).select(
             "session_id", F.col("to_seg").alias("seg"), F.col("to_off").alias("off"),
             (F.col("depth") + F.col("off") + F.col("hops")).alias("depth"),
-        ).where(F.col("depth") < limit)
+        ), "depth", limit)
         reached = cut(
             reached.unionByName(step).groupBy("session_id", "seg", "off").agg(F.min("depth").alias("depth"))
         )
@@ -97,18 +96,15 @@ def walk(rows: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
             "session_id", F.col("seg").alias("to_seg"), F.col("to_seg").alias("seg2"),
             F.col("to_off").alias("off2"), F.col("hops").alias("hops2"),
         )
-        jumps = cut(
+        jumps = cut(_upto(
             jumps.join(onward, ["session_id", "to_seg"]).select(
                 "session_id", "seg", F.col("seg2").alias("to_seg"), F.col("off2").alias("to_off"),
                 (F.col("hops") + F.col("to_off") + F.col("hops2")).alias("hops"),
-            ).where(F.col("hops") < limit)
-        )
+            ), "hops", limit))
     entry = reached.select("session_id", "seg", F.col("off").alias("_off"), F.col("depth").alias("_depth"))
     on_path = rows.join(entry, ["session_id", "seg"]).where(F.col("off") <= F.col("_off"))
     depth = F.col("_depth") + F.col("_off") - F.col("off")
-    return (
-        on_path.groupBy("session_id", "uuid", "line").agg(F.min(depth).alias("depth")).where(F.col("depth") < limit)
-    )
+    return _upto(on_path.groupBy("session_id", "uuid", "line").agg(F.min(depth).alias("depth")), "depth", limit)
 
 
 def leaves(node_rows: DataFrame, all_entries: DataFrame) -> DataFrame:
@@ -122,10 +118,10 @@ def leaves(node_rows: DataFrame, all_entries: DataFrame) -> DataFrame:
     return free.groupBy("session_id").agg(F.max_by("uuid", rank).alias("uuid"))
 
 
-def active_chain(linked: DataFrame) -> DataFrame:
+def active_chain(linked: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows from the leaf to the root; order root first by descending depth."""
     known = nodes(linked, "ts")
-    return walk(segments(known), leaves(known, entries(linked)), CHAIN_LIMIT)
+    return walk(segments(known), leaves(known, entries(linked)), limit)
 
 
 def chain_messages(linked: DataFrame, chain: DataFrame | None = None) -> DataFrame:
@@ -136,10 +132,14 @@ def chain_messages(linked: DataFrame, chain: DataFrame | None = None) -> DataFra
 
 
 def _segment_roots(rows: DataFrame) -> DataFrame:
-    """(session, seg, root_seg): the last segment upward, NULL inside a cycle."""
-    link = _segment_links(rows).select("session_id", "seg", F.col("to_seg").alias("nxt"))
-    roots = cut(link)
-    for _ in range(MAX_ROUNDS):
+    """(session, seg, root_seg): the last segment upward, NULL for paths into a cycle.
+
+    A round doubles the distance, so after as many rounds as the number of
+    segments has bits only paths into cycles still move.
+    """
+    link = cut(_segment_links(rows).select("session_id", "seg", F.col("to_seg").alias("nxt")))
+    roots = link
+    for _ in range(link.count().bit_length() + 1):
         far = roots.select("session_id", F.col("seg").alias("nxt"), F.col("nxt").alias("far"))
         stepped = cut(roots.join(far, ["session_id", "nxt"], "left").select("session_id", "seg", "nxt", "far"))
         moving = stepped.where(F.col("far").isNotNull()).limit(1).count()
@@ -182,20 +182,38 @@ def expand_turns(selected: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
-def _spread(start: DataFrame, links: DataFrame) -> DataFrame:
-    """All (session, line) connected to ``start`` through shared tool ids."""
-    found = cut(start.select("session_id", "line").distinct())
-    frontier = found
-    while True:
-        ids = frontier.join(links, ["session_id", "line"]).select("session_id", "tool_id").distinct()
-        fresh = (
-            links.join(ids, ["session_id", "tool_id"], "left_semi").select("session_id", "line").distinct()
-            .join(found, ["session_id", "line"], "left_anti")
-        )
-        frontier = cut(fresh)
-        if frontier.isEmpty():
-            return found
-        found = cut(found.unionByName(frontier))
+def components(edges: DataFrame) -> DataFrame:
+    """(session_id, node, root) of the nodes of ``edges`` (session_id, a, b); root is the smallest node reached.
+
+    Two star contractions alternate until only stars are left, so a chain of n
+    edges takes about log n rounds.
+    """
+    key = ["session_id"]
+
+    def only_stars(e: DataFrame) -> bool:
+        """Every node either heads edges or stands below exactly one."""
+        side = lambda name, below: F.struct(F.col(name).alias("node"), F.lit(below).alias("below"))
+        ends = e.select(*key, F.explode(F.array(side("a", 0), side("b", 1))).alias("x"))
+        sums = ends.groupBy(*key, "x.node").agg(F.sum("x.below").alias("below"), F.count(F.lit(1)).alias("all"))
+        return sums.where((F.col("below") > 0) & (F.col("all") > 1)).isEmpty()
+
+    now = cut(edges.where("a <> b").select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while not only_stars(now):
+        both = now.unionByName(now.select(*key, F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(*key, "a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = both.where("b > a").join(low, [*key, "a"]).select(*key, F.col("low").alias("a"), "b").where("a <> b").distinct()
+        met = large.join(large.groupBy(*key, "b").agg(F.min("a").alias("low")), [*key, "b"])
+        hung = met.select(*key, F.col("low").alias("a"), F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        now = cut(hung.unionByName(met.select(*key, F.col("low").alias("a"), "b")).distinct())
+    roots = now.select(*key, F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    return roots.unionByName(now.select(*key, F.col("b").alias("node"), F.col("a").alias("root")))
+
+
+def _spread(start: DataFrame, groups: DataFrame) -> DataFrame:
+    """All (session, line) in a component of ``groups`` with a line of ``start``, and ``start`` itself."""
+    begin = start.select("session_id", "line").distinct()
+    hit = groups.join(begin, ["session_id", "line"], "left_semi").select("session_id", "root").distinct()
+    return cut(groups.join(hit, ["session_id", "root"], "left_semi").select("session_id", "line").unionByName(begin).distinct())
 
 
 def pair_closure(refs: DataFrame, initial: DataFrame) -> DataFrame:
@@ -211,9 +229,12 @@ def pair_closure(refs: DataFrame, initial: DataFrame) -> DataFrame:
     links = tagged.where("has_use and has_result").select("session_id", "line", "tool_id").distinct()
     orphans = tagged.where("side = 'result' and not has_use").select("session_id", "line").distinct()
     initial = cut(initial.select("session_id", "line").distinct())
-    near = _spread(initial, links)
+    # Lines of a tool id hang on its first line, so a tool with many lines stays a star.
+    first = links.groupBy("session_id", "tool_id").agg(F.min("line").alias("a"))
+    groups = cut(components(links.join(first, ["session_id", "tool_id"]).select("session_id", "a", F.col("line").alias("b"))).withColumnRenamed("node", "line"))
+    near = _spread(initial, groups)
     loose = cut(orphans.join(near, ["session_id", "line"], "left_anti"))
-    wide = near if loose.isEmpty() else _spread(near.unionByName(loose), links)
+    wide = near if loose.isEmpty() else _spread(near.unionByName(loose), groups)
     return (
         wide.join(initial.withColumn("_s", F.lit(True)), ["session_id", "line"], "left")
         .join(loose.withColumn("_o", F.lit(True)), ["session_id", "line"], "left")
@@ -225,34 +246,20 @@ def pair_closure(refs: DataFrame, initial: DataFrame) -> DataFrame:
 
 
 def relinked_parents(linked: DataFrame, removed: DataFrame) -> DataFrame:
-    """(session_id, line, new_parent) of kept rows whose parent was removed."""
+    """(session_id, line, new_parent) of kept rows whose parent was removed.
+
+    The new parent is what the last removed row upward points at, however many
+    were removed in a row; NULL where the removed rows form a cycle.
+    """
     gone = entries(linked).join(removed.select("session_id", "line"), ["session_id", "line"], "left_semi")
     rows = cut(segments(nodes(gone)))
     kept = entries(linked).where(F.col("parent_uuid").isNotNull()).join(
         removed.select("session_id", "line"), ["session_id", "line"], "left_anti"
     ).select("session_id", "line", "parent_uuid")
-    place = rows.select("session_id", F.col("uuid").alias("parent_uuid"), "seg", "off")
-    state = cut(kept.join(place, ["session_id", "parent_uuid"]).select(
-        "session_id", "line", "seg", "off", F.lit(0).cast("bigint").alias("hops")))
-    links = cut(_segment_links(rows))
-    spot = rows.select("session_id", "seg", F.col("off").alias("_at"), F.col("uuid").alias("_cap_uuid"))
-    done: DataFrame | None = None
-    while True:
-        moved = state.join(links, ["session_id", "seg"]).withColumn("_left", RELINK_LIMIT - F.col("hops"))
-        fits = F.col("off") + 1 <= F.col("_left")
-        # A segment longer than the remaining hops ends inside itself.
-        capped = moved.where(~fits).withColumn("_at", F.col("off") - F.col("_left")).join(
-            spot, ["session_id", "seg", "_at"]
-        ).select("session_id", "line", F.col("_cap_uuid").alias("new_parent"))
-        left = moved.where(fits).withColumn("hops", F.col("hops") + F.col("off") + 1)
-        goes_on = F.col("to_seg").isNotNull() & (F.col("hops") < RELINK_LIMIT)
-        ended = left.where(~goes_on).select("session_id", "line", F.col("head_parent").alias("new_parent"))
-        part = ended.unionByName(capped)
-        done = part if done is None else done.unionByName(part)
-        state = cut(left.where(goes_on).select(
-            "session_id", "line", F.col("to_seg").alias("seg"), F.col("to_off").alias("off"), "hops"))
-        if state.isEmpty():
-            return done
+    place = rows.select("session_id", F.col("uuid").alias("parent_uuid"), "seg")
+    above = rows.where(F.col("off") == 0).select("session_id", F.col("seg").alias("root_seg"), F.col("parent_uuid").alias("new_parent"))
+    ends = _segment_roots(rows).join(above, ["session_id", "root_seg"], "left").select("session_id", "seg", "new_parent")
+    return kept.join(place, ["session_id", "parent_uuid"]).join(ends, ["session_id", "seg"]).select("session_id", "line", "new_parent")
 
 
 def _branched_collapse(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -329,10 +336,10 @@ def collapse_plan(linked: DataFrame) -> DataFrame:
     return straight.unionByName(branched)
 
 
-def resume_violations(linked: DataFrame) -> DataFrame:
+def resume_violations(linked: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per session whose resumed prompt breaks the thinking-first rule.
 
-    The chain is at most 10 000 rows by the rule itself, which bounds its windows.
+    Looks at the whole chain, or at its newest ``limit`` rows.
     """
     talk = F.col("role").isin("user", "assistant") & ~F.col("is_api_error") & F.col("uuid").isNotNull()
     leaf = (
@@ -340,7 +347,7 @@ def resume_violations(linked: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("line", "uuid")).alias("leaf")).select("session_id", "leaf.uuid", "leaf.line")
     )
     leaf = cut(leaf)
-    chain = walk(segments(nodes(linked)), leaf, RESUME_LIMIT)
+    chain = walk(segments(nodes(linked)), leaf, limit)
     blocks = F.col("blocks")
     has_result = F.exists(blocks, lambda b: (b["type"] == "tool_result") & b["tool_use_id"].isNotNull())
     rows = entries(linked).join(chain.select("session_id", "line", "depth"), ["session_id", "line"]).where(
@@ -353,21 +360,19 @@ def resume_violations(linked: DataFrame) -> DataFrame:
         F.try_element_at(blocks, F.lit(1))["type"].alias("first_type"),
         (F.col("role") == "user").alias("is_user"), F.coalesce(has_result, F.lit(False)).alias("has_result"),
     )
-    w = Window.partitionBy("session_id").orderBy("depth")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    through = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walls = F.sum(F.when(F.col("is_user") & ~F.col("has_result"), 1).otherwise(0))
-    marked = rows.withColumn("_walls", walls.over(through)).withColumn(
-        "_prev", F.last(F.when(~F.col("is_user"), F.struct("merge_key", "_walls")), True).over(before)
-    )
+    wall = F.when(F.col("is_user") & ~F.col("has_result"), 1).otherwise(0)
+    by_depth = {"order": ("depth",)}
+    walled = running(rows, {"_walls": Running("sum", wall)}, **by_depth)
+    previous = Running("last", F.when(~F.col("is_user"), F.struct("merge_key", "_walls")), before=True)
+    marked = running(walled, {"_prev": previous}, **by_depth)
     joins = ~F.col("is_user") & F.coalesce(
         (F.col("_prev.merge_key") == F.col("merge_key")) & (F.col("_prev._walls") == F.col("_walls")), F.lit(False)
     )
-    placed = marked.withColumn("_new", (~joins).cast("bigint")).withColumn("idx", F.sum("_new").over(through) - 1)
+    marked = marked.withColumn("_joins", joins)
+    placed = running(marked, {"_count": Running("sum", (~F.col("_joins")).cast("bigint"))}, **by_depth).withColumn("idx", F.col("_count") - 1)
     # An island's index: that of the prompt message it started.
-    placed = placed.withColumn(
-        "msg", F.when(~F.col("is_user"), F.last(F.when(~F.col("is_user") & ~joins, F.col("idx")), True).over(through))
-    )
+    island = Running("last", F.when(~F.col("is_user") & ~F.col("_joins"), F.col("idx")))
+    placed = running(placed, {"_island": island}, **by_depth).withColumn("msg", F.when(~F.col("is_user"), F.col("_island")))
     full = F.col("n_blocks") > 0
     merged = placed.where(~F.col("is_user")).groupBy("session_id", "msg").agg(
         F.bool_or("thinks").alias("thinks"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomlog.functions import text as T
 from loomlog.functions import tokens as K
 from loomlog.operators import stats as S
+from loomlog.operators.ordered import Running, running
 
 RETRY_SECONDS = 30  # wait after an attempt before the next one (fixed value)
 
@@ -119,10 +120,19 @@ def current_by_cwd(turns: DataFrame) -> DataFrame:
 
 
 def quiet_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
-    """M5: closed activity windows per session; a closed window means the session was quiet."""
-    w = F.session_window("ts", gap)
-    return events.groupBy("session_id", w).agg(F.count(F.lit(1)).alias("n")).select(
-        "session_id", F.col("session_window.start").alias("start_ts"), F.col("session_window.end").alias("quiet_at"), "n")
+    """M5: closed activity windows per session; a closed window means the session was quiet.
+
+    A window opens where the instant before lies ``gap`` or more back. Instants are counted before they are
+    ordered, in blocks of an hour, so no task holds a whole session.
+    """
+    hour = 3_600_000_000
+    instants = events.where("ts is not null").groupBy("session_id", F.unix_micros("ts").alias("us")).agg(F.count(F.lit(1)).alias("same"))
+    lagged = running(instants, {"_prev": Running("last", F.col("us"), before=True)}, order=("us",), size=hour)
+    after = lambda us: F.timestamp_micros(us) + F.expr(f"interval {gap}")
+    opens = F.coalesce(F.timestamp_micros("us") >= after(F.col("_prev")), F.lit(True))
+    placed = running(lagged, {"_first": Running("last", F.when(opens, F.col("us")))}, order=("us",), size=hour)
+    return placed.groupBy("session_id", "_first").agg(F.max("us").alias("_last"), F.sum("same").alias("n")).select(
+        "session_id", F.timestamp_micros("_first").alias("start_ts"), after(F.col("_last")).alias("quiet_at"), "n")
 
 
 def gap_windows(beats: DataFrame, width: str = "1 day") -> DataFrame:
@@ -132,8 +142,13 @@ def gap_windows(beats: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def counters(log: DataFrame, width: str = "1 hour") -> DataFrame:
-    """M7: attempts, results and tokens per session and hour, repeated rows counted once."""
-    rows = log.dropDuplicates(["session_id", "ts", "event"])
+    """M7: attempts, results and tokens per session and hour, of repeated rows the one on the lowest line counts.
+
+    Rows without line numbers (a stream's) go by their values instead.
+    """
+    values = F.struct("result", "tokens")
+    first = F.min_by(values, F.col("line") if "line" in log.columns else values).alias("x")
+    rows = log.groupBy("session_id", "ts", "event").agg(first).select("session_id", "ts", "event", "x.*")
     return rows.groupBy("session_id", F.window("ts", width).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("result") == "success").alias("successes"),
         F.count_if(F.col("result") == "failed").alias("failures"), F.sum("tokens").cast("bigint").alias("tokens"),

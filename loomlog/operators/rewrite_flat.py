@@ -178,10 +178,10 @@ def strip_noise(flat: DataFrame, **switches: bool) -> Rewrite:
     )
 
 
-def legacy_cwds(flat: DataFrame, scan: int = 200) -> DataFrame:
-    """The first <cwd> among the first 200 records of each legacy session."""
+def legacy_cwds(flat: DataFrame, scan: int | None = None) -> DataFrame:
+    """The first <cwd> among the records of each legacy session, or among its first ``scan`` ones."""
     records = flat.where("kind = 'legacy_record'").select("session_id", "line", "item", "item_type", "role")
-    first = first_rows(records, scan, [F.col("line").asc()])
+    first = records if scan is None else first_rows(records, scan, [F.col("line").asc()])
     texts = F.transform(
         F.filter(J.as_array(F.col("item"), "$.content"), lambda x: J.as_string(x, "$.type") == "input_text"),
         lambda x: P.legacy_cwd(J.as_string(x, "$.text")))

@@ -101,7 +101,7 @@ def flat_kinds(spark, sf_dir):
 , top as (select 'chats' source, session_id, line, case when bad then null else 3 end hit, bad from al
   union all select 'rollouts', session_id, line, case when kind = 'wrapped' then 1 end, kind = 'invalid_json' from b
   union all select 'legacy', session_id, line, case when kind = 'legacy_meta' then 2 end, kind = 'invalid_json' from lg),
-s as (select * from top qualify row_number() over (partition by source, session_id order by line) <= 25),
+s as (select * from top where true),
 g as (select source, session_id, arg_min(hit, line) filter (hit is not null) h, bool_or(bad) bad from s group by all)
 select source, session_id, case when h in (1, 2) then 'codex' when h = 3 then 'claude' else 'unknown' end agent,
  coalesce(case h when 1 then 'wrapped' when 2 then 'legacy' when 3 then 'jsonl' end, '-') format,
@@ -405,7 +405,7 @@ def thresholds(spark, sf_dir):
 
 
 @register("p19_legacy_cwds", sql("lg", """
-, k as (select * from lg where kind = 'legacy_record' qualify row_number() over (partition by session_id order by line) <= 200)
+, k as (select * from lg where kind = 'legacy_record')
 select session_id, concat('/work/p', any_value(u) % 10) cwd from k where itype = 'message' and e % 7 = 0 group by session_id"""))
 def legacy_cwds(spark, sf_dir):
     return RF.legacy_cwds(D.flat(spark, sf_dir, "legacy"))
@@ -645,7 +645,7 @@ from tt left join h using (session_id) left join w on w.session_id = tt.session_
 
 @register("w2_token_plan", sql("recursive al a chain sizes", _PLAN_SQL.format(src="sizes", o="depth desc")))
 def token_plan(spark, sf_dir):
-    sizes = D.chain_sizes(spark, sf_dir).withColumn("pos", G.CHAIN_LIMIT - F.col("depth"))
+    sizes = D.chain_sizes(spark, sf_dir).withColumn("pos", -F.col("depth"))
     return S.removal_plan(sizes, Amount("percent", 40), keep_last=2, order="pos")
 
 
@@ -694,7 +694,7 @@ def pair_closure(spark, sf_dir):
 @register("g5_relink", sql("recursive r", """
 , gone as (select * from r where line % 3 <> 0), kept as (select * from r where line % 3 = 0 and parent is not null),
 walk as (select k.session_id, k.line, k.parent cur, 0 hops from kept k
-  union all select w.session_id, w.line, g.parent, hops + 1 from walk w join gone g on g.session_id = w.session_id and g.uuid = w.cur where hops < 100)
+  union all select w.session_id, w.line, g.parent, hops + 1 from walk w join gone g on g.session_id = w.session_id and g.uuid = w.cur)
 select session_id, line, coalesce(arg_max(cur, hops), '-') new_parent from (select *, max(hops) over (partition by session_id, line) mh from walk) where hops = mh and mh > 0 group by all"""))
 def relink(spark, sf_dir):
     linked = D.linked(spark, sf_dir, "runs")
@@ -749,7 +749,7 @@ _REACH = """reach as (select distinct session_id, line from seeds
 kept as (select * from a where not exists (select 1 from reach g where g.session_id = a.session_id and g.line = a.line)),
 gone as (select a.* from a join reach using (session_id, line)),
 walk as (select k.session_id, k.line, k.uuid, k.parent cur, 0 hops from kept k
-  union all select w.session_id, w.line, w.uuid, g.parent, hops + 1 from walk w join gone g on g.session_id = w.session_id and g.uuid = w.cur where hops < 100),
+  union all select w.session_id, w.line, w.uuid, g.parent, hops + 1 from walk w join gone g on g.session_id = w.session_id and g.uuid = w.cur),
 relinked as (select session_id, line, uuid, coalesce(arg_max(coalesce(cur, '-'), hops), '-') parent from walk group by all)"""
 
 
@@ -894,7 +894,7 @@ def strip_noise(spark, sf_dir):
 
 
 @register("x10_migrate", sql("lg", """select session_id, line, 'session_meta' wrapped_type, coalesce(cwd, '.') detail from lg left join
- (select session_id, concat('/work/p', any_value(u) % 10) cwd from (select * from lg where kind = 'legacy_record' qualify row_number() over (partition by session_id order by line) <= 200) where itype = 'message' and e % 7 = 0 group by session_id) using (session_id) where kind = 'legacy_meta'
+ (select session_id, concat('/work/p', any_value(u) % 10) cwd from (select * from lg where kind = 'legacy_record') where itype = 'message' and e % 7 = 0 group by session_id) using (session_id) where kind = 'legacy_meta'
 union all select session_id, line, 'response_item', itype from lg where itype is not null"""))
 def migrate(spark, sf_dir):
     rows = L.parse_lines(cut(RF.migrate(D.flat(spark, sf_dir, "legacy")).lines))
@@ -937,8 +937,8 @@ def _compaction(spark, sf_dir, tokens: bool):
 _VISIBLE = """, roots as (select session_id, arg_min(line, rk) rline, arg_min(meta, rk) rmeta, arg_min(uuid, rk) ruuid from
   (select a.session_id, a.line, a.meta, a.uuid, case when a.meta then 0 when depth is not null then 100000 - depth else 200000 + a.line end rk from a left join chain on chain.session_id = a.session_id and chain.line = a.line
    where a.typ = 'user' and a.parent is null) group by session_id),
-vis as (select a.session_id, a.line, a.uuid, 50000 - depth pos from a join chain on chain.session_id = a.session_id and chain.line = a.line where msg
-  union all select session_id, rline, ruuid, -1 from roots where rmeta and not exists (select 1 from chain where chain.session_id = roots.session_id and chain.line = roots.rline)),
+vis as (select a.session_id, a.line, a.uuid, -depth pos from a join chain on chain.session_id = a.session_id and chain.line = a.line where msg
+  union all select session_id, rline, ruuid, -(1::bigint << 60) from roots where rmeta and not exists (select 1 from chain where chain.session_id = roots.session_id and chain.line = roots.rline)),
 vn as (select *, row_number() over (partition by session_id order by pos) rn, count(*) over (partition by session_id) n from vis)"""
 
 
@@ -1113,10 +1113,10 @@ def rank_linked(spark, sf_dir):
 
 
 @register("t2_rank_flat", sql("b", ", " + _FILES + """,
-hd as (select * from b where kind <> 'non_object' qualify row_number() over (partition by session_id order by line) <= 100),
+hd as (select * from b where kind <> 'non_object'),
 mm as (select session_id, arg_min(e, line) me from hd where typ = 'session_meta' group by session_id),
 bd as (select session_id, bool_or(kind = 'invalid_json') bad from b group by session_id),
-tl as (select * from b qualify row_number() over (partition by session_id order by line desc) <= 500),
+tl as (select * from b),
 ac as (select session_id, max(date_trunc('milliseconds', ts)) act from tl where kind = 'wrapped' group by session_id),
 pj as (select distinct c % 10 p from fl),
 sc as (select concat('/work/p', u % 10) project, session_id, path, mt, 170 + (case when me % 2 = 0 then 10 else 0 end) - (case when bad then 50 else 0 end) score, act
@@ -1131,10 +1131,10 @@ def rank_flat(spark, sf_dir):
 
 
 @register("t2_fallback_flat", sql("b", ", " + _FILES + """,
-hd as (select * from b where kind <> 'non_object' qualify row_number() over (partition by session_id order by line) <= 100),
+hd as (select * from b where kind <> 'non_object'),
 mm as (select session_id, arg_min(e, line) me from hd where typ = 'session_meta' group by session_id),
 bd as (select session_id, bool_or(kind = 'invalid_json') bad from b group by session_id),
-tl as (select * from b qualify row_number() over (partition by session_id order by line desc) <= 500),
+tl as (select * from b),
 ac as (select session_id, max(date_trunc('milliseconds', ts)) act from tl where kind = 'wrapped' group by session_id)
 select session_id, (20 + (case when me is not null then 40 else 0 end) + (case when me % 2 = 0 then 10 else 0 end) - (case when bad then 50 else 0 end))::bigint score
 from ff left join mm using (session_id) join bd using (session_id) join ac using (session_id) where o = 0 order by act desc, score desc, mt desc, path limit 5"""))
@@ -1237,7 +1237,7 @@ def id_lookup(spark, sf_dir):
 k as (select concat('conv-', u) id, concat('/work/p', u % 10) cwd, ts from m where e % 2 = 0)
 select cwd, 'none' thread_id, arg_max(id, (ts, id)) newer_id from k where ts > timestamp '2024-01-05' group by cwd"""))
 def newer_rollout(spark, sf_dir):
-    metas = CT.rollout_metas(D.parsed_table(spark, sf_dir, "rollouts"), 1_000_000).withColumn("mtime", F.lit(None).cast("timestamp"))
+    metas = CT.rollout_metas(D.parsed_table(spark, sf_dir, "rollouts")).withColumn("mtime", F.lit(None).cast("timestamp"))
     recorded = D.projects(spark, sf_dir).select("cwd").distinct().withColumn("thread_id", F.lit("none")).withColumn(
         "newer_than", F.expr("timestamp'2024-01-05 00:00:00'"))
     return CT.newer_rollout(metas, recorded)

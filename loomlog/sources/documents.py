@@ -42,9 +42,11 @@ def day_folders(today: date, lookback_days: int) -> list[str]:
 
 
 def scan_rollouts(
-    spark: SparkSession, root: str, today: date, lookback_days: int = 14, max_files: int | None = 200,
+    spark: SparkSession, root: str, today: date | None = None, lookback_days: int | None = None, max_files: int | None = None,
 ) -> DataFrame:
-    """Flat-format files of the last days, newest first; only those day folders are listed."""
+    """Flat-format files, newest first. With ``lookback_days`` only the day folders up to ``today`` are listed."""
+    if lookback_days is None:
+        return _rollout_files(spark, root, max_files)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     present = []
     for day in day_folders(today, lookback_days):
@@ -53,7 +55,11 @@ def scan_rollouts(
             present.append(f"{root}/{day}")
     if not present:
         return spark.createDataFrame([], "path string, mtime timestamp, size bigint, session_id string")
-    files = list_files(spark, present, "rollout-*.jsonl").withColumn(
+    return _rollout_files(spark, present, max_files)
+
+
+def _rollout_files(spark: SparkSession, roots: str | list[str], max_files: int | None) -> DataFrame:
+    files = list_files(spark, roots, "rollout-*.jsonl").withColumn(
         "session_id", P.flat_session_id(F.col("path"), F.lit(None).cast("string")))
     ordered = files.orderBy(F.col("mtime").desc(), "path")
     return ordered if max_files is None else ordered.limit(max_files)

@@ -13,11 +13,9 @@ from loomlog.operators.ordered import first_rows, with_session_values
 from loomlog.session import configure
 
 LINE_BREAK = r"\r\n|\n|\r"
-WHOLE_FILE_LIMIT = 64 << 20
 
 # Known entry types of the linked format (fixed values).
 LINKED_TYPES = ("assistant", "user", "system", "summary", "file-history-snapshot")
-DETECTION_SAMPLE = 25
 
 
 def split_lines(texts: DataFrame, text: str = "value") -> DataFrame:
@@ -31,14 +29,18 @@ def split_lines(texts: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def read_session_lines(spark: SparkSession, paths: str | list[str], limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
+def read_session_lines(spark: SparkSession, paths: str | list[str], whole_up_to: int | None = None) -> DataFrame:
     """JSONL files to (session_id, path, mtime, size, line, raw).
 
-    Files up to ``limit`` bytes are read whole, one row each, with no exchange.
-    Larger files are read in splits; the line numbers of a split continue the
-    counts of the splits before it. The size test prunes files at listing time.
+    Files are read in splits; the line numbers of a split continue the counts of
+    the splits before it. Uncompressed files up to ``whole_up_to`` bytes, if
+    given, are read whole instead, one row each and with no exchange; a
+    compressed file's size says nothing of its text, so it never is. Both ways
+    number alike.
     """
     configure(spark)
+    packed = F.col("_metadata.file_name").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$")
+    takes_whole = F.lit(False) if whole_up_to is None else (F.col("_metadata.file_size") <= whole_up_to) & ~packed
     small = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
     large = spark.read.text(paths, recursiveFileLookup=True)
     meta = {
@@ -47,9 +49,9 @@ def read_session_lines(spark: SparkSession, paths: str | list[str], limit: int =
         "size": F.col("_metadata.file_size"),
     }
     named = [c.alias(n) for n, c in meta.items()]
-    whole = split_lines(small.where(F.col("_metadata.file_size") <= limit).select("value", *named))
+    whole = split_lines(small.where(takes_whole).select("value", *named))
 
-    split = large.where(F.col("_metadata.file_size") > limit).select(
+    split = large.where(~takes_whole).select(
         F.col("value").alias("raw"), *named, F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
     )
@@ -68,9 +70,9 @@ def read_session_lines(spark: SparkSession, paths: str | list[str], limit: int =
         .where(~J.blank(F.col("raw")))
     )
     columns = ["path", "mtime", "size", "line", "raw"]
+    both = big.select(*columns) if whole_up_to is None else whole.select(*columns).unionByName(big.select(*columns))
     return (
-        whole.select(*columns).unionByName(big.select(*columns))
-        .withColumn("session_id", P.session_id_from_path(F.col("path")))
+        both.withColumn("session_id", P.session_id_from_path(F.col("path")))
     )
 
 
@@ -87,14 +89,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def head(parsed: DataFrame, n: int) -> DataFrame:
-    """First ``n`` objects and invalid lines; other JSON values are free."""
-    return first_rows(parsed.where(F.col("json_kind") != "other"), n, [F.col("line").asc()])
+def head(parsed: DataFrame, n: int | None = None) -> DataFrame:
+    """First ``n`` objects and invalid lines (all, if not given); other JSON values are free."""
+    rows = parsed.where(F.col("json_kind") != "other")
+    return rows if n is None else first_rows(rows, n, [F.col("line").asc()])
 
 
-def tail(parsed: DataFrame, n: int) -> DataFrame:
-    """Last ``n`` non-blank lines."""
-    return first_rows(parsed, n, [F.col("line").desc()])
+def tail(parsed: DataFrame, n: int | None = None) -> DataFrame:
+    """Last ``n`` non-blank lines (all, if not given)."""
+    return parsed if n is None else first_rows(parsed, n, [F.col("line").desc()])
 
 
 def invalid_counts(parsed: DataFrame) -> DataFrame:
@@ -274,8 +277,8 @@ def is_history_item(flat: DataFrame | None = None) -> Column:
 
 # --- detection ----------------------------------------------------------------
 
-def detect_format(parsed: DataFrame) -> DataFrame:
-    """Agent, layout, confidence and notes from the first 25 non-blank lines."""
+def detect_format(parsed: DataFrame, sample: int | None = None) -> DataFrame:
+    """Agent, layout, confidence and notes from all non-blank lines, or from the first ``sample`` ones."""
     v = F.col("v")
     rule = F.when(
         F.col("json_kind") == "object",
@@ -285,8 +288,8 @@ def detect_format(parsed: DataFrame) -> DataFrame:
         .when(J.as_string(v, "$.type").isin(*LINKED_TYPES), 4),
     )
     flagged = parsed.select("session_id", "line", "json_kind", rule.alias("rule"))
-    sample = first_rows(flagged, DETECTION_SAMPLE, [F.col("line").asc()])
-    found = sample.groupBy("session_id").agg(
+    seen = flagged if sample is None else first_rows(flagged, sample, [F.col("line").asc()])
+    found = seen.groupBy("session_id").agg(
         F.min(F.when(F.col("rule").isNotNull(), F.struct("line", "rule"))).alias("hit"),
         F.min(F.when(F.col("json_kind") == "invalid", F.col("line"))).alias("bad_line"),
     )

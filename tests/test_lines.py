@@ -44,15 +44,15 @@ def test_type_guards(spark):
     assert tuple(row) == (None, 5.0, None, True, True, True, None)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_files_small_and_split(spark, tmp_path, limit):
+@pytest.mark.parametrize("whole_up_to", [1 << 20, None])
+def test_files_small_and_split(spark, tmp_path, whole_up_to):
     """Whole-file and split reading number the lines alike."""
     body = "".join(json.dumps({"type": "user", "n": i}) + ("\r\n" if i % 3 else "\n\n") for i in range(200))
     (tmp_path / "x.jsonl").write_bytes(body.encode())
     (tmp_path / "y.jsonl").write_text('{"a":1}\nbroken')
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     try:
-        rows = L.read_session_lines(spark, str(tmp_path), limit=limit).collect()
+        rows = L.read_session_lines(spark, str(tmp_path), whole_up_to=whole_up_to).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     got = {(r.session_id, r.line): r.raw for r in rows}
@@ -93,9 +93,11 @@ def test_detection(spark):
     got = {r.session_id: (r.agent, r.format, r.confidence) for r in L.detect_format(L.parse_lines(rows)).collect()}
     assert got == {
         "typed": ("claude", "jsonl", "medium"), "full": ("claude", "jsonl", "high"), "bad": ("claude", "jsonl", "medium"),
-        "none": ("unknown", None, "low"), "late": ("unknown", None, "low"), "wrapped": ("codex", "wrapped", "high"),
+        "none": ("unknown", None, "low"), "late": ("claude", "jsonl", "medium"), "wrapped": ("codex", "wrapped", "high"),
         "legacy": ("codex", "legacy", "high"),
     }
+    part = {r.session_id: r.agent for r in L.detect_format(L.parse_lines(rows), sample=25).collect()}
+    assert part["late"] == "unknown" and part["typed"] == "claude"
 
 
 def test_specs():
@@ -135,7 +137,8 @@ def test_listings(spark, tmp_path):
         path.write_text("{}\n")
     found = DOC.scan_rollouts(spark, str(tmp_path / "rollouts"), date(2024, 1, 2), lookback_days=5)
     assert sorted(r.session_id for r in found.collect()) == ["rollout-x", "rollout-y"]
-    assert DOC.scan_rollouts(spark, str(tmp_path / "rollouts"), date(2020, 1, 1)).count() == 0
+    assert DOC.scan_rollouts(spark, str(tmp_path / "rollouts"), date(2020, 1, 1), lookback_days=14).count() == 0
+    assert DOC.scan_rollouts(spark, str(tmp_path / "rollouts")).count() == 3
 
 
 def test_documents_and_sinks(spark, tmp_path):

@@ -5,6 +5,7 @@ import json
 from conftest import to_lines
 from pyspark.sql import functions as F
 
+from loomlog.functions import edits as ED
 from loomlog.functions.specs import Amount
 from loomlog.operators import checks as C
 from loomlog.operators import compact as CP
@@ -264,3 +265,11 @@ def test_token_segments(spark):
     assert got[1].s == ["plain\n", "out\n", "err\n"]
     assert got[2].s == ["x\n", "[image]\n", '{"k":1}\n']
     assert got[3].s == ["deep\n", "[tool: run]\n", '{"a":2,"b":1}\n']
+
+
+def test_edits_keep_odd_text_and_numbers(spark):
+    """Lone surrogates, huge and oddly written numbers survive byte for byte outside the edited path."""
+    raw = '{"a":1e400,"b":1.10,"c":1e-7,"d":12345678901234567890,"e":"cut \\ud83d","f":"ü","parentUuid":"x","g":[-0.0,1E5]}'
+    got = spark.createDataFrame([(raw,)], "raw string").select(
+        ED.apply_edits(F.col("raw"), F.array(ED.set_string("parentUuid", F.lit("y")))).alias("raw")).first().raw
+    assert got == raw.replace('"x"', '"y"')

@@ -79,15 +79,49 @@ def test_chain_matches_a_plain_walk(spark, monkeypatch):
         assert [u for _, u in sorted(got[s])] == chain_by_hand(rows), s
 
 
-def test_relink_stops_after_a_hundred_removed_rows(spark):
-    values = [{"type": "user", "uuid": f"u{i}", "parentUuid": f"u{i - 1}" if i > 1 else None} for i in range(1, 131)]
+def test_relink_over_any_number_of_removed_rows(spark):
+    values = [{"type": "user", "uuid": f"u{i}", "parentUuid": f"u{i - 1}" if i > 1 else None} for i in range(1, 181)]
     linked = L.linked_lines(L.parse_lines(to_lines(spark, values)))
-    gone = L.entries(linked).where("line between 2 and 129").select("session_id", "line")
+    gone = L.entries(linked).where("line between 20 and 169").select("session_id", "line")
     [row] = G.relinked_parents(linked, gone).collect()
-    assert (row.line, row.new_parent) == (130, "u29")
-    near = L.entries(linked).where("line between 100 and 129").select("session_id", "line")
-    [row] = G.relinked_parents(linked, near).collect()
-    assert row.new_parent == "u99"
+    assert (row.line, row.new_parent) == (170, "u19")
+    whole = L.entries(linked).where("line < 170").select("session_id", "line")
+    [row] = G.relinked_parents(linked, whole).collect()
+    assert row.new_parent is None
+
+
+def test_relink_and_turns_end_at_cycles(spark):
+    values = [{"type": "assistant", "uuid": f"u{i}", "parentUuid": f"u{p}", "message": {"role": "assistant", "content": []}} for i, p in ((1, 3), (2, 1), (3, 2), (4, 3))]
+    linked = L.linked_lines(L.parse_lines(to_lines(spark, values)))
+    gone = L.entries(linked).where("line < 4").select("session_id", "line")
+    [row] = G.relinked_parents(linked, gone).collect()
+    assert (row.line, row.new_parent) == (4, None)
+
+
+def test_a_chain_of_sixty_thousand_rows(spark):
+    """Every third row hangs on the row two above, so the walk has to jump between segments."""
+    lines = spark.range(1, 90_001).selectExpr(
+        "'s' session_id", "id line",
+        """concat('{"type":"user","uuid":"u', id, '","timestamp":"2024-01-01T00:00:00Z","parentUuid":', case when id = 1 then 'null' when id % 3 = 0 then concat('"u', id - 2, '"')
+           else concat('"u', id - 1, '"') end, ',"message":{"role":"user","content":"x"}}') raw""")
+    linked = L.linked_lines(L.parse_lines(lines))
+    got = G.active_chain(linked).agg({"depth": "max", "line": "count"}).first()
+    assert got["count(line)"] == got["max(depth)"] + 1 == 60_000
+
+
+def test_pair_closure_takes_logarithmic_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(G, "cut", lambda df, *a, plain=G.cut: rounds.append(1) or plain(df, *a))
+
+    def closed(n):
+        rounds.clear()
+        refs = spark.createDataFrame(
+            [("s", i, side, f"t{t}") for i in range(n) for side, t in (("result", i - 1), ("use", i)) if t >= 0], "session_id string, line long, side string, tool_id string")
+        out = G.pair_closure(refs, spark.createDataFrame([("s", 0)], "session_id string, line long"))
+        return out.count(), len(rounds)
+
+    (small, few), (large, more) = closed(20), closed(320)
+    assert (small, large) == (20, 320) and more <= few + 12
 
 
 def test_token_plans(spark):

@@ -5,7 +5,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from loomlog.operators import monitor as M
-from loomlog.streaming import growing
 from loomlog.streaming import monitor as SM
 
 T0 = datetime(2024, 1, 1)
@@ -97,26 +96,3 @@ def test_control_log_counts_pending_commands_once(spark, tmp_path):
     rows += [("r1", "stop", T0, "no"), ("zz", "reload", T0 + timedelta(days=1), "end"), ("zz", "reload", T0 + timedelta(days=1), "end")]
     got = run(SM.follow_control_log(drops(spark, tmp_path, rows, schema)), tmp_path).where("run_id = 'r1'")
     assert sorted((r.commands, r.reason) for r in got.collect()) == [(1, "x15"), (3, "x2")]
-
-
-def test_growing_files_yield_only_new_lines(spark, tmp_path):
-    growing.register(spark)
-    folder = tmp_path / "logs"
-    folder.mkdir()
-    (folder / "a.jsonl").write_text('{"n":1}\n\n{"n":2}\n{"n":')
-    # Slices of five bytes cut every line.
-    stream = spark.readStream.format("growing_lines").option("slicebytes", "5").load(str(folder / "*.jsonl"))
-
-    def pull():
-        out = str(tmp_path / "out")
-        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(
-            availableNow=True).start(out)
-        assert query.awaitTermination(120)
-        return sorted((r.session_id, r.position, r.raw) for r in spark.read.parquet(out).collect())
-
-    first = [("a", 0, '{"n":1}'), ("a", 9, '{"n":2}')]
-    assert pull() == first
-    with open(folder / "a.jsonl", "a") as f:
-        f.write('3}\n{"n":4}\n')
-    (folder / "b.jsonl").write_text('{"n":9}\n')
-    assert pull() == [*first, ("a", 17, '{"n":3}'), ("a", 25, '{"n":4}'), ("b", 0, '{"n":9}')]
