@@ -24,6 +24,7 @@ from loomlog.operators import rewrite as R
 from loomlog.operators import rewrite_flat as RF
 from loomlog.operators import rewrite_linked as RL
 from loomlog.operators import stats as S
+from loomlog.operators.ordered import numbered
 from loomlog.operators.rewrite import first_n
 from loomlog.plans import derived as D
 from loomlog.plans import guarded as GP
@@ -467,7 +468,16 @@ def merged_thinking(spark, sf_dir):
     return C.merged_thinking(D.linked(spark, sf_dir, "runs")).select("session_id", "line", "parent_line", "parent_first_block_type")
 
 
-_ISSUES_A = """issues as (
+_ISSUES_A = """rleaf as (select session_id, arg_max(uuid, line) uuid from a where role in ('user', 'assistant') and not api group by session_id),
+rchain as (select a.session_id, a.uuid, a.line, a.parent, 0 depth from a join rleaf using (session_id, uuid)
+ union all select a.session_id, a.uuid, a.line, a.parent, rchain.depth + 1 from rchain join a on a.session_id = rchain.session_id and a.uuid = rchain.parent),
+rm as (select a.session_id, depth, role, mkey, think, c, sum((role = 'user' and not has_res)::int) over (partition by a.session_id order by depth) walls
+ from rchain join a using (session_id, line) where role in ('user', 'assistant') and not api and typ <> 'system'),
+rs as (select *, case when lag(mkey) over w = mkey and lag(walls) over w = walls then 0 else 1 end fresh from rm where role = 'assistant' window w as (partition by session_id order by depth)),
+rk as (select *, sum(fresh) over (partition by session_id order by depth) island from rs),
+rg as (select session_id, island, bool_or(think) thinks, arg_max(think and c % 2 = 0, depth) first_thinks from rk group by all),
+issues as (
+ select distinct session_id, 'error' severity, 'claude.thinking_block_order_resume_chain' code from rg where thinks and not first_thinks union all
  select session_id, 'error' severity, 'claude.invalid_json_line' code from al where bad
  union all select session_id, 'warning', 'claude.unrecognized_shape' from al group by session_id having bool_and(bad)
  union all select session_id, 'warning', 'claude.broken_parent_chain' from a where parent is not null and not exists (select 1 from a p where p.session_id = a.session_id and p.uuid = a.parent)
@@ -484,10 +494,9 @@ def _linked_issues(spark, sf_dir):
     return C.parse_issues_linked(linked).unionByName(C.validate_linked(linked, L.tool_refs(linked)))
 
 
-@register("v6_linked_issues", sql("al a refs", ", " + _ISSUES_A + " select session_id, severity, code, count(*) n from issues group by all"))
+@register("v6_linked_issues", sql("recursive al a refs", ", " + _ISSUES_A + " select session_id, severity, code, count(*) n from issues group by all"))
 def linked_issues(spark, sf_dir):
-    # The resume-chain check has its own entry (g7_resume_chain).
-    return _linked_issues(spark, sf_dir).where("code <> 'claude.thinking_block_order_resume_chain'").groupBy(
+    return _linked_issues(spark, sf_dir).groupBy(
         "session_id", "severity", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -582,11 +591,11 @@ def issues_by_severity(spark, sf_dir):
     return C.by_severity(_flat_issues(spark, sf_dir), D.flat(spark, sf_dir))
 
 
-@register("a1_issue_cube", sql("al a refs b calls pairs", ", " + _ISSUES_A.replace("issues as", "ia as") + ", " + _ISSUES_B.replace("issues as", "ib as") + """
+@register("a1_issue_cube", sql("recursive al a refs b calls pairs", ", " + _ISSUES_A.replace("issues as", "ia as") + ", " + _ISSUES_B.replace("issues as", "ib as") + """
 , al2 as (select 'claude' agent, severity from ia union all select 'codex', severity from ib)
 select coalesce(agent, '*') agent, coalesce(severity, '*') severity, count(*) n from al2 group by cube (agent, severity)"""))
 def issue_cube(spark, sf_dir):
-    rows = _linked_issues(spark, sf_dir).where("code <> 'claude.thinking_block_order_resume_chain'").unionByName(_flat_issues(spark, sf_dir))
+    rows = _linked_issues(spark, sf_dir).unionByName(_flat_issues(spark, sf_dir))
     return C.issue_cube(rows).select(F.coalesce("agent", F.lit("*")).alias("agent"), F.coalesce("severity", F.lit("*")).alias("severity"), "n")
 
 
@@ -1044,18 +1053,16 @@ def change_report(spark, sf_dir):
     return R.change_report(RF.strip_noise(D.flat(spark, sf_dir)).changes, 3)
 
 
-@register("k1_session_text", sql("al a", "select session_id, count(*) lines, sum(line)::bigint line_sum from a group by session_id"))
+@register("k1_session_text", sql("al a", "select session_id, line, uuid, row_number() over (partition by session_id order by line) place from a"))
 def session_text(spark, sf_dir):
-    """Written as text per session, read back as a transcript folder."""
+    """Written by session, read back from the text itself; the place is that of the line in its session."""
     from loomlog.session import store_path
 
     path = store_path(spark, "sessions")
     rows = L.entries(D.linked(spark, sf_dir)).select("session_id", "line", "raw")
     DOC.write_sessions(rows, path)
-    back = spark.read.text(path).select(F.col("session_id").cast("string"), F.col("value").alias("raw"))
-    v = L.parse_lines(back)
-    turn = F.substring_index(J.as_string(F.col("v"), "$.uuid"), "-", -1).cast("bigint")
-    return v.groupBy("session_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(turn + 1).alias("line_sum"))
+    back = spark.read.parquet(path).select("session_id", "line", "raw")
+    return numbered(L.parse_lines(back), "place").select("session_id", "line", J.as_string(F.col("v"), "$.uuid").alias("uuid"), "place")
 
 
 # --- report -------------------------------------------------------------------
@@ -1076,12 +1083,17 @@ def report_flat(spark, sf_dir):
     return GP.report_flat(flat, detected, _flat_issues(spark, sf_dir)).select("session_id", "session_meta", "compacted", "errors", "warnings")
 
 
-@register("a14_error_delta", sql("al a refs b calls pairs", """, o as (select session_id, count(*) errors_before from (select session_id from b where kind = 'invalid_json') group by session_id)
-select s.session_id, coalesce(errors_before, 0) errors_before, 0::bigint errors_after, false worse from (select distinct session_id from b) s left join o using (session_id)"""))
+@register("a14_error_delta", sql("al a refs b calls pairs", ", " + _ISSUES_B + """, o as (select session_id, count(*) filter (code <> 'codex.missing_session_meta') errors_before,
+ count(*) filter (code not in ('codex.invalid_json_line', 'codex.missing_session_meta')) + 1 errors_after from issues where severity = 'error' group by session_id),
+m as (select distinct session_id from issues where code = 'codex.missing_session_meta'), n as (select distinct session_id from issues where code = 'codex.session_meta_missing_id'),
+d as (select s.session_id, coalesce(errors_before, 0) + (m.session_id is not null)::int errors_before, coalesce(errors_after, 1) - (n.session_id is not null)::int errors_after
+ from (select distinct session_id from b) s left join o using (session_id) left join m using (session_id) left join n using (session_id))
+select session_id, errors_before::bigint errors_before, errors_after::bigint errors_after, errors_after > errors_before worse from d"""))
 def error_delta(spark, sf_dir):
+    """A rewrite that drops unreadable lines and, wrongly, the session's meta record: checked again from scratch."""
     flat = D.flat(spark, sf_dir)
-    before = C.issue_rows(flat.where("kind = 'invalid_json'"), "codex.invalid_json_line", "line", F.col("line"))
-    return C.error_delta(before, before.where(F.lit(False)), flat)
+    after = cut(flat.where("kind <> 'invalid_json' and not coalesce(type = 'session_meta', false)"))
+    return C.error_delta(_flat_issues(spark, sf_dir), C.validate_flat(after).unionByName(C.parse_issues_flat(after)), flat)
 
 
 @register("ud3_dispatch", sql("al a b lg", """select 'claude' agent, session_id, count(*) n from a where role in ('user', 'assistant') and trim(text) <> '' group by all
@@ -1207,11 +1219,13 @@ def newest_per_project(spark, sf_dir):
     return CT.newest_per_project(D.chat_files(spark, sf_dir), D.projects(spark, sf_dir))
 
 
-@register("j6_enrich", "with " + _FILES + _CATALOG + " select tracked, count(*) n from ct group by tracked")
+@register("j6_enrich", "with " + _FILES + _CATALOG + " select agent, session_id, path, tracked from ct")
 def enrich(spark, sf_dir):
-    rows = CT.enrich(CT.dedupe_latest(D.rollout_files(spark, sf_dir)).select("session_id"), D.tracked(spark, sf_dir)).select("tracked")
-    more = CT.enrich(D.chat_files(spark, sf_dir).select("session_id"), D.tracked(spark, sf_dir)).select("tracked")
-    return rows.unionByName(more).groupBy("tracked").agg(F.count(F.lit(1)).alias("n"))
+    files = {"codex": CT.dedupe_latest(D.rollout_files(spark, sf_dir)), "claude": D.chat_files(spark, sf_dir)}
+    parts = [
+        CT.enrich(f.select("session_id", "path"), D.tracked(spark, sf_dir)).select(F.lit(agent).alias("agent"), "session_id", "path", "tracked")
+        for agent, f in files.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @register("j7_runs_handshakes", """select concat('run', u) run_id, case when u % 3 = 1 then concat('hs', u) else '-' end handshake_session

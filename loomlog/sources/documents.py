@@ -222,14 +222,25 @@ def runs(documents: DataFrame) -> DataFrame:
 
 # --- sinks --------------------------------------------------------------------
 
-def write_sessions(lines: DataFrame, path: str, partitions: int | None = None) -> None:
-    """K1: one folder of text files per session, lines in order across the files by name.
+def write_sessions(lines: DataFrame, path: str, partitions: int | None = None, buckets: int = 256) -> None:
+    """K1: Parquet folders by hash of the session, with session, line and text in order.
 
-    Ranges over (session, line) split a hot session over several files.
+    The number of folders does not grow with the sessions. Ranges over (bucket, session, line) split a hot session
+    over several files and keep a bucket in few of them; read one session with :func:`read_session`.
     """
-    keys = [F.col("session_id"), F.col("line"), F.col("sub")] if "sub" in lines.columns else [F.col("session_id"), F.col("line")]
-    ranged = lines.repartitionByRange(partitions, *keys) if partitions else lines.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).select("session_id", "raw").write.partitionBy("session_id").text(path)
+    keys = [F.col(c) for c in ("bucket", "session_id", "line", "sub") if c == "bucket" or c in lines.columns]
+    placed = lines.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+    ranged = placed.repartitionByRange(partitions, *keys) if partitions else placed.repartitionByRange(*keys)
+    columns = [c for c in ("bucket", "session_id", "line", "sub", "raw") if c == "bucket" or c in lines.columns]
+    ranged.sortWithinPartitions(*keys).select(*columns).write.partitionBy("bucket").parquet(path)
+
+
+def read_session(spark: SparkSession, path: str, session_id: str, buckets: int = 256) -> DataFrame:
+    """Lines of one session written by :func:`write_sessions`, in order; only its bucket is read."""
+    rows = spark.read.parquet(path)
+    own = F.pmod(F.xxhash64(F.lit(session_id)), F.lit(buckets)).cast("int")
+    order = [c for c in ("line", "sub") if c in rows.columns]
+    return rows.where((F.col("bucket") == own) & (F.col("session_id") == session_id)).orderBy(*order).drop("bucket")
 
 
 def append_log(events: DataFrame, path: str, now: str) -> None:

@@ -153,9 +153,8 @@ def test_documents_and_sinks(spark, tmp_path):
     out = str(tmp_path / "out")
     lines = to_lines(spark, [{"i": i} for i in range(50)], "a").unionByName(to_lines(spark, [{"i": 0}], "b"))
     DOC.write_sessions(lines, out, 3)
-    files = sorted((tmp_path / "out" / "session_id=a").glob("*.txt"))
-    text = "".join(f.read_text() for f in files)
-    assert [json.loads(t)["i"] for t in text.splitlines()] == list(range(50))
+    assert [json.loads(r.raw)["i"] for r in DOC.read_session(spark, out, "a").collect()] == list(range(50))
+    assert DOC.read_session(spark, out, "b").count() == 1 and DOC.read_session(spark, out, "c").count() == 0
 
     log = str(tmp_path / "log")
     event = spark.createDataFrame([("a", "session_start", None)], "session_id string, event string, ts string")
