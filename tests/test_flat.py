@@ -197,3 +197,19 @@ def test_next_steps_and_report_lines(spark):
     report = R.change_report(RF.strip_noise(typed(spark, [META, *[wrap("event_msg", {})] * 4])).changes, 2)
     assert [r.text for r in report.orderBy("pos").collect()] == [
         "- delete_line line=2: event_msg", "- delete_line line=3: event_msg", "- … (2 more)"]
+
+
+def test_late_lines_count(spark):
+    """What stands far down a session is seen: a directory in record 301, messages only in the middle."""
+    from loomlog.operators import catalog as CT
+
+    message = {"type": "message", "role": "user"}
+    values = [{"id": "i", "timestamp": "t"}] + [{**message, "content": [{"type": "input_text", "text": f"n{i}"}]} for i in range(300)]
+    values += [{**message, "content": [{"type": "input_text", "text": "<environment_context><cwd>/late</cwd></environment_context>"}]}]
+    flat = L.flat_lines(L.parse_lines(to_lines(spark, values)))
+    assert [r.cwd for r in RF.legacy_cwds(flat).collect()] == ["/late"]
+    assert RF.legacy_cwds(flat, scan=200).count() == 0
+    middle = [{"type": "system"}] * 80 + [{"type": "user"}] + [{"type": "system"}] * 600
+    parsed = L.parse_lines(to_lines(spark, middle))
+    assert [r.talks for r in CT.has_messages(parsed).collect()] == [True]
+    assert [r.talks for r in CT.has_messages(parsed, 50, 500).collect()] == [False]
