@@ -234,10 +234,11 @@ def token_classes(leads: DataFrame, frequent: int, total: int) -> tuple[np.ndarr
     parts = leads.select("lead").mapInArrow(local, "part int, high binary, low binary, counts binary").groupBy("part").applyInArrow(merged, "part int, shared binary, often binary")
     shared, often = np.zeros((1 << CLASS_BITS) // 8, np.uint8), np.zeros((1 << CLASS_BITS) // 8, np.uint8)
     step = (1 << width) // 8
-    for row in parts.toLocalIterator():
-        at = row["part"] * step
-        shared[at : at + step] = np.frombuffer(row["shared"], np.uint8)
-        often[at : at + step] = np.frombuffer(row["often"], np.uint8)
+    found = parts.toArrow()
+    for part, x, y in zip(found["part"].to_pylist(), found["shared"], found["often"]):
+        at = part * step
+        shared[at : at + step] = np.frombuffer(x.as_buffer(), np.uint8)
+        often[at : at + step] = np.frombuffer(y.as_buffer(), np.uint8)
     return shared, often, CLASS_BITS
 
 
@@ -375,15 +376,16 @@ def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, p
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root: the smallest node it reaches. Edges are columns a, b.
 
-    Alternates two star contractions until nothing changes, so rounds grow with the logarithm of a component.
+    Alternates two star contractions until only stars are left, so rounds grow with the logarithm of a component.
     """
-    def signature(e):
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def only_stars(e: DataFrame) -> bool:
+        """Every node either heads edges or stands below exactly one."""
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("below")), F.struct(F.col("b").alias("node"), F.lit(1).alias("below")))).alias("x"))
+        sums = ends.groupBy("x.node").agg(F.sum("x.below").alias("below"), F.count(F.lit(1)).alias("all"))
+        return sums.where((F.col("below") > 0) & (F.col("all") > 1)).isEmpty()
 
     now = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while (mark := signature(now)) != before:
-        before = mark
+    while not only_stars(now):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
@@ -423,8 +425,8 @@ def link(
     same = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same = named.join(same, "doc_id").where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b"))
     found = cut(components(links.union(same)), "components")
-    more = verify(cross_pairs(index, found, bitmaps, percent))
-    if not more.isEmpty():
+    crossing = cut(cross_pairs(index, found, bitmaps, percent), "crossing")
+    if not crossing.isEmpty() and not (more := verify(crossing)).isEmpty():
         found = cut(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)), "components")
     # Names are smallest doc_ids, so the root of a component is its smallest doc_id.
     rows = prints.select("doc_id", "n", "node").join(copied, "node", "left")
