@@ -35,3 +35,16 @@ def open_folder(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+def hand_back() -> None:
+    """Return freed memory to the system: Spark keeps a Python worker for later tasks of other kinds."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.batches import slices
+from loomlog.llm.batches import hand_back, slices
 from loomlog.session import ship_by_value
 
 ship_by_value(__name__)
@@ -31,7 +31,7 @@ MARKED = re.compile("\u2581+[^\u2581]*")
 IRREGULAR = re.compile("  |\\A | \\Z|\u2581")  # more than single spaces between words
 SLICE_BYTES = 2 << 20  # text held as Python strings at a time
 BATCH_CHARS = 16 << 10  # of new words that the model gets at a time
-TABLE_SIZE = 400_000  # words remembered by a task; beyond it the table starts afresh
+TABLE_SIZE = 200_000  # words remembered by a task; beyond it the table starts afresh
 LONG_WORD = 256
 
 
@@ -109,6 +109,8 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+        del table
+        hand_back()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -125,6 +127,8 @@ def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
                 part = batch.slice(start, 64)
                 texts = [model.decode(row.values.to_numpy().tolist()) if row.is_valid and len(row) else "" for row in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        del model
+        hand_back()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
