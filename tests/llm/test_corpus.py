@@ -297,6 +297,26 @@ def test_bands_reject_the_odd_text(spark):
     assert kept[100] == (False, False) and kept[101] == (True, False) and sum(k for _, k in kept.values()) >= 78
 
 
+def test_copies_count_once(spark):
+    """A third of all rows are copies of one text of a small language; what is kept stays as it is without them."""
+    rng = random.Random(8)
+    words = "the of and river stone under mill bridge boats water".split()
+    others = "le la eau pont moulin pierre sous et vent nuit".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60 + i % 50)), "en") for i in range(140)]
+    rows += [(200 + i, " ".join(rng.choice(others) for _ in range(60 + i % 50)), "fr") for i in range(60)]
+    rows += [(300, "".join(rng.choice("qxzjkvwQXZ#%19") for _ in range(600)).replace("q", " "), "fr")]
+    more = [(400 + i, rows[140][1], "fr") for i in range(100)] + [(600, rows[140][1], "en"), (601, None, "fr"), (602, None, "fr")]
+
+    def judged(some):
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
+        return {r.row.doc_id: (None if r.figure is None else round(r.figure, 5), r.kept) for r in perplexity.judge(docs, ["doc_id"]).collect()}
+
+    alone, among = judged(rows + more[-3:]), judged(rows + more)
+    assert len(among) == len(rows) + len(more) and {i: among[i] for i in alone} == alone
+    assert sum(kept for i, (_, kept) in among.items() if 200 <= i < 260) >= 57 and not among[300][1]
+    assert {among[400 + i] for i in range(100)} == {among[200]}
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------
 
 
