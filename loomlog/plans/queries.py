@@ -28,7 +28,7 @@ from loomlog.operators.ordered import numbered
 from loomlog.operators.rewrite import first_n
 from loomlog.plans import derived as D
 from loomlog.plans import guarded as GP
-from loomlog.plans.oracles import sql
+from loomlog.plans.oracles import BASES, sql
 from loomlog.session import cut
 from loomlog.sources import documents as DOC
 from loomlog.sources import lines as L
@@ -607,6 +607,74 @@ def next_steps(spark, sf_dir):
     return C.next_steps(_flat_issues(spark, sf_dir), sessions)
 
 
+# DuckDB types the legacy rows only outside a recursive list.
+_OLD = f"old as (with {BASES['lg']} select * from lg)"
+_ERRORS_A = _ISSUES_A.replace("issues as", "ia as")
+_ERRORS_B = _ISSUES_B.replace("issues as", "ib as")
+
+
+@register("v11_next_steps_all", sql("recursive al a refs b calls pairs", ", " + _ERRORS_A + ", " + _ERRORS_B + ", " + _OLD + """
+, lp as (select session_id, count(*) filter (itype = 'function_call') calls, count(*) filter (itype = 'function_call_output') outputs from old where cid is not null group by session_id, cid),
+il as (select session_id from old where kind = 'invalid_json' union select session_id from lp where outputs > 0 and calls = 0)
+select 'claude' agent, session_id, 'fix' step from ia where severity = 'error' group by all
+union all select 'codex', session_id, 'fix' from ib where severity = 'error' group by all
+union all select 'codex', session_id, 'strip_noise' from ib where code = 'codex.unknown_json_line' group by all
+union all select 'codex', session_id, 'fix' from il
+union all select distinct 'codex', session_id, 'migrate' from old"""))
+def next_steps_all(spark, sf_dir):
+    """Linked, wrapped and legacy sessions; linked and wrapped ones may share ids."""
+    linked = D.linked(spark, sf_dir).select("session_id", F.lit("claude").alias("agent"), F.lit("linked").alias("format")).distinct()
+    out = C.next_steps(_linked_issues(spark, sf_dir), linked).select(F.lit("claude").alias("agent"), "session_id", "step")
+    for which in ("rollouts", "legacy"):
+        sessions = D.flat(spark, sf_dir, which).select("session_id", F.lit("codex").alias("agent"), "format").distinct()
+        steps = C.next_steps(_flat_issues(spark, sf_dir, which), sessions)
+        out = out.unionByName(steps.select(F.lit("codex").alias("agent"), "session_id", "step"))
+    return out
+
+
+_RESUME_A = _ISSUES_A.split("issues as (")[0].replace("depth, role, mkey, think, c, sum(", "depth, a.line, role, mkey, think, c, sum(").replace(
+    " first_thinks from rk", " first_thinks, arg_max(line, depth) line from rk")
+_PLACED = """lp as (select session_id, cid, count(*) filter (itype = 'function_call') calls, count(*) filter (itype = 'function_call_output') outputs from old where cid is not null group by session_id, cid),
+placed as (
+ select session_id, 'error' severity, 'claude.thinking_block_order_resume_chain' code, concat(':', arg_min(line, island)) place from rg where thinks and not first_thinks group by session_id
+ union all select session_id, 'error', 'claude.invalid_json_line', concat(':', line) from al where bad
+ union all select session_id, 'warning', 'claude.unrecognized_shape', '' from al group by session_id having bool_and(bad)
+ union all select session_id, 'warning', 'claude.broken_parent_chain', concat(':', line) from a where parent is not null and not exists (select 1 from a p where p.session_id = a.session_id and p.uuid = a.parent)
+ union all select session_id, case when any_value(side) = 'use' then 'warning' else 'error' end, case when any_value(side) = 'use' then 'claude.orphan_tool_use' else 'claude.orphan_tool_result' end, concat(':', min(line))
+   from refs group by session_id, id having count(distinct side) = 1
+ union all select session_id, 'error', 'claude.thinking_block_order', concat(':', line) from a where think and c % 2 = 1
+ union all select x.session_id, 'error', 'claude.thinking_block_order_merged', concat(':', x.line) from a x join a p on p.session_id = x.session_id and p.uuid = x.parent where x.role = 'assistant' and p.role = 'assistant' and x.think and not p.think
+ union all select session_id, 'warning', 'claude.api_error_message', concat(':', line) from a where api and role = 'assistant'
+ union all select session_id, 'info', 'claude.unknown_entry_type', concat(':', line) from a where typ = 'system'
+ union all select session_id, 'error', 'codex.invalid_json_line', concat(':', line) from b where kind = 'invalid_json'
+ union all select session_id, 'warning', 'codex.non_object_line', concat(':', line) from b where kind = 'non_object'
+ union all select session_id, 'warning', 'codex.unknown_json_line', concat(':', line) from b where kind = 'unknown_json'
+ union all select session_id, 'error', 'codex.missing_session_meta', '' from b group by session_id having count(*) filter (typ = 'session_meta') = 0
+ union all select session_id, 'info', 'codex.multi_session_meta', '' from b group by session_id having count(*) filter (typ = 'session_meta') > 1
+ union all select session_id, 'error', 'codex.session_meta_missing_id', concat(':', min(line)) from b where typ = 'session_meta' group by session_id having arg_min(e, line) % 2 = 1
+ union all select session_id, 'warning', case e % 4 when 2 then 'codex.sandbox_policy_has_mode_and_type' else 'codex.sandbox_policy_missing_mode_or_type' end, concat(':', line) from b where typ = 'turn_context' and e % 4 in (2, 3)
+ union all select session_id, 'warning', 'codex.compacted_replacement_history_not_array', concat(':', line) from b where typ = 'compacted' and e % 3 = 2
+ union all select session_id, 'error', concat('codex.', itype, '_missing_call_id'), concat(':', line) from b where cid is null and itype in ('function_call', 'custom_tool_call', 'function_call_output', 'custom_tool_call_output')
+ union all select session_id, 'warning', 'codex.duplicate_call_id', concat(' (call_id=', cid, ')') from (select session_id, cid, unnest(generate_series(2, calls)) from paired where calls > 1)
+ union all select session_id, 'warning', 'codex.duplicate_outputs_for_call_id', concat(' (call_id=', cid, ')') from paired where outputs > 1
+ union all select session_id, 'error', 'codex.orphan_output', concat(' (call_id=', cid, ')') from paired where outputs > 0 and not fits
+ union all select session_id, 'error', 'codex.output_before_call', concat(' (call_id=', cid, ')') from paired where fits and out_line < call_line
+ union all select session_id, 'warning', 'codex.missing_output', concat(' (call_id=', cid, ')') from paired where calls > 0 and not fits
+ union all select session_id, 'error', 'codex.invalid_json_line', concat(':', line) from old where kind = 'invalid_json'
+ union all select session_id, 'warning', 'codex.legacy_duplicate_call_id', concat(' (call_id=', cid, ')') from (select session_id, cid, unnest(generate_series(2, calls)) from lp where calls > 1)
+ union all select session_id, 'warning', 'codex.legacy_duplicate_outputs_for_call_id', concat(' (call_id=', cid, ')') from lp where outputs > 1
+ union all select session_id, 'error', 'codex.legacy_orphan_output', concat(' (call_id=', cid, ')') from lp where outputs > 0 and calls = 0
+ union all select session_id, 'warning', 'codex.legacy_missing_output', concat(' (call_id=', cid, ')') from lp where calls > 0 and outputs = 0)"""
+
+
+@register("k3_issue_report_all", sql("recursive al a refs b calls pairs", ", " + _RESUME_A + _OLD + ", " + _PLACED + """
+select session_id, concat('[', severity, '] ', code, place) report_line from placed"""))
+def issue_report_all(spark, sf_dir):
+    """Every issue of linked, wrapped and legacy sessions; a table each, since one plan of all fills the driver."""
+    parts = [_linked_issues(spark, sf_dir), _flat_issues(spark, sf_dir), _flat_issues(spark, sf_dir, "legacy")]
+    return C.format_issues(C.union_all([cut(part, "issues") for part in parts])).select("session_id", "report_line")
+
+
 @register("k3_issue_report", sql("b calls pairs", ", " + """x as (select session_id, concat('[error] codex.invalid_json_line:', line) report_line from b where kind = 'invalid_json'
  union all select session_id, concat('[warning] codex.missing_output (call_id=', cid, ')') from paired where calls > 0 and not fits) select * from x"""))
 def issue_report(spark, sf_dir):

@@ -47,6 +47,19 @@ def test_query_equals_its_twin(spark, sf, duck, name):
     assert got == want and got
 
 
+@pytest.mark.parametrize("name", ["k3_issue_report_all", "v11_next_steps_all"])
+def test_all_issues_equal_their_twin(spark, sf, duck, name):
+    test_query_equals_its_twin(spark, sf, duck, name)
+
+
+def test_reports_cover_all_codes_and_formats(spark, sf):
+    found = entry_module.queries()["k3_issue_report_all"](spark, sf).collect()
+    codes = {r.report_line.split("] ")[1].split(":")[0].split(" ")[0] for r in found}
+    assert len(codes) > 20 and {c.split(".")[0] for c in codes} == {"claude", "codex"} and any("legacy" in c for c in codes)
+    steps = {(r.agent, r.step) for r in entry_module.queries()["v11_next_steps_all"](spark, sf).collect()}
+    assert steps >= {("claude", "fix"), ("codex", "fix"), ("codex", "strip_noise"), ("codex", "migrate")}
+
+
 def test_contract(spark):
     queries, twins = entry_module.queries(), entry_module.oracle_sql()
     assert set(twins) <= set(queries) and len(queries) > 100
