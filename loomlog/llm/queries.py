@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import jaccard, kdtree, line_dedup, mixing, perplexity, pieces, quality, shards, token_counts, warc
+from loomlog.llm import jaccard, kdtree, line_dedup, merkle, mixing, periodic, perplexity, pieces, quality, shards, token_counts, warc
 from loomlog.session import configure
 
 
@@ -85,6 +85,35 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def id_crc32() -> F.Column:
+    """The unsigned checksum of the id's digits; null for a null id."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), seed=id_crc32(), change=periodic.repeat_tail)
+    rank = F.expr("array_sort(runs, (x, y) -> case when x.length <> y.length then cast(sign(y.length - x.length) as int) "
+                  "when x.start <> y.start then cast(sign(x.start - y.start) as int) else cast(sign(x.period - y.period) as int) end)")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    best = found.withColumn("best", F.get(rank, F.lit(0)))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), merkle.hashed(listed).alias("runs_sha256"),
+        merkle.hashed(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op12_slot_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(id_crc32() % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    folded = rows.withColumn("folded_root", merkle.fold(F.col("other"), F.col("path")))
+    return folded.select(
+        "doc_id", merkle.hex_of(F.col("digest")).alias("leaf"), "subroot", "root", merkle.hashed(merkle.proof(F.col("path"))).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_hash_tree": op1_hash_tree,
     "op2_mix_flow": op2_mix_flow,
@@ -96,6 +125,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_slot_pivot": op12_slot_pivot,
 }
 
 
@@ -116,19 +147,27 @@ def _placed(n: int, name: str) -> str:
 
 
 # The checksum's table of 256 entries follows from its polynomial 0xEDB88320.
-OP1_SQL = f"""
+_CRC_TABLE = """
 with recursive bits(i, k, c) as (
   select i, 0, i::bigint from range(256) t(i)
   union all
   select i, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from bits where k < 8
 ),
-crc_table as (select list(c order by i) as t from bits where k = 8),
+crc_table as (select list(c order by i) as t from bits where k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned checksum of a text that is not null; needs ``crc_table`` beside it."""
+    return f"""xor(list_reduce(
+      list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::bigint)),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])
+    ), 4294967295)"""
+
+
+OP1_SQL = f"""{_CRC_TABLE},
 d as (
   select row_number() over () as r, doc_id, coalesce(doc_id::varchar, 'null') as key, octet_length(encode(coalesce(text, ''))) + 16 as size,
-    xor(list_reduce(
-      list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)),
-      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])
-    ), 4294967295) as text_crc32
+    {_crc32("coalesce(text, '')")} as text_crc32
   from documents, crc_table
 ),
 {_placed(N_SHARDS, "now")},
@@ -207,4 +246,95 @@ select page_id, payload_bytes,
 from b
 """
 
-ORACLES = {"op1_hash_tree": OP1_SQL, "op3_kd_search": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op10_warc": OP10_SQL}
+_ID_CRC32 = f"case when doc_id is not null then {_crc32("coalesce(doc_id::varchar, '')")} end"
+
+OP11_SQL = rf"""{_CRC_TABLE},
+d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, {_ID_CRC32} as h
+  from documents, crc_table
+),
+s as (
+  select *, len(w) as n, (h // 10) % nullif(len(w), 0) as a, 1 + (len(w) - (h // 10) % nullif(len(w), 0)) // (3 + (h // 10) % 8) as p from d
+),
+m as (
+  select r, doc_id, n, case when n > 0 and h % 10 = 0 then list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) else w end as w
+  from s
+),
+g as (
+  select r, n, unnest(range(n - 4)) as i,
+    unnest(list_transform(range(n - 4), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] || ' ' || w[i + 5])) as shingle
+  from m where n >= 6
+),
+pairs as (
+  select x.r, x.i, y.i - x.i as q from g x join g y on x.r = y.r and x.shingle = y.shingle and x.i < y.i where 4 * (y.i - x.i) <= x.n
+),
+islands as (select r, q, i, i - row_number() over (partition by r, q order by i) as island from pairs),
+repeats as (select r, q, min(i) as start, count(*) + 4 + q as length from islands group by r, q, island having count(*) + 4 + q >= greatest(6, 4 * q)),
+runs as (select r, start, length, min(q) as period from repeats group by r, start, length),
+listed as (
+  select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as txt,
+    first({{'start': start, 'length': length, 'period': period}} order by length desc, start, period) as best
+  from runs group by r
+),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+words as (select r, unnest(range(n)) as i, unnest(w) as word from m where r in (select r from runs)),
+kept as (select r, string_agg(word, ' ' order by i) as txt from words anti join gone using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.period as period,
+  1000 * best.length // best.period as exponent_milli, sha256(coalesce(listed.txt, '')) as runs_sha256,
+  sha256(case when n_runs is null then array_to_string(w, ' ') else coalesce(kept.txt, '') end) as collapsed_sha256
+from m left join listed using (r) left join kept using (r)
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar)) || ':' || {value}::varchar, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP12_SQL = f"""{_CRC_TABLE},
+d as (
+  select row_number() over () as r, doc_id, source, {_leaf("text")} as leaf,
+    {_leaf(f"(case when ({_ID_CRC32}) % 2 = 0 then replace(text, chr(10), '') else text end)")} as other
+  from documents, crc_table
+),
+l as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf, r) - 1 as pos, count(*) over (partition by source) as n from d
+),
+up(level, source, pos, n, h) as (
+  select 0, source, pos, n, leaf from l
+  union all
+  select level + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from up where n > 1 group by level, source, pos // 3, n
+),
+subroots as (select source, h, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from up where n = 1),
+top(level, pos, n, h) as (
+  select 0, pos, n, h from subroots
+  union all
+  select level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from top where n > 1 group by level, pos // 3, n
+),
+nodes as (select level, source, 0 as upper, pos, n, h from up union all select level, null, 1, pos, n, h from top),
+siblings as (
+  select level, source, upper, pos, n,
+    coalesce(string_agg(h, '') over (partition by level, source, upper, pos // 3 order by pos rows between unbounded preceding and 1 preceding), '') as before,
+    coalesce(string_agg(h, '') over (partition by level, source, upper, pos // 3 order by pos rows between 1 following and unbounded following), '') as after
+  from nodes
+),
+walk(r, level, source, pos, n, h, proof) as (
+  select r, 0, source, pos, n, other, '' from l
+  union all
+  select r, w.level + 1, w.source, w.pos // 3, (w.n + 2) // 3, sha256(before || h || after), proof || before || after
+  from walk w join siblings s on s.upper = 0 and s.level = w.level and s.source is not distinct from w.source and s.pos = w.pos where w.n > 1
+),
+climb(r, level, pos, n, h, proof) as (
+  select w.r, 0, s.pos, s.n, w.h, w.proof from walk w join subroots s on s.source is not distinct from w.source where w.n = 1
+  union all
+  select r, c.level + 1, c.pos // 3, (c.n + 2) // 3, sha256(before || h || after), proof || before || after
+  from climb c join siblings s on s.upper = 1 and s.level = c.level and s.pos = c.pos where c.n > 1
+)
+select l.doc_id, l.leaf, s.h as subroot, t.h as root, sha256(c.proof) as proof_sha256, c.h as folded_root, c.h = t.h as verified
+from l join subroots s on s.source is not distinct from l.source join climb c on c.r = l.r and c.n = 1, (select h from top where n = 1) t
+"""
+
+ORACLES = {"op1_hash_tree": OP1_SQL, "op3_kd_search": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op10_warc": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_slot_pivot": OP12_SQL}
