@@ -21,12 +21,13 @@ joined into components, and only pairs of different components follow.
 Class membership travels as bitmaps of fixed size. A wrong bit can only make a rare token frequent or keep a token
 that is in one set alone; both are harmless to the result.
 
-A node goes by the smallest doc_id of its rows. Rows that repeat a doc_id with another text belong together by that
-id, so it does no harm that their sets share a name.
+Rows are told apart by a number of their own, fixed by a stored table; a node goes by the smallest number of its rows.
+Ids only name the components in the end.
 
 Defined results: null, empty and white-space texts have no shingles and link with nothing; a text with fewer words
-than a shingle is one shingle; rows that repeat a doc_id are in one component; rows with a null doc_id link with nothing and have a null component; an empty table gives an empty result; columns that are
-not named are ignored.
+than a shingle is one shingle; rows are linked by their texts, whatever their ids: rows that repeat a doc_id may be in
+different components, and rows with a null doc_id link like others; a component is named by its smallest doc_id that is
+not null, or null; an empty table gives an empty result; columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -39,14 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.batches import slices
+from loomlog.llm.batches import hand_back, slices
 from loomlog.session import cut, ship_by_value
 
 ship_by_value(__name__)
 
 SLICE_BYTES = 2 << 20
 FREQUENT, WIDE = 16, 30
-BROADCAST_ROWS = 500_000  # of 24 bytes; a larger table of copies is joined by a shuffle
 CLASS_BITS = 26
 ID_BITS = 24
 PARITY_WORDS, LARGE_PARITY_WORDS, LARGE = 8, 64, 1500  # 64-bit words; sets over LARGE tokens get the larger bitmap
@@ -160,8 +160,10 @@ def digest(tokens: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, words: int, bounds: Bounds, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, node, lead, parity) of every document: set size, digest of the set, extended prefix, parities."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """(rid, doc_id, n, node, mark, lead, parity) of every row: its number, set size, digest of the set, hash of the text,
+    extended prefix, parities."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -169,12 +171,14 @@ def fingerprints(docs: DataFrame, words: int, bounds: Bounds, doc_id: str, text:
             for part in slices(batch, "text", SLICE_BYTES):
                 sets = shingler.sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(digest, sets), pa.binary()),
+                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(digest, sets), pa.binary()), part.column("mark"),
                     pa.array([s[: bounds.lead(len(s))].tobytes() for s in sets], pa.binary()),
                     pa.array([parities(s) if bounds.slack(len(s)) else None for s in sets], pa.list_(pa.int64())),
-                ], ["doc_id", "n", "node", "lead", "parity"])
+                ], ["doc_id", "n", "node", "mark", "lead", "parity"])
+        hand_back()
 
-    return rows.mapInArrow(run, "doc_id bigint, n int, node binary, lead binary, parity array<bigint>")
+    found = rows.mapInArrow(run, f"doc_id {kind}, n int, node binary, mark bigint, lead binary, parity array<bigint>")
+    return found.withColumn("rid", F.monotonically_increasing_id())
 
 
 # --- token classes ------------------------------------------------------------------------------------------------
@@ -213,6 +217,8 @@ def token_classes(leads: DataFrame, frequent: int, total: int) -> tuple[np.ndarr
                     held, n = [], 0
         if n:
             yield from counted(held)
+        del held
+        hand_back()
 
     def merged(table: pa.Table) -> pa.Table:
         high = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["high"]])
@@ -274,6 +280,7 @@ def index_keys(leads: DataFrame, bounds: Bounds, classes) -> DataFrame:
                     pa.array(np.concatenate([x[0] for x in found]).view(np.int64)), pa.array(np.repeat([x[2] for x in found], lengths)),
                     pa.array(np.repeat([x[3] for x in found], lengths)), batch.column("rep").take(at), batch.column("n").take(at),
                 ], ["key", "combined", "heavy", "rep", "n"])
+        hand_back()
 
     return leads.select("lead", "rep", "n").mapInArrow(run, "key bigint, combined boolean, heavy boolean, rep bigint, n int")
 
@@ -339,13 +346,16 @@ def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) that link, decided on the whole sets of their documents; ``wanted`` has (rep, node) of all sets."""
+def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
+    """The pairs (a, b) that link, decided on the whole sets of their rows; ``wanted`` has (rep, node, mark) of all sets.
+
+    Texts are read again: a bitmap of their hashes lets the asked ones pass, and some others that the join then drops.
+    """
     pairs = cut(pairs, "pairs")
-    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "asked")
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(asked, "rep"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where(F.col("rep").isNotNull())
-    rows = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64("rep"), 64 - ID_BITS))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    asked = cut(wanted.join(asked, "rep", "left_semi"), "asked")
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(asked, "mark"))
+    rows = docs.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).withColumn("place", F.shiftrightunsigned(F.xxhash64("mark"), 64 - ID_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -354,11 +364,13 @@ def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, p
             hit = (bitmap.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             for part in slices(batch.filter(pa.array(hit)), "text", SLICE_BYTES):
                 found = shingler.sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(map(digest, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "node", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("mark"), pa.array(map(digest, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["mark", "node", "tokens"])
+        hand_back()
 
-    # The bitmap lets some others pass; rows that stand for another id's set are not needed either.
-    asked = wanted.join(asked, "rep", "left_semi")
-    known = cut(rows.mapInArrow(sets, "rep bigint, node binary, tokens binary").join(asked, ["rep", "node"], "left_semi").select("rep", "tokens"), "sets")
+    # Rows with equal texts give equal sets; one of each is enough.
+    known = rows.mapInArrow(sets, "mark bigint, node binary, tokens binary").join(asked, ["mark", "node"])
+    known = cut(known.groupBy("rep").agg(F.first("tokens").alias("tokens")), "sets")
+    bitmap.destroy()
     met = pairs.join(known.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(known.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,10 +381,25 @@ def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, p
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        hand_back()
 
     return cut(met.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint").distinct(), "links")
 
 
+def named_components(prints: DataFrame, copied: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``prints`` (rid, doc_id, n, node).
+
+    ``copied`` has (node, rep) of the sets that several rows hold, ``found`` (node, root) of the linked sets.
+    """
+    rows = prints.select("rid", "doc_id", "n", "node").join(copied, "node", "left")
+    rows = rows.select("rid", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "rid")).otherwise(F.col("rid")).alias("rep"))
+    rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("root"))
+    rows = cut(rows, "members")
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    met = rows.join(names.select("root", "component_id", F.lit(True).alias("several")), "root", "left")
+    return met.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root: the smallest node it reaches. Edges are columns a, b.
 
@@ -405,31 +432,23 @@ def link(
     """
     bounds = Bounds(percent, wide)
     prints = cut(fingerprints(docs, words, bounds, doc_id, text), "fingerprints")
-    filled = prints.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    copied = cut(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node", "rep"), "copied")
-    if copied.count() <= BROADCAST_ROWS:
-        copied = F.broadcast(copied)
-    named = filled.join(copied, "node", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    sets = named.where(F.col("rep") == F.col("doc_id"))
+    filled = prints.where("n > 0")
+    copied = cut(filled.groupBy("node").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node", "rep"), "copied")
+    others = filled.join(copied, "node").where("rid <> rep").select("rid")
+    sets = filled.join(others, "rid", "left_anti").withColumnRenamed("rid", "rep")
     leads = sets.where(F.length("lead") > 0)
     total = leads.agg(F.sum(F.length("lead"))).first()[0] or 0
     classes = docs.sparkSession.sparkContext.broadcast(token_classes(leads, frequent, total // 8))
     index = cut(index_keys(leads, bounds, classes), "index")
+    classes.destroy()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, sets.select("rep", "node"), docs, words, percent, doc_id, text)
+        return verified(pairs, sets.select("rep", "node", "mark"), docs, words, percent, text)
 
     bitmaps = sets.select("rep", "n", "parity")
     links = verify(passing(single_pairs(index, percent).union(star_pairs(index, percent)), bitmaps, percent))
-    # Rows that repeat a doc_id with another set belong together.
-    same = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
-    same = named.join(same, "doc_id").where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b"))
-    found = cut(components(links.union(same)), "components")
+    found = cut(components(links), "components")
     crossing = cut(cross_pairs(index, found, bitmaps, percent), "crossing")
     if not crossing.isEmpty() and not (more := verify(crossing)).isEmpty():
         found = cut(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)), "components")
-    # Names are smallest doc_ids, so the root of a component is its smallest doc_id.
-    rows = prints.select("doc_id", "n", "node").join(copied, "node", "left")
-    rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-    rows = rows.select("doc_id", "n", rep.alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+    return named_components(prints, copied, found)

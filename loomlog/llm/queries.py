@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import jaccard, kdtree, line_dedup, merkle, mixing, periodic, perplexity, pieces, quality, shards, token_counts, warc
+from loomlog.llm import bottomk, jaccard, kdtree, line_dedup, merkle, mixing, periodic, perplexity, pieces, quality, shards, token_counts, warc
 from loomlog.session import configure
 
 
@@ -114,6 +114,10 @@ def op12_slot_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.link(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 QUERIES = {
     "op1_hash_tree": op1_hash_tree,
     "op2_mix_flow": op2_mix_flow,
@@ -127,6 +131,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_slot_pivot": op12_slot_pivot,
+    "op13_bottom_k": op13_bottom_k,
 }
 
 
@@ -211,25 +216,32 @@ select doc_id, len(lines) as n_lines, len(lines) - coalesce(n, 0) as n_dropped,
 from d left join kept using (r)
 """
 
-OP7_SQL = r"""
+def _near(words: int, percent: int, more: str = "") -> str:
+    """Components of documents whose sets of word shingles are near; OP7 and OP13."""
+    joined = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return rf"""
 with recursive d as (
   select row_number() over () as r, doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
 ),
 s as (
-  select r, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as shingles from d
+  select r, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < {words} then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - {words - 2}), lambda i: {joined}) end) as shingles from d
 ),
 t as (select r, len(shingles) as n, unnest(shingles) as shingle from s),
 e as (
   select x.r as a, y.r as b from t x join t y on x.shingle = y.shingle and x.r <> y.r
-  group by x.r, y.r, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))
+  group by x.r, y.r, x.n, y.n having 100 * count(*) >= {percent} * (x.n + y.n - count(*))
 ),
 reach(r, z) as (select r, r from s union select e.b, reach.z from reach join e on reach.r = e.a)
-select s.doc_id, len(s.shingles) as n_shingles, min(o.doc_id) as component_id
+select s.doc_id, len(s.shingles) as n_shingles, min(o.doc_id) as component_id{more}
 from reach join s using (r) join s o on o.r = reach.z group by s.r, s.doc_id, s.shingles
 """
 
+
+OP7_SQL = _near(3, 90)
+OP13_SQL = _near(5, 85, ", s.doc_id is not distinct from min(o.doc_id) as kept")
+
 OP10_SQL = """
 with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
 b as (
@@ -337,4 +349,4 @@ select l.doc_id, l.leaf, s.h as subroot, t.h as root, sha256(c.proof) as proof_s
 from l join subroots s on s.source is not distinct from l.source join climb c on c.r = l.r and c.n = 1, (select h from top where n = 1) t
 """
 
-ORACLES = {"op1_hash_tree": OP1_SQL, "op3_kd_search": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op10_warc": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_slot_pivot": OP12_SQL}
+ORACLES = {"op1_hash_tree": OP1_SQL, "op3_kd_search": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op10_warc": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_slot_pivot": OP12_SQL, "op13_bottom_k": OP13_SQL}

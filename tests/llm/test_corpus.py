@@ -363,10 +363,10 @@ def test_join_against_all_pairs(spark, words, percent, frequent):
     assert got == want
 
 
-def test_rows_that_share_an_id_join(spark):
-    docs = spark.createDataFrame([(5, "a b c d e"), (5, "p q r s t"), (3, "a b c d e"), (4, "P q r s t"), (None, "a b c d e")], "doc_id long, text string")
-    got = sorted(jaccard.link(docs, 3, 90).collect(), key=str)
-    assert Counter(r.component_id for r in got) == {3: 4, None: 1}
+def test_rows_link_by_their_texts_not_their_ids(spark):
+    docs = spark.createDataFrame([(5, "a b c d e"), (5, "p q r s t"), (3, "a b c d e"), (4, "P q r s t"), (None, "a b c d e"), (None, "x y z")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.link(docs, 3, 90).collect())
+    assert got == Counter([(5, 3), (5, 4), (3, 3), (4, 4), (None, 3), (None, None)])
 
 
 def test_components_of_a_long_chain(spark):
