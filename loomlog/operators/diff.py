@@ -2,28 +2,33 @@
 
 ``a`` and ``b`` have (session_id, line, text). The multiset form (U4) is a pair
 of counts per text and scales with the rows. The ordered form (U2) anchors
-lines that are unique on both sides and keeps the longest run of anchors in the
-same order, then compares the stretches between anchors from both ends.
-
-An anchor in order with every other anchor belongs to every longest run. Those
-are found with running maxima, so only the stretches between them, the places
-where the versions really differ, go to a grouped function.
+lines that are unique on both sides, keeps the longest run of anchors in the
+same order, and does the same again between the anchors until a stretch has
+none; such a stretch is compared from both ends.
+
+All open stretches of all sessions go through the same joins, a round per
+level of nesting, on digests of the lines. Anchors that follow each other on
+both sides form one *run*, and a longest run of anchors holds whole runs only.
+So what has to be ordered for a session are its runs: one more than the places
+where lines were moved, not its lines.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.operators.ordered import BLOCK_LINES, Running, running
+from loomlog.operators.ordered import Running, running
 from loomlog.session import cut, ship_by_value
 
 ship_by_value(__name__)
 
+KEYS = ("session_id", "stretch")
+RUN_BLOCK = 1 << 16  # runs of a stretch that are piled at a time
+
 
 def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """U4: (session_id, text, kind, n): how often a text is equal, deleted, inserted."""
@@ -45,123 +50,144 @@ def summary(ops: DataFrame, n: str | None = None) -> DataFrame:
     return ops.groupBy("session_id").agg(total("equal"), total("insert"), total("delete"))
 
 
-def _increasing(values: list[int]) -> list[int]:
-    """Positions of a longest increasing run."""
-    ends: list[int] = []
-    at: list[int] = []
-    back = [-1] * len(values)
-    for i, value in enumerate(values):
-        k = bisect_left(ends, value)
-        back[i] = at[k - 1] if k else -1
-        ends[k:k + 1] = [value]
-        at[k:k + 1] = [i]
-    run, i = [], at[-1] if at else -1
-    while i >= 0:
-        run.append(i)
-        i = back[i]
-    return run[::-1]
-
-
-def _anchors(left: list[str | None], right: list[str | None]) -> list[tuple[int, int]]:
-    def single(texts):
-        counts = Counter(texts)
-        return {t: i for i, t in enumerate(texts) if t is not None and counts[t] == 1}
-
-    other = single(right)
-    rows = [(i, other[t]) for t, i in single(left).items() if t in other]
-    return [rows[i] for i in _increasing([j for _, j in rows])]
+def _single(df: DataFrame, name: str) -> DataFrame:
+    """Lines whose digest occurs once in their stretch."""
+    return df.groupBy(*KEYS, "h").agg(F.count(F.lit(1)).alias("_n"), F.min("line").alias(name)).where("_n = 1").drop("_n")
 
 
-def _ordered_ops(a: list[tuple], b: list[tuple]) -> list[tuple]:
-    """Edit script of one stretch; rows are (line, text, is_anchor).
+def _pile(runs: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
+    """Heaviest chains that end in the next block of a stretch's runs, given the piles' tops so far.
 
-    Open stretches wait on a stack, so nesting has no limit. The first level
-    uses the marked anchors if there are any, deeper levels their own.
+    A top is a run's last place in ``b``, the weight of the heaviest chain that ends there, and the run; tops rise in
+    both. Returns the runs with their predecessor and chain weight, and the new tops.
     """
-    out: list[tuple] = []
-    todo: list[tuple] = [("range", 0, len(a), 0, len(b))]
-    equal = lambda i, j: ("equal", a[i][0], b[j][0], a[i][1])
-    marked = any(row[2] for row in a)
-    while todo:
-        step = todo.pop()
-        if step[0] != "range":
-            out.append(step)
-            continue
-        _, a0, a1, b0, b1 = step
-        found = []
-        if a0 < a1 and b0 < b1:
-            usable = lambda rows: [text if anchor or not marked else None for _, text, anchor in rows]
-            found = _anchors(usable(a[a0:a1]), usable(b[b0:b1]))
-        marked = False
-        if found:
-            parts, i0, j0 = [], a0, b0
-            for i, j in ((a0 + x, b0 + y) for x, y in found):
-                parts += [("range", i0, i, j0, j), equal(i, j)]
-                i0, j0 = i + 1, j + 1
-            todo.extend(reversed([*parts, ("range", i0, a1, j0, b1)]))
-            continue
-        while a0 < a1 and b0 < b1 and a[a0][1] == b[b0][1]:
-            out.append(equal(a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        same = 0
-        while a1 - same > a0 and b1 - same > b0 and a[a1 - same - 1][1] == b[b1 - same - 1][1]:
-            same += 1
-        out += [("delete", row[0], None, row[1]) for row in a[a0:a1 - same]]
-        out += [("insert", None, row[0], row[1]) for row in b[b0:b1 - same]]
-        out += [equal(a1 - k, b1 - k) for k in range(same, 0, -1)]
-    return out
-
-
-def _per_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Scripts of all changed stretches that start in one block of lines."""
-    session = (left if len(left) else right)["session_id"].iloc[0]
-    sides: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-    for side, pdf in enumerate((left, right)):
-        for stretch, line, text, anchor in pdf.sort_values("line")[["stretch", "line", "text", "anchor"]].itertuples(
-                index=False, name=None):
-            sides[stretch][side].append((line, text, anchor))
-    out = [
-        (session, stretch, k, *op)
-        for stretch, (a, b) in sides.items() for k, op in enumerate(_ordered_ops(a, b), 1)
-    ]
-    columns = ["session_id", "stretch", "k", "kind", "a_line", "b_line", "text"]
-    return pd.DataFrame(out, columns=columns).astype({"a_line": "Int64", "b_line": "Int64"})
-
-
-def _single(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("session_id", "text").agg(F.count(F.lit(1)).alias("_n"), F.min("line").alias(name)).where(
-        "_n = 1").drop("_n")
+    columns = ["session_id", "stretch", "run", "pred", "best", "end"]
+    if not len(runs):
+        return pd.DataFrame(columns=columns)
+    keys = (runs["session_id"].iloc[0], int(runs["stretch"].iloc[0]))
+    tops = tops.sort_values("end")
+    ends, bests, ids = tops["end"].tolist(), tops["best"].tolist(), tops["run"].tolist()
+    out = []
+    for run, y, weight in runs.sort_values("run")[["run", "y", "weight"]].itertuples(index=False, name=None):
+        at = bisect_left(ends, y)
+        best = weight + (bests[at - 1] if at else 0)
+        out.append((*keys, run, ids[at - 1] if at else None, best, None))
+        over = at
+        while over < len(ends) and bests[over] <= best:
+            over += 1
+        ends[at:over], bests[at:over], ids[at:over] = [y + weight - 1], [best], [run]
+    out += [(*keys, run, None, best, end) for run, best, end in zip(ids, bests, ends)]
+    return pd.DataFrame(out, columns=columns).astype({"pred": "Int64", "end": "Int64"})
+
+
+def longest_run(anchors: DataFrame, block: int = RUN_BLOCK) -> DataFrame:
+    """Of ``anchors`` (session_id, stretch, a_line, b_line) a longest run that rises on both sides, in each stretch.
+
+    Among equally long ones it is that of patience sorting: the last anchor of the last pile, then always the latest
+    anchor on the pile before.
+    """
+    one = F.lit(1).cast("bigint")
+    ranked = running(anchors, {"x": Running("sum", one)}, KEYS, ("a_line",))
+    ranked = cut(running(ranked, {"y": Running("sum", one)}, KEYS, ("b_line",)))
+    lagged = running(ranked, {"_shift": Running("last", F.col("y") - F.col("x"), before=True)}, KEYS, ("x",))
+    breaks = F.col("_shift").isNull() | (F.col("_shift") != F.col("y") - F.col("x"))
+    placed = cut(running(lagged, {"run": Running("last", F.when(breaks, F.col("x")))}, KEYS, ("x",)).drop("_shift"))
+    runs = placed.groupBy(*KEYS, "run").agg(F.min("y").alias("y"), F.count(F.lit(1)).alias("weight"))
+    runs = cut(running(runs, {"place": Running("sum", one)}, KEYS, ("run",)).withColumn("part", F.floor((F.col("place") - 1) / block)))
+
+    schema = "session_id string, stretch bigint, run bigint, pred bigint, best bigint, end bigint"
+    tops = anchors.sparkSession.createDataFrame([], schema)
+    piled = []
+    for part in range((runs.agg(F.max("part")).first()[0] or 0) + 1):
+        now = runs.where(F.col("part") == part).groupBy(*KEYS).cogroup(tops.groupBy(*KEYS)).applyInPandas(_pile, schema)
+        now = cut(now)
+        tops = now.where("end is not null")
+        piled.append(now.where("end is null").drop("end"))
+    chains = piled[0]
+    for more in piled[1:]:
+        chains = chains.unionByName(more)
+
+    chosen = cut(chains.groupBy(*KEYS).agg(F.max(F.struct("best", "run")).alias("x")).select(*KEYS, F.col("x.run").alias("run")))
+    jumps = cut(chains.where("pred is not null").select(*KEYS, "run", "pred"))
+    known = chosen.count()
+    while True:  # twice as far in every round
+        step = chosen.join(jumps, [*KEYS, "run"]).select(*KEYS, F.col("pred").alias("run"))
+        chosen = cut(chosen.unionByName(step).distinct())
+        count = chosen.count()
+        if count == known:
+            return placed.join(chosen, [*KEYS, "run"], "left_semi").select(*KEYS, "a_line", "b_line")
+        known = count
+        onward = jumps.select(*KEYS, F.col("run").alias("pred"), F.col("pred").alias("far"))
+        jumps = cut(jumps.join(onward, [*KEYS, "pred"]).select(*KEYS, "run", F.col("far").alias("pred")))
+
+
+def _between(rows: DataFrame, chosen: DataFrame, line: str) -> DataFrame:
+    """The lines between anchors; a stretch is named by the ``a_line`` of the anchor before it."""
+    anchors = chosen.select(*KEYS, F.col(line).alias("line"), F.col("a_line").alias("_at"))
+    marked = rows.join(anchors, [*KEYS, "line"], "left")
+    spread = running(marked, {"_last": Running("last", F.col("_at"))}, KEYS)
+    return spread.where("_at is null").select("session_id", F.coalesce("_last", "stretch").alias("stretch"), "line", "h")
+
+
+def _from_both_ends(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Equal lines at the start and the end of each stretch; what is left of ``a`` is deleted, of ``b`` inserted."""
+    one = F.lit(1).cast("bigint")
+    sides = a.select(*KEYS, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(*KEYS, F.lit(0).alias("x"), F.lit(1).alias("y")))
+    sizes = cut(sides.groupBy(*KEYS).agg(F.sum("x").alias("na"), F.sum("y").alias("nb")))
+    left = cut(running(a, {"i": Running("sum", one)}, KEYS).join(sizes, [*KEYS]))
+    right = cut(running(b, {"i": Running("sum", one)}, KEYS).join(sizes, [*KEYS]))
+    other = right.select(*KEYS, "i", F.col("line").alias("b_line"), F.col("h").alias("bh"), (F.col("nb") - F.col("i")).alias("back"))
+    own = left.withColumn("back", F.col("na") - F.col("i"))
+    differ = F.col("h") != F.col("bh")
+    fore = own.drop("back").join(other.drop("back"), [*KEYS, "i"]).where(differ).groupBy(*KEYS).agg(F.min("i").alias("fore"))
+    rear = own.drop("i").join(other.drop("i"), [*KEYS, "back"]).where(differ).groupBy(*KEYS).agg(F.min("back").alias("rear"))
+    least = F.least("na", "nb")
+    bounds = sizes.join(fore, [*KEYS], "left").join(rear, [*KEYS], "left").withColumn("prefix", F.coalesce(F.col("fore") - 1, least))
+    bounds = bounds.select(*KEYS, "prefix", F.least(F.coalesce("rear", least), least - F.col("prefix")).alias("suffix"))
+    bounds = cut(bounds)
+
+    i, na, nb, prefix, suffix = (F.col(c) for c in ("i", "na", "nb", "prefix", "suffix"))
+    rows = left.join(bounds, [*KEYS])
+    place = F.when(i <= prefix, i).when(i > na - suffix, i - na + nb)
+    met = rows.withColumn("j", place).join(other.select(*KEYS, F.col("i").alias("j"), "b_line"), [*KEYS, "j"], "left")
+    k = F.when(i > na - suffix, i + nb - prefix - suffix).otherwise(i)
+    ops = met.select(*KEYS, k.alias("k"), F.when(F.col("j").isNull(), "delete").otherwise("equal").alias("kind"), F.col("line").alias("a_line"), "b_line")
+    new = right.join(bounds, [*KEYS]).where((i > prefix) & (i <= nb - suffix))
+    return ops.unionByName(new.select(
+        *KEYS, (na - suffix + i - prefix).alias("k"), F.lit("insert").alias("kind"), F.lit(None).cast("bigint").alias("a_line"), F.col("line").alias("b_line")))
 
 
 def ordered_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(session_id, stretch, k, kind, a_line, b_line, text), in order of (stretch, k)."""
+    """(session_id, stretch, k, kind, a_line, b_line, text), in order of (stretch, k).
+
+    Lines are compared by digest; a null text is like an empty one.
+    """
     # Plain copies under fresh names, so that one side may be derived from the other.
-    a, b = (df.toDF(*df.columns).select("session_id", "line", "text") for df in (a, b))
-    anchors = _single(a, "a_line").join(_single(b, "b_line"), ["session_id", "text"])
-    anchors = cut(anchors)
-    up = running(anchors, {"_hi": Running("max", F.col("b_line"), before=True)}, order=("a_line",))
-    both = running(
-        up.withColumn("_rev", -F.col("a_line")), {"_lo": Running("max", -F.col("b_line"), before=True)}, order=("_rev",))
-    settled = cut(both.where(
-        (F.col("_hi").isNull() | (F.col("_hi") < F.col("b_line")))
-        & (F.col("_lo").isNull() | (-F.col("_lo") > F.col("b_line")))).select("session_id", "text", "a_line", "b_line"))
-
-    def placed(df: DataFrame, line: str) -> DataFrame:
-        fixed = settled.select("session_id", F.col(line).alias("line"), F.col("a_line").alias("_at"))
-        loose = anchors.select("session_id", F.col(line).alias("line"), F.lit(True).alias("_anchor"))
-        rows = df.select("session_id", "line", "text").join(fixed, ["session_id", "line"], "left").join(
-            loose, ["session_id", "line"], "left")
-        spread = running(rows, {"_s": Running("last", F.col("_at"))})
-        return spread.where("_at is null").select(
-            "session_id", F.coalesce("_s", F.lit(0).cast("bigint")).alias("stretch"), "line", "text",
-            F.coalesce("_anchor", F.lit(False)).alias("anchor")
-        ).withColumn("block", F.floor(F.col("stretch") / BLOCK_LINES))
-
-    keys = ["session_id", "block"]
-    schema = "session_id string, stretch bigint, k bigint, kind string, a_line bigint, b_line bigint, text string"
-    changed = placed(a, "a_line").groupBy(*keys).cogroup(placed(b, "b_line").groupBy(*keys)).applyInPandas(
-        _per_block, schema)
-    kept = settled.select(
-        "session_id", F.col("a_line").alias("stretch"), F.lit(0).cast("bigint").alias("k"), F.lit("equal").alias("kind"),
-        "a_line", "b_line", "text")
-    return kept.unionByName(changed)
+    a, b = (df.toDF(*df.columns).select("session_id", F.col("line").cast("bigint").alias("line"), "text") for df in (a, b))
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    open_a, open_b = (cut(df.select("session_id", F.lit(0).cast("bigint").alias("stretch"), "line", digest.alias("h"))) for df in (a, b))
+    equal, last_a, last_b = [], [], []
+    while True:
+        anchors = cut(_single(open_a, "a_line").join(_single(open_b, "b_line"), [*KEYS, "h"]).drop("h"))
+        if anchors.isEmpty():
+            break
+        chosen = cut(longest_run(anchors))
+        equal.append(chosen.select(
+            "session_id", F.col("a_line").alias("stretch"), F.lit(0).cast("bigint").alias("k"), F.lit("equal").alias("kind"), "a_line", "b_line"))
+        hit = cut(chosen.select(*KEYS).distinct())
+        last_a.append(open_a.join(hit, [*KEYS], "left_anti"))
+        last_b.append(open_b.join(hit, [*KEYS], "left_anti"))
+        open_a = cut(_between(open_a.join(hit, [*KEYS], "left_semi"), chosen, "a_line"))
+        open_b = cut(_between(open_b.join(hit, [*KEYS], "left_semi"), chosen, "b_line"))
+    for more in last_a:
+        open_a = open_a.unionByName(more)
+    for more in last_b:
+        open_b = open_b.unionByName(more)
+    ops = _from_both_ends(cut(open_a), cut(open_b))
+    for more in equal:
+        ops = ops.unionByName(more)
+    texts = lambda df, line: df.select("session_id", F.col("line").alias(line), "text")
+    old = ops.where("a_line is not null").join(texts(a, "a_line"), ["session_id", "a_line"])
+    new = ops.where("a_line is null").join(texts(b, "b_line"), ["session_id", "b_line"])
+    columns = ["session_id", "stretch", "k", "kind", "a_line", "b_line", "text"]
+    return old.select(columns).unionByName(new.select(columns))

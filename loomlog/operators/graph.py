@@ -9,16 +9,14 @@ Loops stop on a stable count and cut their lineage with a checkpoint.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.operators.forest import merge_order
 from loomlog.operators.ordered import BLOCK_LINES, Running, running, with_block
-from loomlog.session import cut, ship_by_value
+from loomlog.session import cut
 from loomlog.sources.lines import entries, has_thinking
 
-ship_by_value(__name__)
-
 
 def nodes(linked: DataFrame, *extra: str) -> DataFrame:
     """One row per (session, uuid); the last row of a repeated uuid wins."""
@@ -262,33 +260,12 @@ def relinked_parents(linked: DataFrame, removed: DataFrame) -> DataFrame:
     return kept.join(place, ["session_id", "parent_uuid"]).join(ends, ["session_id", "seg"]).select("session_id", "line", "new_parent")
 
 
-def _branched_collapse(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merge plan of one branched chunk group, last line first (flags only)."""
-    last = {row.uuid: row for row in pdf.sort_values("line").itertuples() if row.uuid is not None}
-    emptied: set[int] = set()
-    out = []
-    for row in pdf.sort_values("line", ascending=False).itertuples():
-        if row.line in emptied:
-            continue
-        path, seen, parent = [], set(), last.get(row.parent_uuid)
-        while parent is not None and parent.uuid not in seen and parent.line not in emptied:
-            seen.add(parent.uuid)
-            path.append(parent)
-            parent = last.get(parent.parent_uuid)
-        flags = [row.thinks, *(p.thinks for p in path)]
-        if not path or not any(flags) or all(flags):
-            continue
-        emptied.update(p.line for p in path)
-        out.extend((row.session_id, row.line, p.line, i + 1) for i, p in enumerate(path))
-    return pd.DataFrame(out, columns=["session_id", "tip_line", "line", "depth"])
-
-
 def collapse_plan(linked: DataFrame) -> DataFrame:
     """(session_id, tip_line, line, depth): ``line`` is folded into ``tip_line``.
 
     Blocks count as already ordered thinking-first. Straight groups in file
-    order are decided by aggregates; only branched groups, which depend on the
-    order of merging, go through a grouped function on a handful of flags.
+    order are decided by aggregates; branched groups and cycles, which depend on
+    the order of merging, by the rounds of :func:`loomlog.operators.forest.merge_order`.
     """
     usable = entries(linked).where(
         (F.col("role") == "assistant") & ~F.col("is_api_error") & F.col("merge_key").isNotNull()
@@ -328,12 +305,8 @@ def collapse_plan(linked: DataFrame) -> DataFrame:
         # Depth is only used as an order (root last), so the line distance serves.
         "session_id", "tip_line", "line", (F.col("tip_line") - F.col("line")).alias("depth")
     )
-    branched = judged.where("not straight").select(
-        "session_id", "grp", "merge_key", "line", "uuid", "parent_uuid", "thinks"
-    ).groupBy("session_id", "grp", "merge_key").applyInPandas(
-        _branched_collapse, "session_id string, tip_line bigint, line bigint, depth bigint"
-    )
-    return straight.unionByName(branched)
+    branched = cut(judged.where("not straight").select("session_id", "line", "parent_line", "thinks"))
+    return straight if branched.isEmpty() else straight.unionByName(merge_order(branched))
 
 
 def resume_violations(linked: DataFrame, limit: int | None = None) -> DataFrame:

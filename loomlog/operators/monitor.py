@@ -9,6 +9,7 @@ from loomlog.functions import text as T
 from loomlog.functions import tokens as K
 from loomlog.operators import stats as S
 from loomlog.operators.ordered import Running, running
+from loomlog.session import cut
 
 RETRY_SECONDS = 30  # wait after an attempt before the next one (fixed value)
 
@@ -135,6 +136,48 @@ def quiet_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
         "session_id", F.timestamp_micros("_first").alias("start_ts"), after(F.col("_last")).alias("quiet_at"), "n")
 
 
+def quiet_files(looks: DataFrame, quiet_ms: int = 750) -> DataFrame:
+    """M5: (path, size, mtime, quiet_ms): the first look that finds a signature which was there ``quiet_ms`` before.
+
+    ``looks`` has (path, size, mtime, ts). A file's looks are ordered in blocks of an hour.
+    """
+    rows = looks.where("ts is not null").select(
+        "path", "size", F.col("mtime").cast("bigint").alias("mtime"), F.unix_millis("ts").alias("ms"))
+    hour = 3_600_000
+    by = {"keys": ("path",), "order": ("ms", "size", "mtime"), "size": hour}
+    lagged = running(rows, {"_prev": Running("last", F.struct("size", "mtime"), before=True)}, **by)
+    fresh = ~F.coalesce(F.col("_prev") == F.struct("size", "mtime"), F.lit(False))
+    placed = running(lagged, {"_since": Running("last", F.when(fresh, F.col("ms")))}, **by)
+    return placed.where(F.col("ms") - F.col("_since") >= quiet_ms).where(~fresh).groupBy("path", "size", "mtime", "_since").agg(
+        F.min("ms").alias("quiet_ms")).drop("_since")
+
+
+def attempts(readings: DataFrame, retry_seconds: int = RETRY_SECONDS) -> DataFrame:
+    """M3: (session_id, started_ms): instants at or over the threshold, each at least the retry time after the one before.
+
+    Which instants start an attempt depends on the one before, so a session's attempts are found by doubling: every
+    instant points at the first one that is late enough, and the chain from the session's first instant is walked.
+    """
+    rows = readings.where("tokens >= threshold and ts is not null").select("session_id", F.unix_millis("ts").alias("ms")).distinct()
+    wait = retry_seconds * 1000
+    # The first instant at or after ms + wait: asks are placed just before the instants of the same value.
+    marks = rows.select("session_id", (-F.col("ms")).alias("back"), F.lit(0).alias("ask"), "ms").unionByName(
+        rows.select("session_id", (-F.col("ms") - wait).alias("back"), F.lit(1).alias("ask"), "ms"))
+    near = running(marks, {"nxt": Running("last", F.when(F.col("ask") == 0, F.col("ms")))}, order=("back", "ask"), size=3_600_000)
+    jumps = cut(near.where("ask = 1 and nxt is not null").select("session_id", "ms", "nxt"))
+    reached = cut(rows.groupBy("session_id").agg(F.min("ms").alias("ms")))
+    known = reached.count()
+    while True:
+        step = reached.join(jumps, ["session_id", "ms"]).select("session_id", F.col("nxt").alias("ms"))
+        reached = cut(reached.unionByName(step).distinct())
+        now = reached.count()
+        if now == known:
+            return reached.select("session_id", F.col("ms").alias("started_ms"))
+        known = now
+        onward = jumps.select("session_id", F.col("ms").alias("nxt"), F.col("nxt").alias("far"))
+        jumps = cut(jumps.join(onward, ["session_id", "nxt"]).select("session_id", "ms", F.col("far").alias("nxt")))
+
+
 def gap_windows(beats: DataFrame, width: str = "1 day") -> DataFrame:
     """M6: gap statistics per session and tumbling window."""
     placed = beats.withColumn("w", F.window("ts", width)).withColumn("window_start", F.col("w.start"))

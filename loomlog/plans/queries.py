@@ -1014,7 +1014,7 @@ def _compaction(spark, sf_dir, tokens: bool):
 _VISIBLE = """, roots as (select session_id, arg_min(line, rk) rline, arg_min(meta, rk) rmeta, arg_min(uuid, rk) ruuid from
   (select a.session_id, a.line, a.meta, a.uuid, case when a.meta then 0 when depth is not null then 100000 - depth else 200000 + a.line end rk from a left join chain on chain.session_id = a.session_id and chain.line = a.line
    where a.typ = 'user' and a.parent is null) group by session_id),
-vis as (select a.session_id, a.line, a.uuid, -depth pos from a join chain on chain.session_id = a.session_id and chain.line = a.line where msg
+vis as (select a.session_id, a.line, a.uuid, -(depth::bigint) pos from a join chain on chain.session_id = a.session_id and chain.line = a.line where msg
   union all select session_id, rline, ruuid, -(1::bigint << 60) from roots where rmeta and not exists (select 1 from chain where chain.session_id = roots.session_id and chain.line = roots.rline)),
 vn as (select *, row_number() over (partition by session_id order by pos) rn, count(*) over (partition by session_id) n from vis)"""
 

@@ -1,4 +1,4 @@
-"""M3-M8, M10 as Structured Streaming jobs.
+"""M5, M7, M8, M10 as Structured Streaming jobs without keyed state of their own.
 
 Each function maps a streaming DataFrame to a streaming DataFrame; sinks,
 checkpoints and triggers stay with the caller. Windows and joins use the same
@@ -7,19 +7,11 @@ expressions as the batch twins in ``loomlog.operators.monitor``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomlog.functions import jsonv as J
-from loomlog.operators.monitor import RETRY_SECONDS
-from loomlog.session import configure, ship_by_value
-
-ship_by_value(__name__)
+from loomlog.session import configure
 
 LINE_SCHEMA = "session_id string, line bigint, raw string"
 
@@ -58,65 +50,6 @@ def quiet_sessions(events: DataFrame, gap: str = "6 hours", delay: str = "10 min
     ).select("session_id", F.col("w.start").alias("start_ts"), F.col("w.end").alias("quiet_at"), "n")
 
 
-def current_by_cwd(turns: DataFrame) -> DataFrame:
-    """M4: running latest thread per directory (use update or complete mode)."""
-    return turns.groupBy("cwd").agg(F.max(F.struct("ts", "seq", "thread_id", "turn_id")).alias("t")).select(
-        "cwd", F.col("t.thread_id").alias("thread_id"), F.col("t.turn_id").alias("turn_id"), F.col("t.ts").alias("updated_at"))
-
-
-def beat_gaps(beats: DataFrame, delay: str = "10 minutes", width: str = "1 day") -> DataFrame:
-    """M6: number, extremes and p95 of the gaps per session and tumbling window.
-
-    The state of a window is the list of its time stamps, at most one per
-    millisecond: repeated beats are dropped within the watermark first.
-    """
-    rows = beats.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")).dropDuplicatesWithinWatermark(["session_id", "ms"])
-    per = rows.groupBy("session_id", F.window("ts", width).alias("w")).agg(
-        F.count(F.lit(1)).alias("beats"), F.array_sort(F.collect_list(F.unix_millis("ts"))).alias("at"))
-    gaps = F.array_sort(F.transform(
-        F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), lambda x, i: (x - F.element_at("at", i + 1)) / 1000))
-    n = F.size("g")
-    at = lambda rank: F.try_element_at("g", (F.floor(rank) + 1).cast("int"))
-    return per.withColumn("g", gaps).select(
-        "session_id", F.col("w.start").alias("window_start"), "beats", n.cast("bigint").alias("gaps"),
-        F.array_min("g").alias("gap_min"), ((at((n - 1) / 2) + at(n / 2)) / 2).alias("gap_median"),
-        at(F.lit(0.95) * (n - 1)).alias("gap_p95"), F.array_max("g").alias("gap_max"))
-
-
-def _attempts(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Start an attempt unless one started within the retry time; the state is that one time stamp."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get[0] if state.exists else None
-    times = sorted(t for pdf in batches for t in pdf["ms"].tolist())
-    started = []
-    for ms in times:
-        if last is None or ms - last >= RETRY_SECONDS * 1000:
-            started.append(ms)
-            last = ms
-    if last is not None:
-        state.update((last,))
-        if last + RETRY_SECONDS * 1000 > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(last + RETRY_SECONDS * 1000)
-    if started:
-        yield pd.DataFrame({"session_id": [key[0]] * len(started), "started_ms": started})
-
-
-def trigger_attempts(readings: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """M3: (session_id, started_ms) for readings at or over their threshold.
-
-    Readings below it are dropped before the exchange, so the keyed step sees
-    the time stamps of one batch's readings over the limit (bounded by the
-    source's files per trigger). A timer at the end of the retry time frees the
-    state.
-    """
-    over = readings.where("tokens >= threshold").withWatermark("ts", delay).select(
-        "session_id", "ts", F.unix_millis("ts").alias("ms"))
-    return over.groupBy("session_id").applyInPandasWithState(
-        _attempts, "session_id string, started_ms bigint", "last_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def follow_control_log(commands: DataFrame, delay: str = "1 minute", width: str = "10 seconds") -> DataFrame:
     """Reload commands of a run; several within a window count once."""
     rows = commands.where("cmd = 'reload'").withWatermark("ts", delay)
