@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.llm.batches import hand_back, slices
-from loomlog.llm.jaccard import SLICE_BYTES, Shingler, components, digest, named_components, verified
+from loomlog.llm.jaccard import SLICE_BYTES, Shingler, components, digest, memberships, named, verified
 from loomlog.session import cut, ship_by_value
 
 ship_by_value(__name__)
@@ -159,5 +159,5 @@ def link(
     crossing = cut(cross_pairs(index, found, percent), "crossing")
     if not crossing.isEmpty() and not (more := verify(crossing)).isEmpty():
         found = cut(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)), "components")
-    rows = named_components(prints, copied, found)
+    rows = named(memberships(prints, copied, found))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.batches import hand_back, slices
@@ -386,15 +386,19 @@ def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, p
     return cut(met.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint").distinct(), "links")
 
 
-def named_components(prints: DataFrame, copied: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``prints`` (rid, doc_id, n, node).
+def memberships(prints: DataFrame, copied: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, mark, n, root) of every row of ``prints`` (rid, doc_id, mark, n, node), stored.
 
     ``copied`` has (node, rep) of the sets that several rows hold, ``found`` (node, root) of the linked sets.
     """
-    rows = prints.select("rid", "doc_id", "n", "node").join(copied, "node", "left")
-    rows = rows.select("rid", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "rid")).otherwise(F.col("rid")).alias("rep"))
-    rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("root"))
-    rows = cut(rows, "members")
+    rows = prints.select("rid", "doc_id", "mark", "n", "node").join(copied, "node", "left")
+    rows = rows.select("rid", "doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("rep", "rid")).otherwise(F.col("rid")).alias("rep"))
+    rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "mark", "n", F.coalesce("root", "rep").alias("root"))
+    return cut(rows, "members")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of :func:`memberships`."""
     names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     met = rows.join(names.select("root", "component_id", F.lit(True).alias("several")), "root", "left")
     return met.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -430,6 +434,36 @@ def link(
 
     ``frequent`` and ``wide`` (percent of a set kept as extended prefix, if more than needed) steer the work, not the result.
     """
+    return named(linked_rows(docs, words, percent, doc_id, text, frequent, wide))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each component: the smallest doc_id, a row without an id only if none has one.
+
+    Rows without words are in no component and all stay. A row is known by its id and its text's hash; of rows that
+    are equal in both one stays.
+    """
+    rows = linked_rows(docs, words, percent, doc_id, text, FREQUENT, WIDE).where("n > 0")
+    pairs = rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    pair = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    best = pairs.groupBy("root").agg(F.min(pair).alias("best"), F.sum("rows").alias("all")).where(F.col("all") > 1)
+    judged = cut(pairs.join(best, "root").select("doc_id", "mark", "rows", (pair == F.col("best")).alias("stays")), "judged")
+    given = docs.withColumn("_mark", F.xxhash64(text))
+
+    def same(side: DataFrame) -> tuple[DataFrame, Column]:
+        side = side.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"))
+        return side, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
+
+    left = given.join(*same(judged.where("not stays")), "left_anti")
+    repeated = judged.where("stays and rows > 1")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(*same(repeated), "left_semi").dropDuplicates([doc_id, "_mark"])
+    return left.join(*same(repeated), "left_anti").unionByName(once).select(*docs.columns)
+
+
+def linked_rows(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, frequent: int, wide: int) -> DataFrame:
+    """(doc_id, mark, n, root) of every row: equal roots are one component; ``mark`` is the hash of its text."""
     bounds = Bounds(percent, wide)
     prints = cut(fingerprints(docs, words, bounds, doc_id, text), "fingerprints")
     filled = prints.where("n > 0")
@@ -451,4 +485,4 @@ def link(
     crossing = cut(cross_pairs(index, found, bitmaps, percent), "crossing")
     if not crossing.isEmpty() and not (more := verify(crossing)).isEmpty():
         found = cut(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)), "components")
-    return named_components(prints, copied, found)
+    return memberships(prints, copied, found)

@@ -154,7 +154,7 @@ def manifest(docs: DataFrame, changed: Column | None = None, fanout: int = 3) ->
 
     levels, tops = grow(leaves, fanout, "level")
     tops = cut(tops, "subroots")
-    forest = tops.crossJoin(tops.agg(F.count(F.lit(1)).alias("n"))).select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), "n", "digest")
+    forest = tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(tops.count()).cast("long").alias("n"), "digest")
     upper, root = grow(forest, fanout, "level")
     above = with_paths(forest, upper, root.select("tree", F.expr(NO_PATH).alias("path")), fanout, "path")
     above = cut(above.select(F.col("pos").alias("tree"), "path", F.col("digest").alias("subroot")), "path")

@@ -6,6 +6,9 @@ follows up to the next marker) are segmented one by one. A task segments each di
 a table of bounded size and joins the ids back by position. A corpus-wide table would have to shuffle every word of
 every text to meet its ids again; the table of a task needs no exchange.
 
+:func:`round_trip` does both in one function, so a task slot keeps one worker and one model. Models with a piece that crosses
+a marker are refused with an error.
+
 Defined results: null and empty texts have no ids and decode to the empty text; null id lists decode to the empty
 text; repeated rows give equal results; an empty table gives an empty result; columns not named are ignored.
 """
@@ -96,6 +99,12 @@ class WordTable:
         return out
 
 
+def id_lists(found: list[bytes]) -> pa.ListArray:
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for every document, without begin or end ids."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -104,11 +113,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         table = WordTable(path)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                found = table.encode(part.column("text").to_pylist())
-                offsets = np.zeros(len(found) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), id_lists(table.encode(part.column("text").to_pylist()))], ["doc_id", "ids"])
         del table
         hand_back()
 
@@ -132,3 +137,21 @@ def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>, text): the ids of every document and the text that they decode to."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(path)
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                found = table.encode(part.column("text").to_pylist())
+                texts = [table.model.decode(np.frombuffer(ids, np.int32).tolist()) if ids else "" for ids in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), id_lists(found), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        del table
+        hand_back()
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
