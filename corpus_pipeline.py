@@ -29,18 +29,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8. The smallest doc_id stays.
 
-    Documents without words or without an id are in no group. Of rows that repeat a doc_id one stays.
+    Rows are linked by their texts, so rows without an id or with a repeated one are told apart. Documents without
+    words are in no group and stay.
     """
-    groups = cut(jaccard.link(docs, words=5, percent=80), "groups").where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(others, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    filled = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
-    once = left.where(filled).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rest = left.where(filled).join(repeated, "doc_id", "left_anti")
-    return rest.select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(left.where(~filled).select(*docs.columns))
+    return jaccard.keep_one(docs, words=5, percent=80).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every row of the mix."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs, path), path)
+    coded = pieces.round_trip(docs, tokenizer_path("piece_bpe_32k.model"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
