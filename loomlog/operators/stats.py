@@ -323,6 +323,36 @@ def prompt_fit(blocks: DataFrame, budget: int, order: str = "line") -> DataFrame
     )
 
 
+def session_prompts(blocks: DataFrame, budget: int | None = None, target_percent: float = 20, part_bytes: int = 1 << 20) -> DataFrame:
+    """The prompt of a session, its blocks (session_id, line, prompt_text) in order with an empty line between.
+
+    Within ``budget`` tokens only the prefix that fits is ever put together: (session_id, blocks, tokens, source_lines,
+    target_lines, prompt), a row per session. Without a budget a session's text may be of any length, so it comes in
+    parts of about ``part_bytes``: the same columns by (session_id, part), without ``target_lines``.
+    """
+    rows = blocks.where("prompt_text is not null").select("session_id", "line", "prompt_text")
+    sized = running(
+        rows.withColumn("bytes", (F.octet_length("prompt_text") + 2).cast("bigint")), {"cum": Running("sum", F.col("bytes"))},
+    ).withColumn("tokens", F.ceil((F.col("cum") - 2) / 4).cast("bigint"))
+    if budget is not None:
+        sized = sized.where(F.col("tokens") <= budget)
+    ordered = F.array_sort(F.collect_list(F.struct("line", "prompt_text")))
+    joined = lambda items, text: F.array_join(F.transform(items, lambda x: x[text]), "\n\n")
+    part = F.floor((F.col("cum") - F.col("bytes")) / part_bytes).alias("part")
+    parts = sized.groupBy("session_id", part).agg(
+        F.count(F.lit(1)).alias("blocks"), F.max("tokens").alias("tokens"), joined(ordered, "prompt_text").alias("text"))
+    parts = parts.withColumn("source_lines", (F.length(F.regexp_replace("text", "[^\n]", "")) + 1).cast("bigint"))
+    if budget is None:
+        return parts.withColumnRenamed("text", "prompt")
+    whole = parts.groupBy("session_id").agg(
+        F.sum("blocks").alias("blocks"), F.max("tokens").alias("tokens"),
+        # Parts are joined by an empty line, which adds one line between two of them.
+        (F.sum("source_lines") + F.count(F.lit(1)) - 1).alias("source_lines"),
+        joined(F.array_sort(F.collect_list(F.struct("part", "text"))), "text").alias("prompt"))
+    target = F.greatest(F.lit(20), F.floor(F.col("source_lines") * F.lit(target_percent / 100))).cast("bigint")
+    return whole.withColumn("target_lines", target)
+
+
 # --- logs ---------------------------------------------------------------------
 
 def last_signals(log: DataFrame) -> DataFrame:

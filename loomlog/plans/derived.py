@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from loomlog.operators.ordered import Running, running
 from loomlog.operators.graph import active_chain
 from loomlog.operators.stats import message_tokens
-from loomlog.session import configure, cut, spread
-from loomlog.sources.documents import read_log
+from loomlog.session import configure, cut, spread, store_path
+from loomlog.sources.documents import read_log, write_jsonl
 from loomlog.sources.lines import flat_lines, linked_lines, parse_lines, split_lines
 from loomlog.sources.tables import once
 
@@ -336,3 +336,40 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         "session_id", "case when line = 1 and doc_id % 3 = 0 then cast(1000000 as bigint) else line end as line",
         "case when (doc_id + line) % 13 = 5 then concat(text, ' !') else text end as text")
     return a.select("session_id", "line", "text"), b
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files to be written: (name, line, raw), a file per user; every tenth line is blank."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "cast(user_id as string) as session_id", "cast(event_id as bigint) as line",
+        "case when event_id % 10 = 3 then ' ' else concat(event_type, ' ', event_id, ' ', ts) end as raw")
+    placed = running(rows, {"n": Running("sum", F.lit(1).cast("bigint"))})
+    return placed.selectExpr("concat('u', cast(session_id as bigint) % 7, '/', session_id, '.jsonl') as name", "n as line", "raw")
+
+
+def transcript_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the conversations as files: linked ones by project, sidechains beside them."""
+    key = ("transcripts", spark.sparkContext.applicationId, sf_dir)
+    if key not in _folders:
+        root = store_path(spark, "transcripts")
+        name = ("concat('{root}/-work-p', cast(session_id as bigint) % 10, '/', case when cast(session_id as bigint) % 13 = 4 then 'agent-' else '' end, "
+                "session_id, '.jsonl')").replace("{root}", root)
+        write_jsonl(raw_table(spark, sf_dir, "chats").selectExpr(f"{name} as path", "line", "raw"))
+        _folders[key] = root
+    return _folders[key]
+
+
+def rollout_folders(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the event sessions as files by day: yyyy/mm/dd/rollout-<uuid>.jsonl."""
+    key = ("rollouts", spark.sparkContext.applicationId, sf_dir)
+    if key not in _folders:
+        root = store_path(spark, "rollouts")
+        name = (f"concat('{root}/2024/01/', lpad(1 + u % 28, 2, '0'), '/rollout-', regexp_replace(md5(session_id), "
+                "'(.{8})(.{4})(.{4})(.{4})(.{12})', '$1-$2-$3-$4-$5'), '.jsonl')")
+        rows = raw_table(spark, sf_dir, "rollouts").selectExpr("*", "cast(session_id as bigint) as u")
+        write_jsonl(rows.selectExpr(f"{name} as path", "line", "raw"))
+        _folders[key] = root
+    return _folders[key]
+
+
+_folders: dict[tuple, str] = {}

@@ -19,6 +19,7 @@ from loomlog.operators import checks as C
 from loomlog.operators import compact as CP
 from loomlog.operators import diff as DF
 from loomlog.operators import graph as G
+from loomlog.operators import keywords as KW
 from loomlog.operators import monitor as M
 from loomlog.operators import rewrite as R
 from loomlog.operators import rewrite_flat as RF
@@ -29,8 +30,9 @@ from loomlog.operators.rewrite import first_n
 from loomlog.plans import derived as D
 from loomlog.plans import guarded as GP
 from loomlog.plans.oracles import BASES, sql
-from loomlog.session import cut
+from loomlog.session import cut, store_path
 from loomlog.sources import documents as DOC
+from loomlog.sources import growing as GR
 from loomlog.sources import lines as L
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -733,14 +735,35 @@ def document_plan(spark, sf_dir):
     return S.removal_plan(items, Amount("percent", 40), keep_last=2)
 
 
-@register("w3_prompt_fit", """with s as (select cast(conv_id as varchar) session_id, turn + 1 line, strlen(text) + 2 b from conversations),
-w as (select *, sum(b) over (partition by session_id order by line) cum, row_number() over (partition by session_id order by line) rn from s),
-k as (select *, greatest(cum - 2, 0)::bigint + 3 bb from w)
-select session_id, max(rn)::bigint requested, max(bb // 4)::bigint requested_tokens, coalesce(max(rn) filter (bb // 4 <= 300), 0)::bigint fit_count, coalesce(max(bb // 4) filter (bb // 4 <= 300), 0)::bigint fit_tokens from k group by session_id""")
+_PROMPT = """, pr as (select session_id, line, case when typ <> 'file-history-snapshot' then nullif(trim(concat(
+ case when think and c % 2 = 0 then concat('think ', t, chr(10)) else '' end,
+ case when has_res then concat('[result: done ', t, ']', chr(10)) else '' end, case when has_late then concat('[result: late]', chr(10)) else '' end,
+ text, case when role = 'assistant' or has_res then chr(10) else '' end,
+ case when has_use then concat('[tool: tool', t % 3, ']', chr(10), '{"q":', t, '}', chr(10)) else '' end,
+ case when think and c % 2 = 1 then concat('think ', t, chr(10)) else '' end), concat(' ', chr(10))), '') end body, role from a),
+blocks as (select session_id, line, case when body is not null then concat('[', role, ']: ', body) end block from pr),
+w as (select *, coalesce(sum(strlen(block) + 2) over (partition by session_id order by line), 0) cum, row_number() over (partition by session_id order by line) rn from blocks),
+k as (select *, (greatest(cum - 2, 0)::bigint + 3) // 4 tok from w)"""
+
+
+def _prompt_blocks(spark, sf_dir):
+    return L.entries(D.linked(spark, sf_dir)).select("session_id", "line", T.prompt_text_linked(F.col("v")).alias("prompt_text"))
+
+
+@register("w3_prompt_fit", sql("al a", _PROMPT + """ select session_id, max(rn)::bigint requested, max(tok)::bigint requested_tokens, coalesce(max(rn) filter (tok <= 300), 0)::bigint fit_count,
+ coalesce(max(tok) filter (tok <= 300), 0)::bigint fit_tokens from k group by session_id"""))
 def prompt_fit(spark, sf_dir):
-    rows = D.table(spark, sf_dir, "conversations").selectExpr(
-        "cast(conv_id as string) as session_id", "turn + 1 as line", "text as prompt_text")
-    return S.prompt_fit(rows, 300)
+    """The entries whose prompt blocks fit; an entry without a block takes no room."""
+    return S.prompt_fit(_prompt_blocks(spark, sf_dir), 300)
+
+
+@register("p7_session_prompts", sql("al a", _PROMPT + """, j as (select session_id, count(*) blocks, max(tok)::bigint tokens, string_agg(block, concat(chr(10), chr(10)) order by line) prompt
+ from k where block is not null and tok <= 300 group by session_id)
+select session_id, blocks, tokens, (length(prompt) - length(replace(prompt, chr(10), '')) + 1)::bigint source_lines,
+ greatest(20, (length(prompt) - length(replace(prompt, chr(10), '')) + 1) // 5)::bigint target_lines, md5(prompt) prompt_md5 from j"""))
+def session_prompts(spark, sf_dir):
+    rows = S.session_prompts(_prompt_blocks(spark, sf_dir), budget=300, part_bytes=256)
+    return rows.select("session_id", "blocks", "tokens", "source_lines", "target_lines", F.md5("prompt").alias("prompt_md5"))
 
 
 _TURNS = """, asst as (select * from r where role = 'assistant'),
@@ -779,7 +802,22 @@ def relink(spark, sf_dir):
     return G.relinked_parents(linked, gone).select("session_id", "line", F.coalesce("new_parent", F.lit("-")).alias("new_parent"))
 
 
-@register("g6_collapse_chunks")
+# Chunks of a merge key from the last line up: ``path`` has the ancestors of a row, ``gone`` what later rows have taken.
+_MERGES = """, ch as (select session_id, line, uuid, parent, mkey, think from r where role = 'assistant'),
+up as (select c.session_id, c.line tip, p.line, p.parent, p.mkey, p.think, 1 depth from ch c join ch p on p.session_id = c.session_id and p.uuid = c.parent and p.mkey = c.mkey
+  union all select u.session_id, u.tip, p.line, p.parent, p.mkey, p.think, depth + 1 from up u join ch p on p.session_id = u.session_id and p.uuid = u.parent and p.mkey = u.mkey),
+tips as (select c.session_id, c.line, c.think, u.path, u.thinks, row_number() over (partition by c.session_id order by c.line desc) k from ch c
+  join (select session_id, tip line, list(line order by depth) path, list(think order by depth) thinks from up group by all) u using (session_id, line)),
+walk as (select distinct session_id, 0::bigint k, []::bigint[] gone, []::bigint[] hit, 0::bigint tip from tips
+  union all select session_id, k, list_concat(gone, hit), hit, tip from (
+    select session_id, k, gone, tip, case when list_contains(gone, tip) or len(pre) = 0 or list_bool_or(flags) = list_bool_and(flags) then []::bigint[] else pre end hit from (
+      select session_id, k, gone, tip, path[1:m] pre, list_append(thinks[1:m], think) flags from (
+        select t.session_id, t.k, w.gone, t.line tip, t.path, t.thinks, t.think, coalesce(list_min(list_filter(range(1, len(t.path) + 1), lambda j: list_contains(w.gone, t.path[j]))) - 1, len(t.path)) m
+        from walk w join tips t on t.session_id = w.session_id and t.k = w.k + 1)))),
+merges as (select session_id, tip tip_line, unnest(hit) line from walk)"""
+
+
+@register("g6_collapse_chunks", sql("recursive r", _MERGES + " select * from merges"))
 def collapse_chunks(spark, sf_dir):
     return G.collapse_plan(D.linked(spark, sf_dir, "runs")).select("session_id", "tip_line", "line")
 
@@ -1393,6 +1431,126 @@ def layered_settings(spark, sf_dir):
     return CT.layered_settings(rows)
 
 
+# --- files --------------------------------------------------------------------
+
+_LINES = """with n as (select user_id::varchar session_id, case when event_id % 10 = 3 then ' ' else concat(event_type, ' ', event_id, ' ', strftime(ts, '%Y-%m-%d %H:%M:%S'),
+  case when microsecond(ts) % 1000000 = 0 then '' else concat('.', rtrim(lpad((microsecond(ts) % 1000000)::varchar, 6, '0'), '0')) end) end raw,
+  row_number() over (partition by user_id order by event_id) line, count(*) over (partition by user_id) n from events)"""
+
+
+@register("s1_read_files", """with f as (select concat(case when conv_id % 13 = 4 then 'agent-' else '' end, conv_id) session_id, turn + 1 line from conversations)
+select session_id, count(*) lines, sum(line)::bigint line_sum from f group by all""")
+def read_files(spark, sf_dir):
+    """K1's files of the conversations, read back in splits."""
+    rows = L.read_session_lines(spark, D.transcript_files(spark, sf_dir))
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("line").alias("line_sum"))
+
+
+@register("k1_file_contents", _LINES + " select session_id, line, md5(raw) raw_md5 from n where trim(raw) <> ''")
+def file_contents(spark, sf_dir):
+    root = store_path(spark, "files")
+    DOC.write_jsonl(D.event_files(spark, sf_dir).withColumn("path", F.concat(F.lit(f"{root}/"), "name")))
+    return L.read_session_lines(spark, root).select("session_id", "line", F.md5("raw").alias("raw_md5"))
+
+
+@register("s5_scan_projects", """select conv_id::varchar session_id, concat('-work-p', conv_id % 10) project_dir from (select distinct conv_id from conversations)
+where conv_id % 10 in (3, 7) and conv_id % 13 <> 4""")
+def scan_projects(spark, sf_dir):
+    return DOC.scan_projects(spark, D.transcript_files(spark, sf_dir), ["/work/p3", "/work/p7"]).select("session_id", "project_dir")
+
+
+@register("s6_scan_rollouts", r"""select regexp_replace(md5(user_id::varchar), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\1-\2-\3-\4-\5') session_id from (select distinct user_id from events) where 1 + user_id % 28 between 8 and 20""")
+def scan_rollouts(spark, sf_dir):
+    """The thirteen day folders up to the 20th."""
+    return DOC.scan_rollouts(spark, D.rollout_folders(spark, sf_dir), datetime(2024, 1, 20).date(), 13).select("session_id")
+
+
+@register("m8_growing_files", _LINES + " select session_id, case when line <= n // 2 then 1 else 2 end::bigint version, line, md5(raw) raw_md5 from n where trim(raw) <> ''")
+def growing_files(spark, sf_dir):
+    """Half of each file and half a line more, a stock; the rest of it, a stock; then the lines of both versions."""
+    root, store = store_path(spark, "growing"), store_path(spark, "growing-store")
+    lines = cut(D.event_files(spark, sf_dir).withColumn("path", F.concat(F.lit(f"{root}/"), "name")))
+    sizes = lines.groupBy("path").agg(F.max("line").alias("n"))
+    placed = lines.join(sizes, "path").withColumn("half", F.floor(F.col("n") / 2)).where("line <= half + 1").withColumn("whole", F.col("line") <= F.col("half"))
+    begun = F.when(F.col("whole"), F.col("raw")).otherwise(F.substring("raw", F.lit(1), F.floor(F.length("raw") / 2).cast("int")))
+    DOC.write_jsonl(placed.withColumn("raw", begun), "whole")
+    GR.take_stock(spark, [root], store)
+    DOC.write_jsonl(lines)
+    GR.take_stock(spark, [root], store)
+    return GR.grown_lines(spark, store).select("session_id", "version", "line", F.md5("raw").alias("raw_md5"))
+
+
+@register("s8_tail_from_end", _LINES + " select session_id, row_number() over (partition by session_id order by line desc)::int back, md5(raw) raw_md5 from n where trim(raw) <> '' qualify back <= 20")
+def tail_from_end(spark, sf_dir):
+    root = store_path(spark, "tails")
+    DOC.write_jsonl(D.event_files(spark, sf_dir).withColumn("path", F.concat(F.lit(f"{root}/"), "name")))
+    rows = GR.tail_lines(GR.list_files(spark, [root]), 20)
+    return rows.select(P.session_id_from_path(F.col("path")).alias("session_id"), "back", F.md5("raw").alias("raw_md5"))
+
+
+@register("m10_control_cursor", """select session_id, 2::bigint version, count(*) commands, arg_max(e, line)::varchar reason from (
+  select user_id::varchar session_id, event_id e, event_type, row_number() over (partition by user_id order by event_id) line, count(*) over (partition by user_id) n from events)
+where line > n // 2 and event_type in ('click', 'view') group by session_id""")
+def control_cursor(spark, sf_dir):
+    """Reload commands of control logs beyond a stored cursor: version 1 has been read before."""
+    root, store = store_path(spark, "control"), store_path(spark, "control-store")
+    rows = D.table(spark, sf_dir, "events").selectExpr(
+        "cast(user_id as string) as session_id", "event_id as line",
+        "to_json(named_struct('ts', ts, 'cmd', case when event_type in ('click', 'view') then 'reload' else event_type end, 'reason', cast(event_id as string))) as raw")
+    lines = cut(numbered(rows, "n").selectExpr("session_id", f"concat('{root}/runs/', session_id, '.jsonl') as path", "n as line", "raw"))
+    sizes = lines.groupBy("path").agg(F.max("line").alias("n"))
+    DOC.write_jsonl(lines.join(sizes, "path").where("line <= floor(n / 2)"))
+    cursor = GR.take_stock(spark, [root], store)
+    DOC.write_jsonl(lines)
+    GR.take_stock(spark, [root], store)
+    return GR.reload_commands(GR.grown_lines(spark, store, after=cursor))
+
+
+@register("k4_append_log", """select user_id::varchar session_id, count(*) n, count(*) filter (event_type = 'click') stamped from events group by user_id""")
+def append_log(spark, sf_dir):
+    """Two batches, the second attempted twice; rows without a time get the stamp of the append."""
+    path = store_path(spark, "appended")
+    rows = D.table(spark, sf_dir, "events").selectExpr(
+        "cast(user_id as string) as session_id", "case when event_type <> 'click' then cast(ts as string) end as ts", "event_type as event", "event_id")
+    for batch, part in (("0", "event_id % 2 = 0"), ("1", "event_id % 2 = 1"), ("1", "event_id % 2 = 1")):
+        DOC.append_log(rows.where(part), path, STAMP, batch)
+    back = DOC.read_appended(spark, path)
+    return back.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.get_json_object("value", "$.ts") == STAMP).alias("stamped"))
+
+
+# --- projections of their own -------------------------------------------------
+
+@register("p1_entry_columns", sql("al a", """select session_id, line, typ "type", uuid, coalesce(parent, '-') parent_uuid, role from a"""))
+def entry_columns(spark, sf_dir):
+    return L.entries(D.linked(spark, sf_dir)).select("session_id", "line", "type", "uuid", F.coalesce("parent_uuid", F.lit("-")).alias("parent_uuid"), "role")
+
+
+@register("p2_content_blocks", sql("al a", """, k as (select session_id, line, unnest(list_filter([
+  case when think and c % 2 = 0 then 'thinking' end, case when has_res then 'tool_result' end, case when has_late then 'tool_result' end,
+  case when role = 'assistant' or has_res then 'text' end, case when has_use then 'tool_use' end, case when think and c % 2 = 1 then 'thinking' end], lambda x: x is not null)) kind from a)
+select session_id, line, kind, count(*) n from k group by all"""))
+def content_blocks(spark, sf_dir):
+    rows = L.entries(D.linked(spark, sf_dir)).select("session_id", "line", F.explode("blocks").alias("b"))
+    return rows.groupBy("session_id", "line", F.col("b.type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("p16_durations", """select event_id, case event_id % 4 when 0 then event_id when 1 then event_id * 1000 when 2 then event_id * 500 end::bigint ms from events""")
+def durations(spark, sf_dir):
+    text = ("case event_id % 4 when 0 then concat(event_id, 'ms') when 1 then concat(' ', event_id, 's') "
+            "when 2 then concat(cast(event_id div 2 as string), case when event_id % 2 = 1 then '.5s' else 's' end) else concat(event_id, ' s') end")
+    return D.table(spark, sf_dir, "events").selectExpr("event_id", f"{text} as t").select("event_id", specs.duration_ms_column(F.col("t")).alias("ms"))
+
+
+@register("f4_keyword_table", """with k as (select distinct lower(substr(text, 1 + item_id % 20, 12)) keyword from benchmark where length(text) > 40),
+d as (select doc_id, lower(text) text from documents)
+select doc_id, count(*) n, min(keyword) first_keyword from d join k on contains(text, keyword) where keyword <> '' group by doc_id""")
+def keyword_table(spark, sf_dir):
+    """Pieces of the benchmark's passages as keywords, all at once, over whole texts."""
+    words = D.table(spark, sf_dir, "benchmark").where("length(text) > 40").selectExpr("lower(substr(text, cast(1 + item_id % 20 as int), 12)) as keyword")
+    hits = KW.keyword_hits(D.table(spark, sf_dir, "documents").select("doc_id", "text"), words)
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("keyword").alias("first_keyword"))
+
+
 # --- versions -----------------------------------------------------------------
 
 _VERSIONS = """with d as (select doc_id, unnest(s) raw, generate_subscripts(s, 1) line from (select doc_id, regexp_split_to_array(replace(text, '. ', concat('.', chr(10))), '\r\n|\n|\r') s from documents)),
@@ -1407,16 +1565,46 @@ def version_diff(spark, sf_dir):
     return DF.summary(DF.multiset_diff(a, b), "n")
 
 
-@register("u2_ordered_diff", _VERSIONS + """, n as (select doc_id, count(*) a_lines, (select count(*) from vb where vb.doc_id = va.doc_id) b_lines from va group by doc_id)
-select cast(doc_id as varchar) session_id, a_lines, b_lines from n""")
+def _script() -> str:
+    """The ordered diff in SQL, its levels written out; the moved line is no anchor beside others, as all others are in order."""
+    parts = [_VERSIONS.replace("vb as (select doc_id,", "vb as (select doc_id, case when line = 1 and doc_id % 3 = 0 then 1000000 else line end line,"),
+             "a0 as (select doc_id, 0::bigint s, line, text from va)", "b0 as (select doc_id, 0::bigint s, line, text from vb)"]
+    for k in range(8):
+        parts += [
+            f"""c{k} as (select doc_id, s, text, al, bl from (select doc_id, s, text, any_value(line) al from a{k} group by all having count(*) = 1)
+  join (select doc_id, s, text, any_value(line) bl from b{k} group by all having count(*) = 1) using (doc_id, s, text)
+  qualify bl <> 1000000 or count(*) over (partition by doc_id, s) = 1)""",
+            f"""a{k + 1} as (select doc_id, coalesce(max(hit) over (partition by doc_id, s order by line), s) s, line, text from a{k}
+  left join (select doc_id, s, al hit, al line from c{k}) using (doc_id, s, line) qualify hit is null)""",
+            f"""b{k + 1} as (select doc_id, coalesce(max(hit) over (partition by doc_id, s order by line), s) s, line, text from b{k}
+  left join (select doc_id, s, al hit, bl line from c{k}) using (doc_id, s, line) qualify hit is null)""",
+        ]
+    equal = " union all ".join(f"select doc_id, 'equal' kind, al, bl from c{k}" for k in range(8))
+    parts += [
+        "x as (select doc_id, s, line, text, row_number() over w i, count(*) over (partition by doc_id, s) n from a8 window w as (partition by doc_id, s order by line))",
+        "y as (select doc_id, s, line, text, row_number() over w i, count(*) over (partition by doc_id, s) n from b8 window w as (partition by doc_id, s order by line))",
+        "f as (select x.doc_id, x.s, min(x.i) - 1 fore from x join y on x.doc_id = y.doc_id and x.s = y.s and x.i = y.i where x.text <> y.text group by all)",
+        "g as (select x.doc_id, x.s, min(x.n - x.i) rear from x join y on x.doc_id = y.doc_id and x.s = y.s and x.n - x.i = y.n - y.i where x.text <> y.text group by all)",
+        """h as (select doc_id, s, na, nb, coalesce(fore, least(na, nb)) p, least(coalesce(rear, least(na, nb)), least(na, nb) - coalesce(fore, least(na, nb))) q
+  from (select doc_id, s, any_value(n) na from x group by all) full join (select doc_id, s, any_value(n) nb from y group by all) using (doc_id, s) left join f using (doc_id, s) left join g using (doc_id, s))""",
+        "hh as (select doc_id, s, coalesce(na, 0) na, coalesce(nb, 0) nb, case when na is null or nb is null then 0 else p end p, case when na is null or nb is null then 0 else q end q from h)",
+        """o as (select x.doc_id, case when x.i <= p or x.i > na - q then 'equal' else 'delete' end kind, x.line al, y.line bl from x join hh using (doc_id, s)
+  left join y on y.doc_id = x.doc_id and y.s = x.s and y.i = case when x.i <= p then x.i when x.i > na - q then x.i - na + nb end
+  union all select doc_id, 'insert', null, line from y join hh using (doc_id, s) where i > p and i <= nb - q)""",
+    ]
+    return ",\n".join(parts) + f",\nops as (select * from o union all {equal})"
+
+
+@register("u2_ordered_diff", _script() + " select cast(doc_id as varchar) session_id, kind, coalesce(al, -1)::bigint a_line, coalesce(bl, -1)::bigint b_line from ops")
 def ordered_diff(spark, sf_dir):
-    """Every line of either version occurs once in the script; the script itself is tested on small texts."""
+    """Every operation of the script, by the lines it pairs."""
     a, b = D.versions(spark, sf_dir)
-    ops = DF.ordered_diff(cut(a), cut(b))
-    return ops.groupBy("session_id").agg(F.count("a_line").alias("a_lines"), F.count("b_line").alias("b_lines"))
+    minus = F.lit(-1).cast("bigint")
+    return DF.ordered_diff(cut(a), cut(b)).select("session_id", "kind", F.coalesce("a_line", minus).alias("a_line"), F.coalesce("b_line", minus).alias("b_line"))
 
 
-@register("u3_diff_summary")
+@register("u3_diff_summary", _script() + """ select cast(doc_id as varchar) session_id, count(*) filter (kind = 'equal') equal, count(*) filter (kind = 'insert') "insert",
+ count(*) filter (kind = 'delete') "delete" from ops group by doc_id""")
 def diff_summary(spark, sf_dir):
     a, b = D.versions(spark, sf_dir)
     return DF.summary(DF.ordered_diff(cut(a), cut(b)))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
 from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import jsonv as J
 from loomlog.functions import paths as P
-from loomlog.session import configure
+from loomlog.session import configure, cut, ship_by_value
+from loomlog.sources.growing import open_uri
 from loomlog.sources.lines import parse_lines, tail
 
+ship_by_value(__name__)
+
 PENDING_STATES = ("running", "ready", "failed", "stale")
 RELOAD_MODES = ("manual", "auto", "off")
 
@@ -243,9 +250,67 @@ def read_session(spark: SparkSession, path: str, session_id: str, buckets: int =
     return rows.where((F.col("bucket") == own) & (F.col("session_id") == session_id)).orderBy(*order).drop("bucket")
 
 
-def append_log(events: DataFrame, path: str, now: str) -> None:
-    """K4: stamp missing times, append as JSON lines; ``events`` has session_id and payload columns."""
+def write_jsonl(lines: DataFrame, whole: str | None = None) -> DataFrame:
+    """K1: one text file per ``path`` (a URI), its ``raw`` lines in order of ``line``; returns (path, lines, bytes).
+
+    A file is written under a hidden name beside its place and moved there when it is whole, so a lost task or a
+    repeated one leaves the old file or the new one, never a torn one. One task writes a file, row by row. The rows
+    for which the column ``whole`` is false get no newline.
+    """
+    ended = F.lit(True) if whole is None else F.col(whole)
+    rows = lines.select("path", "line", "raw", ended.alias("whole")).repartition("path").sortWithinPartitions("path", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = stream = None
+        done: list[tuple[str, int, int]] = []
+        count = size = 0
+
+        def close() -> None:
+            stream.close()
+            system, place = open_uri(now)
+            system.move(_hidden(place), place)
+            done.append((now, count, size))
+
+        for batch in batches:
+            for uri, raw, ends in zip(*(batch.column(c).to_pylist() for c in ("path", "raw", "whole"))):
+                if uri != now:
+                    if stream is not None:
+                        close()
+                    now, count, size = uri, 0, 0
+                    system, place = open_uri(uri)
+                    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                    stream = system.open_output_stream(_hidden(place))
+                data = (raw or "").encode() + (b"\n" if ends else b"")
+                stream.write(data)
+                count, size = count + 1, size + len(data)
+        if stream is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["path", "lines", "bytes"])
+
+    return cut(rows.mapInArrow(run, "path string, lines bigint, bytes bigint"), "written")
+
+
+def _hidden(place: str) -> str:
+    folder, name = place.rsplit("/", 1)
+    return f"{folder}/.{name}.{uuid.uuid5(uuid.NAMESPACE_URL, f'{os.getpid()}-{name}').hex}"
+
+
+def append_log(events: DataFrame, path: str, now: str, batch: str | None = None, buckets: int = 64) -> None:
+    """K4: stamp missing times, append as JSON text by hash of the session; ``events`` has session_id and payload columns.
+
+    The folders do not grow with the sessions. An append named ``batch`` (a stream's batch id) replaces what an earlier
+    attempt of that name wrote, so repeating it doubles nothing; tasks publish their files when they are whole.
+    """
     stamped = events.withColumn("ts", F.coalesce("ts", F.lit(now))) if "ts" in events.columns else events.withColumn("ts", F.lit(now))
     fields = [c for c in stamped.columns if c not in ("session_id", "ts")]
-    stamped.select("session_id", F.to_json(F.struct("ts", *fields)).alias("value")).write.mode("append").partitionBy(
-        "session_id").text(path)
+    rows = stamped.select("session_id", F.to_json(F.struct("ts", *fields)).alias("value"), F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch or uuid.uuid4().hex}")
+
+
+def read_appended(spark: SparkSession, path: str, session_id: str | None = None, buckets: int = 64) -> DataFrame:
+    """(session_id, value, batch) of an appended log, or of one session; then only its bucket is read."""
+    rows = spark.read.schema("session_id string, value string, batch string, bucket int").parquet(path)
+    if session_id is not None:
+        rows = rows.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(session_id)), F.lit(buckets)).cast("int")) & (F.col("session_id") == session_id))
+    return rows.select("session_id", "value", "batch")
