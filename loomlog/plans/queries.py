@@ -313,13 +313,17 @@ def prompt_text(spark, sf_dir):
     return rows.select("session_id", "line", F.md5("p").alias("prompt_md5"))
 
 
-@register("p8_prompt_text_flat", sql("b", """select session_id, line, case when itype = 'message' then concat('[', mrole, ']: ', trim(note))
- when itype like '%output' then concat('[assistant]: [result: ', itype, case when cid is null then '' else concat(' ', cid) end, ']')
- else concat('[assistant]: [tool: tool', e % 5, ']') end label from b where itype is not null"""))
+# A tool item as JSON with its keys in order.
+_ITEM = """concat('{', case when itype like '%output' then '' when itype = 'local_shell_call' or itype like '%call' then concat('"arguments":"{\\"e\\":', e, '}",') end,
+ case when cid is null then '' else concat('"call_id":"', cid, '",') end, case when itype like '%output' then concat('"output":"out ', e, '"') else concat('"name":"tool', e % 5, '"') end, ',"type":"', itype, '"}')"""
+
+
+@register("p8_prompt_text_flat", sql("b", f"""select session_id, line, case when itype = 'message' then concat('[', mrole, ']: ', trim(note))
+ when itype like '%output' then concat('[assistant]: [result: ', itype, case when cid is null then '' else concat(' ', cid) end, ']', chr(10), {_ITEM})
+ else concat('[assistant]: [tool: tool', e % 5, ']', chr(10), {_ITEM}) end prompt from b where itype is not null"""))
 def prompt_text_flat(spark, sf_dir):
-    rows = D.flat(spark, sf_dir).where("type = 'response_item'").select("session_id", "line", "item_type", T.prompt_text_flat(F.col("item")).alias("p"))
-    return rows.where("p is not null").select(
-        "session_id", "line", F.when(F.col("item_type") == "message", F.col("p")).otherwise(F.substring_index("p", "\n", 1)).alias("label"))
+    rows = D.flat(spark, sf_dir).where("type = 'response_item'").select("session_id", "line", T.prompt_text_flat(F.col("item")).alias("prompt"))
+    return rows.where("prompt is not null")
 
 
 @register("p10_approx_tokens", "select doc_id, ((strlen(text) + 3) // 4)::bigint approx_tokens from documents")
@@ -868,32 +872,79 @@ walk as (select k.session_id, k.line, k.uuid, k.parent cur, 0 hops from kept k
 relinked as (select session_id, line, uuid, coalesce(arg_max(coalesce(cur, '-'), hops), '-') parent from walk group by all)"""
 
 
-def _removal_twin(selected: str) -> str:
-    """Surviving rows and links after a removal without repair, for the touched sessions and the others."""
+_KINDS = """list_filter([case when {first} then 'thinking' end, case when has_res then 'tool_result' end, case when has_late then 'tool_result' end,
+ case when role = 'assistant' or has_res then 'text' end, case when has_use then 'tool_use' end, case when {last} then 'thinking' end], lambda x: x is not null)"""
+_ORDERED = _KINDS.format(first="think", last="false")
+_AS_WRITTEN = _KINDS.format(first="think and c % 2 = 0", last="think and c % 2 = 1")
+
+
+def _fix_twin(p: str, rows: str, refs: str, api: bool = True, uses: bool = True) -> str:
+    """The repair of ``rows`` in SQL as tables named with ``p``; ``{p}out`` has what survives, with links and block types.
+
+    Chats alternate their roles, so a merge key holds two assistant rows at most and a merge has one step.
+    """
+    errors = f"union select session_id, line from {p}a where api" if api else ""
+    sides = "('result', 'use')" if uses else "('result')"
+    return f""", {p}up as (select *, lag(uuid) over (partition by session_id order by line) above from {rows}),
+{p}a as (select * exclude (above, parent), case when parent is not null and not exists (select 1 from {rows} q where q.session_id = {p}up.session_id and q.uuid = {p}up.parent) then above else parent end parent from {p}up),
+{p}merge as (select x.session_id, x.line tip, y.line, y.has_use y_use from {p}a x join {p}a y on y.session_id = x.session_id and y.uuid = x.parent
+  where x.role = 'assistant' and y.role = 'assistant' and not x.api and not y.api and x.mkey = y.mkey and x.think <> y.think),
+{p}refs as (select r.session_id, coalesce(m.tip, r.line) line, side, id from {refs} r left join {p}merge m on m.session_id = r.session_id and m.line = r.line),
+{p}lone as (select session_id, id, any_value(side) lone from {p}refs group by session_id, id having count(distinct side) = 1),
+{p}links as (select distinct r.session_id, r.line, r.id from {p}refs r anti join {p}lone o on o.session_id = r.session_id and o.id = r.id),
+{p}seeds as (select session_id, line from {p}merge {errors} union select r.session_id, r.line from {p}refs r join {p}lone o on o.session_id = r.session_id and o.id = r.id where lone in {sides}),
+{p}reach as (select session_id, line from {p}seeds union select l2.session_id, l2.line from {p}reach h join {p}links l1 on l1.session_id = h.session_id and l1.line = h.line
+  join {p}links l2 on l2.session_id = l1.session_id and l2.id = l1.id),
+{p}kept as (select * from {p}a k anti join {p}reach g on g.session_id = k.session_id and g.line = k.line),
+{p}walk as (select session_id, line, parent cur, 0 hops from {p}kept
+  union all select w.session_id, w.line, g.parent, hops + 1 from {p}walk w join {p}a g on g.session_id = w.session_id and g.uuid = w.cur
+  semi join {p}reach h on h.session_id = g.session_id and h.line = g.line),
+{p}link as (select session_id, line, nullif(arg_max(coalesce(cur, ''), hops), '') new_parent from {p}walk group by all),
+{p}out as (select k.* exclude (parent), l.new_parent parent, m.tip is not null merged,
+  case when m.tip is null then {_ORDERED} else list_concat(case when y_use then ['thinking', 'text', 'tool_use'] else ['thinking', 'text'] end, case when has_use then ['text', 'tool_use'] else ['text'] end) end kinds
+  from {p}kept k join {p}link l on l.session_id = k.session_id and l.line = k.line left join {p}merge m on m.session_id = k.session_id and m.tip = k.line)"""
+
+
+_SHOWN = "session_id, line, coalesce(parent, '-') parent, array_to_string(kinds, ',') kinds"
+
+
+def _retyped(lines):
+    """Links and block types of rewritten lines, read back from their text."""
+    rows = L.entries(L.linked_lines(cut(L.parse_lines(lines.select("session_id", "line", "raw")))))
+    kinds = F.array_join(F.transform("blocks", lambda b: b["type"]), ",")
+    return rows.select("session_id", "line", F.coalesce("parent_uuid", F.lit("-")).alias("parent"), kinds.alias("kinds"))
+
+
+def _removal_twin(selected: str, untouched: str) -> str:
+    """Removal with the default repair in the touched sessions; the others as they are."""
     return (_CLOSE + _ASST_A + f""" picked as ({selected}), hit as (select distinct session_id from picked),
 wanted as (select session_id, line from picked union select t2.session_id, t2.line from turns t1 join picked p on p.session_id = t1.session_id and p.line = t1.line
   join turns t2 on t2.session_id = t1.session_id and t2.turn = t1.turn),
 seeds as (select * from wanted union select o.* from orphans o join hit using (session_id)),
-""" + _REACH + " select session_id, line, uuid, parent from relinked")
+""" + _REACH + f""",
+left_ as (select a.* exclude (parent), nullif(r.parent, '-') parent from a join relinked r using (session_id, line) semi join hit on hit.session_id = a.session_id),
+lrefs as (select r.* from refs r semi join left_ k on k.session_id = r.session_id and k.line = r.line)"""
+        + _fix_twin("f", "left_", "lrefs", api=False, uses=False) + f""" select {_SHOWN} from fout
+union all select session_id, line, coalesce(parent, '-'), array_to_string({untouched}, ',') from a where session_id not in (select session_id from hit)""")
 
 
-@register("x4_remove", sql("recursive al a refs", _removal_twin("select session_id, line from a where (c + t) % 7 = 3")))
+@register("x4_remove", sql("recursive al a refs", _removal_twin("select session_id, line from a where (c + t) % 7 = 3", _AS_WRITTEN)))
 def remove(spark, sf_dir):
     linked = D.linked(spark, sf_dir)
     chosen = L.entries(linked).where((F.col("session_id").cast("bigint") + F.col("line") - 1) % 7 == 3).select("session_id", "line")
-    return _ids(RL.remove(linked, chosen, repair=False).lines)
+    return _retyped(RL.remove(linked, chosen).lines)
 
 
 @register("x7_trim", sql("recursive al a refs", _removal_twin(
-    "select session_id, line from (select session_id, line, row_number() over (partition by session_id order by line) rn, count(*) over (partition by session_id) n from a where msg) where rn <= floor(n * 0.3)")))
+    "select session_id, line from (select session_id, line, row_number() over (partition by session_id order by line) rn, count(*) over (partition by session_id) n from a where msg) where rn <= floor(n * 0.3)", _AS_WRITTEN)))
 def trim(spark, sf_dir):
-    return _ids(RL.trim(D.linked(spark, sf_dir), Amount("percent", 30), repair=False).lines)
+    return _retyped(RL.trim(D.linked(spark, sf_dir), Amount("percent", 30)).lines)
 
 
 @register("x7_trim_keep_last", sql("recursive al a refs", _removal_twin(
-    "select session_id, line from (select session_id, line, row_number() over (partition by session_id order by line) rn, count(*) over (partition by session_id) n from a where msg) where rn <= greatest(n - 3, 0)")))
+    "select session_id, line from (select session_id, line, row_number() over (partition by session_id order by line) rn, count(*) over (partition by session_id) n from a where msg) where rn <= greatest(n - 3, 0)", _AS_WRITTEN)))
 def trim_keep_last(spark, sf_dir):
-    return _ids(RL.trim(D.linked(spark, sf_dir), Amount("count", 3), keep_last=True, repair=False).lines)
+    return _retyped(RL.trim(D.linked(spark, sf_dir), Amount("count", 3), keep_last=True).lines)
 
 
 @register("f4_keyword_hits", "select source, count(*) n from documents where lower(text) like '%stin%' or lower(text) like '%thand%' group by source")
@@ -907,9 +958,9 @@ def clean_matches(spark, sf_dir):
     return RL.keyword_hits(D.linked(spark, sf_dir), ["thand"]).groupBy("session_id").agg(F.count(F.lit(1)).alias("matched"))
 
 
-@register("x8_clean")
+@register("x8_clean", sql("recursive al a refs", _removal_twin("select session_id, line from a where lower(text) like '%thand%'", _AS_WRITTEN)))
 def clean(spark, sf_dir):
-    return RL.clean(D.linked(spark, sf_dir), ["thand"])[0].lines.select("session_id", "line", "sub", F.md5("raw").alias("raw_md5"))
+    return _retyped(RL.clean(D.linked(spark, sf_dir), ["thand"])[0].lines)
 
 
 @register("x18_export", sql("al a", "select session_id, line, role, md5(text) text_md5 from a where role in ('user', 'assistant') and trim(text) <> ''"))
@@ -924,9 +975,9 @@ def export_flat(spark, sf_dir):
     return rows.select("session_id", "line", "item_kind", F.when(F.col("item_kind") == "tool", "-").otherwise(F.col("text")).alias("text"))
 
 
-@register("x1_fix")
+@register("x1_fix", sql("recursive al a refs", _fix_twin("f", "a", "refs") + f" select {_SHOWN} from fout"))
 def fix(spark, sf_dir):
-    return RL.fix(D.linked(spark, sf_dir)).lines.select("session_id", "line", "sub", F.md5("raw").alias("raw_md5"))
+    return _retyped(RL.fix(D.linked(spark, sf_dir)).lines)
 
 
 @register("x1_fix_changes")
@@ -1136,7 +1187,15 @@ def pending_selection_flat(spark, sf_dir):
     return rows.withColumn("anchor", F.coalesce("anchor", F.lit(-1).cast("bigint")))
 
 
-@register("x16_guarded_fix")
+# The checks once more, over what the repair has left: thinking comes first in every row, so its place is even.
+_CHECKED_AGAIN = (", before as (select session_id, count(*) n from issues where severity = 'error' group by session_id), " + "after as (with recursive al as (select * exclude (c, think), 0 c, think or merged think, false bad from fout),"
+    " a as (select * from al), refs as (select r.* from frefs r semi join fout k on k.session_id = r.session_id and k.line = r.line), "
+    + _ISSUES_A + " select session_id, count(*) n from issues where severity = 'error' group by session_id)")
+
+
+@register("x16_guarded_fix", sql("recursive al a refs", ", " + _ISSUES_A + _fix_twin("f", "(select * exclude (bad) from a)", "refs") + _CHECKED_AGAIN + """
+select s.session_id, coalesce(b.n, 0) errors_before, coalesce(f.n, 0) errors_after, coalesce(f.n, 0) <= coalesce(b.n, 0) wrote
+from (select distinct session_id from al) s left join before b on b.session_id = s.session_id left join after f on f.session_id = s.session_id"""))
 def guarded_fix(spark, sf_dir):
     return GP.lint_fix(GP.LINKED, D.linked(spark, sf_dir))[1].select("session_id", "errors_before", "errors_after", "wrote")
 
@@ -1146,9 +1205,9 @@ def guarded_migrate(spark, sf_dir):
     return GP.lint_fix(GP.FLAT, D.flat(spark, sf_dir, "legacy"))[1].select("session_id", "errors_before", "errors_after", "wrote")
 
 
-@register("x15_pre_reload_fix")
+@register("x15_pre_reload_fix", sql("recursive al a refs", _fix_twin("f", "a", "refs", uses=False) + f" select {_SHOWN} from fout"))
 def pre_reload_fix(spark, sf_dir):
-    return RL.fix(D.linked(spark, sf_dir), RL.PRE_RELOAD).lines.select("session_id", "line", "sub", F.md5("raw").alias("raw_md5"))
+    return _retyped(RL.fix(D.linked(spark, sf_dir), RL.PRE_RELOAD).lines)
 
 
 @register("k2_change_report", sql("b", """, n as (select session_id, line, row_number() over (partition by session_id order by line) rn, count(*) over (partition by session_id) c,
