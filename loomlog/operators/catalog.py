@@ -180,6 +180,50 @@ def lookup(parsed: DataFrame, files: DataFrame, needle: str, tail_lines: int | N
         F.coalesce("last_activity_ts", F.timestamp_seconds(F.lit(0))).desc(), F.col("score").desc(), F.col("mtime").desc(), "path").limit(n)
 
 
+def lookup_ids(
+    wanted: DataFrame, linked: DataFrame, linked_files: DataFrame, flat: DataFrame, flat_files: DataFrame,
+    head_lines: int | None = None, tail_lines: int | None = None,
+) -> DataFrame:
+    """T3 by id: (session_id, agent, path, score, confidence) for each wanted id; the linked format comes first.
+
+    ``linked`` and ``flat`` are parsed lines, the files (session_id, path, mtime, size). A linked file needs messages or
+    no content at all, a flat one a session_meta row. Heads and tails are whole files unless bounded. An id that is
+    found in neither has the agent ``unknown``.
+    """
+    ids = wanted.select("session_id").distinct()
+    keep = lambda rows: rows.join(ids, "session_id", "left_semi")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    talks, bad = has_messages(keep(linked), head_lines, tail_lines), invalid_counts(keep(linked))
+    near = keep(linked_files).join(talks, "session_id", "left").join(bad, "session_id", "left").where((F.col("size") == 0) | yes(F.col("talks")))
+    first = newest_first(near, ["session_id"], [F.col("mtime").desc(), F.col("path").asc()]).select(
+        "session_id", F.struct(F.lit("claude").alias("agent"), "path", (130 - F.when(yes(F.col("invalid_lines") > 0), 50).otherwise(0)).alias("score")).alias("a"))
+    broken = head(keep(flat), head_lines).groupBy("session_id").agg(F.count_if(F.col("json_kind") == "invalid").alias("bad_head"))
+    far = keep(flat_files).join(rollout_metas(keep(flat), head_lines).select("session_id"), "session_id", "left_semi").join(broken, "session_id", "left")
+    second = newest_first(far, ["session_id"], [F.col("mtime").desc(), F.col("path").asc()]).select(
+        "session_id", F.struct(F.lit("codex").alias("agent"), "path", (100 - F.when(yes(F.col("bad_head") > 0), 50).otherwise(0)).alias("score")).alias("b"))
+    met = ids.join(first, "session_id", "left").join(second, "session_id", "left").withColumn("x", F.coalesce("a", "b"))
+    return met.select(
+        "session_id", F.coalesce("x.agent", F.lit("unknown")).alias("agent"), "x.path", F.col("x.score").cast("bigint").alias("score"),
+        F.when(F.col("x").isNotNull(), confidence(F.col("x.score"), F.lit("session-id"))).otherwise("low").alias("confidence"))
+
+
+def lookup_flat(parsed: DataFrame, files: DataFrame, needle: str, tail_lines: int | None = None, n: int = 5) -> DataFrame:
+    """T3 by text for the flat format: newest files that contain it; each scores 10."""
+    hits = files.join(match_text(parsed, needle, tail_lines), "session_id")
+    return hits.select("session_id", "path", "mtime", F.lit(10).cast("bigint").alias("score")).orderBy(F.col("mtime").desc(), "path").limit(n)
+
+
+def lookup_any(
+    linked: DataFrame, linked_files: DataFrame, flat: DataFrame, flat_files: DataFrame, needle: str, tail_lines: int | None = None, n: int = 5,
+) -> DataFrame:
+    """T3 by text without an agent: the linked format's hits, or the flat format's if there are none."""
+    first = lookup(linked, linked_files, needle, tail_lines, n).select("session_id", "path", F.col("score").cast("bigint").alias("score"), F.lit("claude").alias("agent"))
+    second = lookup_flat(flat, flat_files, needle, tail_lines, n).select("session_id", "path", "score", F.lit("codex").alias("agent"))
+    # At most n rows each.
+    both = first.unionByName(second)
+    return both.join(both.agg(F.min("agent").alias("agent")), "agent").select("session_id", "agent", "path", "score")
+
+
 def newest_per_project(files: DataFrame, projects: DataFrame) -> DataFrame:
     """T5: newest transcript per project; the current directory name beats the older one."""
     real = files.where(~P.base_name(F.col("path")).startswith("agent-"))

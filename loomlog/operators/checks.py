@@ -282,16 +282,19 @@ def call_issues(flat: DataFrame) -> DataFrame:
     new, old = pairs.where("format = 'wrapped'"), pairs.where("format = 'legacy'")
     ref, first = F.col("call_id"), F.col("first_output_line")
     nameless = call_rows(flat).where("format = 'wrapped' and call_id is null and item_type <> 'local_shell_call'")
-    repeat = F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("calls")))
+    # One row for each call of an id after its first one.
+    key = ["session_id", "format", "call_id"]
+    calls = call_rows(flat).where("call_id is not null and side = 'call'").select(*key, "line")
+    first_call = calls.groupBy(*key).agg(F.min("line").alias("_first"), F.count(F.lit(1)).alias("_calls")).where("_calls > 1")
+    again = calls.join(first_call, key).where("line > _first")
     return union_all([
         issue_rows(nameless, F.concat(F.lit("codex."), F.col("item_type"), F.lit("_missing_call_id")), "line", F.col("line")),
-        # One issue per repetition after the first call of an id.
-        issue_rows(new.where("calls > 1").withColumn("_k", repeat), "codex.duplicate_call_id", "pair", None, ref),
+        issue_rows(again.where("format = 'wrapped'"), "codex.duplicate_call_id", "pair", F.col("line"), ref),
         issue_rows(new.where("outputs > 1"), "codex.duplicate_outputs_for_call_id", "pair", first, ref, F.col("outputs")),
         issue_rows(new.where("outputs > 0 and not paired"), "codex.orphan_output", "pair", first, ref, F.col("outputs")),
         issue_rows(new.where("paired and first_output_line < call_line"), "codex.output_before_call", "pair", first, ref),
         issue_rows(new.where("calls > 0 and not paired"), "codex.missing_output", "pair", F.col("call_line"), ref),
-        issue_rows(old.where("calls > 1").withColumn("_k", repeat), "codex.legacy_duplicate_call_id", "pair", None, ref),
+        issue_rows(again.where("format = 'legacy'"), "codex.legacy_duplicate_call_id", "pair", F.col("line"), ref),
         issue_rows(old.where("outputs > 1"), "codex.legacy_duplicate_outputs_for_call_id", "pair", first, ref, F.col("outputs")),
         issue_rows(old.where("outputs > 0 and calls = 0"), "codex.legacy_orphan_output", "pair", first, ref),
         issue_rows(old.where("calls > 0 and outputs = 0"), "codex.legacy_missing_output", "pair", F.col("call_line"), ref),

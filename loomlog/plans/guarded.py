@@ -13,6 +13,7 @@ from loomlog.operators import checks as C
 from loomlog.operators import rewrite_flat as RF
 from loomlog.operators import rewrite_linked as RL
 from loomlog.operators import stats as S
+from loomlog.operators.monitor import flat_estimate
 from loomlog.operators.rewrite import Rewrite, renumber
 from loomlog.session import cut
 from loomlog.sources.lines import detect_format, flat_lines, linked_lines, parse_lines, tool_refs
@@ -107,8 +108,9 @@ def report_linked(
 
 
 def report_flat(flat: DataFrame, detected: DataFrame, issues: DataFrame) -> DataFrame:
-    """A15 for the flat format."""
+    """A15 for the flat format, with the estimate of its tokens and the last reading."""
+    reading = S.last_token_reading(flat, need_tokens=True).select("session_id", F.col("tokens").alias("last_tokens"))
     out = detected.select("session_id", "agent", "confidence").join(S.flat_summary(flat), "session_id")
-    for part in (S.call_stats(flat), S.compacted_stats(flat).withColumnRenamed("total", "compacted"), C.by_severity(issues)):
+    for part in (S.call_stats(flat), S.compacted_stats(flat).withColumnRenamed("total", "compacted"), flat_estimate(flat), reading, C.by_severity(issues)):
         out = out.join(part, "session_id", "left")
     return out.na.fill(0)

@@ -605,14 +605,6 @@ def issue_cube(spark, sf_dir):
     return C.issue_cube(rows).select(F.coalesce("agent", F.lit("*")).alias("agent"), F.coalesce("severity", F.lit("*")).alias("severity"), "n")
 
 
-@register("v11_next_steps", sql("b calls pairs lg", ", " + _ISSUES_B + """
-select session_id, 'fix' step from issues where severity = 'error' group by all
-union all select session_id, 'strip_noise' from issues where code = 'codex.unknown_json_line' group by all"""))
-def next_steps(spark, sf_dir):
-    sessions = D.flat(spark, sf_dir).select("session_id", F.lit("codex").alias("agent"), "format").distinct()
-    return C.next_steps(_flat_issues(spark, sf_dir), sessions)
-
-
 # DuckDB types the legacy rows only outside a recursive list.
 _OLD = f"old as (with {BASES['lg']} select * from lg)"
 _ERRORS_A = _ISSUES_A.replace("issues as", "ia as")
@@ -681,11 +673,9 @@ def issue_report_all(spark, sf_dir):
     return C.format_issues(C.union_all([cut(part, "issues") for part in parts])).select("session_id", "report_line")
 
 
-@register("k3_issue_report", sql("b calls pairs", ", " + """x as (select session_id, concat('[error] codex.invalid_json_line:', line) report_line from b where kind = 'invalid_json'
- union all select session_id, concat('[warning] codex.missing_output (call_id=', cid, ')') from paired where calls > 0 and not fits) select * from x"""))
-def issue_report(spark, sf_dir):
-    rows = _flat_issues(spark, sf_dir).where("code in ('codex.invalid_json_line', 'codex.missing_output')")
-    return C.format_issues(rows).select("session_id", "report_line")
+# The main names stand for the same whole reports.
+QUERIES["k3_issue_report"], ORACLES["k3_issue_report"] = issue_report_all, ORACLES["k3_issue_report_all"]
+QUERIES["v11_next_steps"], ORACLES["v11_next_steps"] = next_steps_all, ORACLES["v11_next_steps_all"]
 
 
 # --- graph --------------------------------------------------------------------
@@ -968,11 +958,10 @@ def export(spark, sf_dir):
     return RL.export(D.linked(spark, sf_dir)).select("session_id", "line", "role", F.md5("text").alias("text_md5"))
 
 
-@register("x18_export_flat", sql("b", """select session_id, line, case when itype is null then 'compacted' when itype = 'message' then 'message' else 'tool' end item_kind,
- case when itype is null then concat('sum ', e) when itype = 'message' then note else '-' end text from b where itype is not null or typ = 'compacted'"""))
+@register("x18_export_flat", sql("b", f"""select session_id, line, case when itype is null then 'compacted' when itype = 'message' then 'message' else 'tool' end item_kind,
+ case when itype is null then concat('sum ', e) when itype = 'message' then note else {_ITEM} end text from b where itype is not null or typ = 'compacted'"""))
 def export_flat(spark, sf_dir):
-    rows = RF.export(D.flat(spark, sf_dir), full=True)
-    return rows.select("session_id", "line", "item_kind", F.when(F.col("item_kind") == "tool", "-").otherwise(F.col("text")).alias("text"))
+    return RF.export(D.flat(spark, sf_dir), full=True).select("session_id", "line", "item_kind", "text")
 
 
 @register("x1_fix", sql("recursive al a refs", _fix_twin("f", "a", "refs") + f" select {_SHOWN} from fout"))
@@ -1139,11 +1128,21 @@ def compact(spark, sf_dir):
     return CP.compact_linked(linked, summaries, chosen, STAMP, chain=chain).lines.select("session_id", "line", "sub")
 
 
-@register("x17_pending_selection")
+@register("x17_pending_selection", sql("recursive al a refs chain", _VISIBLE + _CLOSE + _ASST_A + """
+picked as (select session_id, line, floor(n * 0.5)::bigint n from vn where rn <= floor(n * 0.5)), hit as (select distinct session_id from picked),
+wanted as (select session_id, line from picked union select t2.session_id, t2.line from turns t1 join picked p on p.session_id = t1.session_id and p.line = t1.line join turns t2 on t2.session_id = t1.session_id and t2.turn = t1.turn),
+seeds as (select * from wanted union select o.* from orphans o join hit using (session_id)),
+reach as (select distinct session_id, line from seeds union select l2.session_id, l2.line from reach join links l1 using (session_id, line) join links l2 on l2.session_id = l1.session_id and l2.id = l1.id),
+mk as (select v.session_id, v.pos, v.uuid, g.line is not null gone from vis v join hit using (session_id) left join reach g on g.session_id = v.session_id and g.line = v.line
+  anti join roots r on r.session_id = v.session_id and r.rline = v.line),
+sel as (select session_id, arg_min(uuid, pos) filter (gone) first_removed, arg_max(uuid, pos) filter (gone) last_removed, arg_min(uuid, pos) filter (not gone) anchor from mk group by session_id)
+select h.session_id, (select max(n) from picked p where p.session_id = h.session_id) remove_count, first_removed, last_removed, anchor,
+ case when h.session_id::bigint % 3 = 0 then 'stale' else 'ready' end status from hit h left join sel on sel.session_id = h.session_id"""))
 def pending_selection(spark, sf_dir):
+    """The selection of today, and its state against a stored one whose anchor has moved in every third session."""
     linked, chain, chosen = _compaction(spark, sf_dir, tokens=False)
-    current = CP.pending_selection(linked, chosen, chain)
-    stored = current.withColumn("anchor", F.when(F.crc32("session_id") % 3 == 0, "moved").otherwise(F.col("anchor")))
+    current = cut(CP.pending_selection(linked, chosen, chain))
+    stored = current.withColumn("anchor", F.when(F.col("session_id").cast("bigint") % 3 == 0, "moved").otherwise(F.col("anchor")))
     return current.join(CP.selection_matches(stored, current), "session_id")
 
 
@@ -1232,20 +1231,40 @@ def session_text(spark, sf_dir):
 
 # --- report -------------------------------------------------------------------
 
-@register("a15_report")
+@register("a15_report", sql("recursive al a refs chain sizes", ", " + _ISSUES_A + """, sev as (select session_id, count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings,
+ count(*) filter (severity = 'info') infos from issues group by session_id),
+det as (select session_id, bool_and(bad) lost, bool_or(bad) any_bad, count(*) filter (bad) invalid_json from al group by session_id),
+ids as (select session_id, count(distinct sid) session_ids, count(distinct case when side then c % 3 end) agent_ids, bool_or(side) is_sidechain from a group by session_id),
+lb as (select session_id, coalesce(max(line) filter (bnd), 0) l from a group by session_id), tr as (select session_id, count(*) filter (side = 'use') u, count(*) filter (side = 'result') rs from refs group by session_id),
+st as (select a.session_id, count(*) entries, count(*) filter (msg) messages, count(*) filter (bnd) boundaries, count(*) filter (line > l) visible_entries, count(*) filter (line > l and msg) visible_messages,
+ coalesce(any_value(u), 0) tool_use_blocks, coalesce(any_value(rs), 0) tool_result_blocks from a join lb using (session_id) left join tr using (session_id) group by a.session_id),
+tk as (select session_id, sum(tokens)::bigint approx_tokens, count(*) chain_messages from sizes group by session_id)
+select d.session_id, case when lost then 'unknown' else 'claude' end agent, case when not lost then 'jsonl' end "format", case when lost then 'low' when any_bad then 'medium' else 'high' end confidence,
+ coalesce(entries, 0) entries, coalesce(messages, 0) messages, coalesce(boundaries, 0) boundaries, coalesce(visible_entries, 0) visible_entries, coalesce(visible_messages, 0) visible_messages,
+ coalesce(tool_use_blocks, 0) tool_use_blocks, coalesce(tool_result_blocks, 0) tool_result_blocks, coalesce(session_ids, 0) session_ids, coalesce(agent_ids, 0) agent_ids, is_sidechain,
+ invalid_json, coalesce(approx_tokens, 0) approx_tokens, coalesce(chain_messages, 0) chain_messages, coalesce(errors, 0) errors, coalesce(warnings, 0) warnings, coalesce(infos, 0) infos
+from det d left join st using (session_id) left join ids using (session_id) left join tk using (session_id) left join sev using (session_id)"""))
 def report(spark, sf_dir):
     linked = D.linked(spark, sf_dir)
     detected = L.detect_format(D.parsed_table(spark, sf_dir, "chats"))
     return GP.report_linked(linked, detected, _linked_issues(spark, sf_dir), D.chain(spark, sf_dir))
 
 
-@register("a15_report_flat", sql("b calls pairs", ", " + _ISSUES_B + """, sev as (select session_id, count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings from issues group by session_id)
-select session_id, count(*) filter (typ = 'session_meta') session_meta, count(*) filter (typ = 'compacted') compacted, coalesce(any_value(errors), 0) errors, coalesce(any_value(warnings), 0) warnings
-from b left join sev using (session_id) group by session_id"""))
+@register("a15_report_flat", sql("b calls pairs", ", " + _ISSUES_B + f""", sev as (select session_id, count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings,
+ count(*) filter (severity = 'info') infos from issues group by session_id),
+pr as (select session_id, case when itype = 'message' then concat('[', mrole, ']: ', trim(note)) when itype like '%output' then concat('[assistant]: [result: ', itype, case when cid is null then '' else concat(' ', cid) end, ']', chr(10), {_ITEM})
+ else concat('[assistant]: [tool: tool', e % 5, ']', chr(10), {_ITEM}) end prompt from b where itype is not null),
+es as (select session_id, sum((strlen(prompt) + 1 + 3) // 4)::bigint estimate from pr group by session_id),
+rd as (select session_id, arg_max(case when e % 3 <> 0 then floor(value * 1000) else floor(value * 2000) end, line)::bigint last_tokens from b where typ = 'event_msg' group by session_id)
+select session_id, arg_min(concat('conv-', u), line) filter (typ = 'session_meta' and e % 2 = 0) conversation_id, count(*) filter (typ = 'session_meta') session_meta, count(*) filter (typ = 'compacted') compacted,
+ count(*) filter (kind = 'invalid_json') invalid_json, count(*) filter (kind = 'unknown_json') unknown_json, coalesce(any_value(estimate), 0) estimate, coalesce(any_value(last_tokens), 0) last_tokens,
+ coalesce(any_value(errors), 0) errors, coalesce(any_value(warnings), 0) warnings, coalesce(any_value(infos), 0) infos
+from b left join sev using (session_id) left join es using (session_id) left join rd using (session_id) group by session_id"""))
 def report_flat(spark, sf_dir):
     flat = D.flat(spark, sf_dir)
     detected = L.detect_format(D.parsed_table(spark, sf_dir, "rollouts"))
-    return GP.report_flat(flat, detected, _flat_issues(spark, sf_dir)).select("session_id", "session_meta", "compacted", "errors", "warnings")
+    rows = GP.report_flat(flat, detected, _flat_issues(spark, sf_dir))
+    return rows.select("session_id", "conversation_id", "session_meta", "compacted", "invalid_json", "unknown_json", "estimate", "last_tokens", "errors", "warnings", "infos")
 
 
 @register("a14_error_delta", sql("al a refs b calls pairs", ", " + _ISSUES_B + """, o as (select session_id, count(*) filter (code <> 'codex.missing_session_meta') errors_before,
@@ -1334,6 +1353,29 @@ def lookup(spark, sf_dir):
     return rows.select("session_id", F.col("score").cast("bigint").alias("score"))
 
 
+@register("t3_lookup_ids", sql("al a b", ", " + _FILES + """, w as (select distinct event_id::varchar session_id from events where event_id < 200),
+k as (select session_id, bool_or(bad) bad, bool_or(not bad and typ in ('user', 'assistant')) talks from al group by session_id),
+f as (select session_id, bool_or(kind = 'invalid_json') bad, bool_or(typ = 'session_meta') meta from b group by session_id),
+x as (select session_id, 'claude' agent, path, 130 - case when bad then 50 else 0 end score from fl join k using (session_id) where talks),
+y as (select session_id, 'codex' agent, path, 100 - case when bad then 50 else 0 end score from ff join f using (session_id) where meta qualify row_number() over (partition by session_id order by mt desc, path) = 1)
+select w.session_id, coalesce(x.agent, y.agent, 'unknown') agent, coalesce(x.path, y.path, '-') path, coalesce(x.score, y.score, 0)::bigint score,
+ case when x.agent is null and y.agent is null then 'low' else 'high' end confidence from w left join x on x.session_id = w.session_id left join y on y.session_id = w.session_id"""))
+def lookup_ids(spark, sf_dir):
+    """Ids of conversations, of users, of both and of neither."""
+    wanted = D.table(spark, sf_dir, "events").where("event_id < 200").selectExpr("cast(event_id as string) as session_id")
+    rows = CT.lookup_ids(wanted, D.parsed_table(spark, sf_dir, "chats"), D.chat_files(spark, sf_dir), D.parsed_table(spark, sf_dir, "rollouts"), D.rollout_files(spark, sf_dir))
+    return rows.select("session_id", "agent", F.coalesce("path", F.lit("-")).alias("path"), F.coalesce("score", F.lit(0).cast("bigint")).alias("score"), "confidence")
+
+
+@register("t3_lookup_flat", sql("b", ", " + _FILES + """, m as (select distinct session_id from b where (itype = 'message' or (typ = 'compacted' and e % 3 = 0)) and note like '%value 42 %')
+select session_id, path, 10::bigint score from ff join m using (session_id) order by mt desc, path limit 5"""))
+def lookup_flat(spark, sf_dir):
+    """Without an agent: no linked session holds the text, so the flat ones are searched."""
+    rows = CT.lookup_any(
+        D.parsed_table(spark, sf_dir, "chats"), D.chat_files(spark, sf_dir), D.parsed_table(spark, sf_dir, "rollouts"), D.rollout_files(spark, sf_dir), "VALUE 42 ")
+    return rows.select("session_id", "path", "score")
+
+
 _CATALOG = ", " + """tr as (select user_id u, cast(user_id as varchar) session_id, greatest(1704067200 + user_id % 50 * 3600, case when user_id % 2 = 0 then 1704067200 + (user_id * 7) % 600 * 3600 else 0 end, case when user_id % 3 = 0 then 1704067200 + (user_id * 11) % 700 * 3600 else 0 end) ta
  from (select distinct user_id from events where user_id % 4 <> 0)),
 cat as (select 'claude' agent, session_id, path, mt, concat('/work/p', c % 10) cwd, 'claude-project' source from fl
@@ -1577,6 +1619,18 @@ def append_log(spark, sf_dir):
     return back.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.get_json_object("value", "$.ts") == STAMP).alias("stamped"))
 
 
+@register("ud1_token_counter", sql("recursive al a chain", """select a.session_id, sum(case when text = '' then 0 else len(regexp_extract_all(text, concat('[^ ', chr(10), ']+'))) end
+ + case when think then 2 else 0 end + case when has_res then 2 else 0 end + case when has_late then 1 else 0 end + case when has_use then 3 else 0 end)::bigint words
+from a join chain using (session_id, line) where msg group by a.session_id"""))
+def token_counter(spark, sf_dir):
+    """Tokens by a counter of the caller: words between blanks, over all segments of a message."""
+    def words(segments):
+        return F.aggregate(segments, F.lit(0).cast("bigint"), lambda n, t: n + F.regexp_count(t, F.lit("[^ \n]+")))
+
+    tokens = S.message_tokens(D.linked(spark, sf_dir), D.chain(spark, sf_dir), words)
+    return S.session_tokens(tokens).select("session_id", F.col("approx_tokens").cast("bigint").alias("words"))
+
+
 # --- projections of their own -------------------------------------------------
 
 @register("p1_entry_columns", sql("al a", """select session_id, line, typ "type", uuid, coalesce(parent, '-') parent_uuid, role from a"""))
