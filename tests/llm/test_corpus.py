@@ -1,5 +1,6 @@
 """Operators of the llm package against SQL twins, libraries and plain versions."""
 
+import binascii
 import hashlib
 import itertools
 import math
@@ -450,6 +451,79 @@ def test_stream_takes_members_and_refuses_torn_files():
         list(warc.RecordStream(io.BytesIO(packed(b"".join(records)[:-10]))))
 
 
+# --- plain versions row by row --------------------------------------------------------------------------------------
+
+
+def test_mix_takes_the_documents_of_a_plain_walk(spark, sf, edge_dir):
+    """Which document is taken how often, against sorting each source by hash in one place."""
+    from pyspark.sql import functions as F
+
+    for folder in (sf, edge_dir):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        h = F.xxhash64(F.lit(0), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
+        by = defaultdict(list)
+        for r in docs.select("doc_id", "source", "text", h.alias("h")).collect():
+            by[r.source].append((r.h, len((r.text or "").encode().split()), r.doc_id))
+        sizes = {s: sum(n for _, n, _ in by[s]) for s in mixing.in_order(by)}
+        goal = mixing.targets(sizes, mixing.cycle_weights(sizes), 3)
+        want = Counter()
+        for s, rows in by.items():
+            whole, rest = divmod(round(goal[s]), sizes[s]) if sizes[s] else (0, 0)
+            rows.sort(key=lambda r: r[0])
+            so_far, taken = 0, 0
+            for _, n, _ in rows:
+                if so_far + n > rest:
+                    break
+                so_far, taken = so_far + n, taken + 1
+            gap = rest - so_far
+            near = [(abs(n - gap), x, i) for i, (x, n, _) in enumerate(rows) if i >= taken and abs(n - gap) < gap]
+            more = min(near)[2] if near else -1
+            for i, (_, n, doc_id) in enumerate(rows):
+                want[doc_id, n * (whole + (i < taken) + (i == more)) if n else 0] += 1
+        assert Counter((r["doc_id"], r["taken"]) for r in rows_of(spark, "op2_mix_flow", folder)) == want
+
+
+def test_classifier_equals_plain_ridge_and_pooling(spark, sf):
+    """All scores of a whole table against normal equations, pooling and interpolation in one place."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("apart")).collect()
+    marks = {r.doc_id: float(r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    x = np.array([quality.statistics(r.text) for r in docs])
+    known = np.array([r.doc_id in marks and binascii.crc32(str(r.doc_id).encode()) % 3 != 1 for r in docs])
+    apart = known & np.array([r.apart for r in docs])
+    y = np.array([marks.get(r.doc_id, 0.0) for r in docs])
+    z = quality.Cosines(x[known].mean(axis=0), x[known].std(axis=0))(x)
+    fit = known & ~apart
+    stacked = np.vstack([z[fit], np.sqrt(quality.RIDGE * fit.sum()) * np.eye(z.shape[1])])
+    weights = np.linalg.lstsq(stacked, np.concatenate([y[fit], np.zeros(z.shape[1])]), rcond=None)[0]
+    raw = np.clip(z @ weights, -1, 2)
+    bins = np.round(raw[apart] * quality.BINS).astype(int)
+    places = np.unique(bins)
+    n, k = np.array([(bins == b).sum() for b in places]), np.array([y[apart][bins == b].sum() for b in places])
+    # The isotonic value at i is the largest of the least means over intervals around i.
+    means = np.full((len(places), len(places)), np.inf)
+    for a in range(len(places)):
+        means[a, a:] = np.cumsum(k[a:]) / np.cumsum(n[a:])
+    level = np.array([max(means[a, i:].min() for a in range(i + 1)) for i in range(len(places))])
+    groups = [np.flatnonzero(np.isclose(level, v)) for v in np.unique(np.round(level, 12))]
+    at = np.array([np.average(places[g] / quality.BINS, weights=n[g]) for g in groups])
+    values = np.array([level[g[0]] for g in groups])
+    want = dict(zip([r.doc_id for r in docs], np.clip(np.interp(raw, at, values), 0, 1)))
+    got = {r["doc_id"]: r["score"] for r in rows_of(spark, "op4_quality_classifier", sf)}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-4
+
+
+def test_repeated_query_rows_are_answered_once(twin, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 1.0]), (2, [0.25, 1.0]), (50, [0.1, 0.1])]
+    pq.write_table(pa.table({"vec_id": pa.array([a for a, _ in rows], pa.int64()), "embedding": pa.array([b for _, b in rows], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    got, want = twin("op3_kd_search", str(tmp_path))
+    assert got == want and len(got) == 9
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 
@@ -471,7 +545,8 @@ def test_pipeline_stages(spark, sf, edge_dir):
                 coded = current.collect()
         source, good, lines, unique, mixed = frames
         failed = [slow_counts(r.text) for r in source]
-        assert len(good) <= sum(not (c[0] < 10 or 100 * c[4] > 20 * c[0]) for c in failed)
+        sound = sum(not (c[0] < 10 or 100 * c[4] > 20 * c[0]) for c in failed)
+        assert 0.85 * sound <= len(good) <= sound  # the bands take some junk, and leave clean documents alone
         # Lines: what every tenth kept document holds is gone.
         def key(line):
             return line.strip(" \t\n\x0b\x0c\r").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -484,6 +559,15 @@ def test_pipeline_stages(spark, sf, edge_dir):
         assert {r.doc_id for r in unique if r.doc_id is not None} == left
         counts = Counter(r.doc_id for r in mixed)
         assert set(counts) <= {r.doc_id for r in unique} and max(counts.values(), default=0) <= 3
+        sizes = defaultdict(list)
+        for r in unique:
+            sizes[r.source].append(len((r.text or "").encode().split()))
+        totals = {s: sum(sizes[s]) for s in mixing.in_order(sizes)}
+        goal = mixing.targets(totals, mixing.cycle_weights(totals), 3)
+        taken = Counter()
+        for r in mixed:
+            taken[r.source] += len(r.text.encode().split())
+        assert all(abs(taken[s] - goal[s]) <= max(sizes[s]) for s in sizes)
         assert Counter(r.doc_id for r in coded) == counts
         texts = {r.doc_id: r.text for r in mixed}
         assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].replace("▁", " ").encode()).hexdigest() for r in coded)
