@@ -84,8 +84,18 @@ def longest_run(anchors: DataFrame, block: int = RUN_BLOCK) -> DataFrame:
     """Of ``anchors`` (session_id, stretch, a_line, b_line) a longest run that rises on both sides, in each stretch.
 
     Among equally long ones it is that of patience sorting: the last anchor of the last pile, then always the latest
-    anchor on the pile before.
+    anchor on the pile before. Stretches whose anchors all rise are done at once.
     """
+    lagged = cut(running(anchors, {"_prev": Running("last", F.col("b_line"), before=True)}, KEYS, ("a_line",)))
+    moved = cut(lagged.where("b_line < _prev").select(*KEYS).distinct())
+    columns = [*KEYS, "a_line", "b_line"]
+    if moved.isEmpty():
+        return lagged.select(columns)
+    rising = lagged.join(moved, [*KEYS], "left_anti").select(columns)
+    return rising.unionByName(_piled(lagged.join(moved, [*KEYS], "left_semi").select(columns), block))
+
+
+def _piled(anchors: DataFrame, block: int) -> DataFrame:
     one = F.lit(1).cast("bigint")
     ranked = running(anchors, {"x": Running("sum", one)}, KEYS, ("a_line",))
     ranked = cut(running(ranked, {"y": Running("sum", one)}, KEYS, ("b_line",)))

@@ -335,14 +335,15 @@ def resume_violations(linked: DataFrame, limit: int | None = None) -> DataFrame:
     )
     wall = F.when(F.col("is_user") & ~F.col("has_result"), 1).otherwise(0)
     by_depth = {"order": ("depth",)}
-    walled = running(rows, {"_walls": Running("sum", wall)}, **by_depth)
+    # Each running value reads its rows twice, so they are stored in between.
+    walled = cut(running(cut(rows), {"_walls": Running("sum", wall)}, **by_depth))
     previous = Running("last", F.when(~F.col("is_user"), F.struct("merge_key", "_walls")), before=True)
-    marked = running(walled, {"_prev": previous}, **by_depth)
+    marked = cut(running(walled, {"_prev": previous}, **by_depth))
     joins = ~F.col("is_user") & F.coalesce(
         (F.col("_prev.merge_key") == F.col("merge_key")) & (F.col("_prev._walls") == F.col("_walls")), F.lit(False)
     )
     marked = marked.withColumn("_joins", joins)
-    placed = running(marked, {"_count": Running("sum", (~F.col("_joins")).cast("bigint"))}, **by_depth).withColumn("idx", F.col("_count") - 1)
+    placed = cut(running(marked, {"_count": Running("sum", (~F.col("_joins")).cast("bigint"))}, **by_depth).withColumn("idx", F.col("_count") - 1))
     # An island's index: that of the prompt message it started.
     island = Running("last", F.when(~F.col("is_user") & ~F.col("_joins"), F.col("idx")))
     placed = running(placed, {"_island": island}, **by_depth).withColumn("msg", F.when(~F.col("is_user"), F.col("_island")))

@@ -128,7 +128,8 @@ def quiet_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     """
     hour = 3_600_000_000
     instants = events.where("ts is not null").groupBy("session_id", F.unix_micros("ts").alias("us")).agg(F.count(F.lit(1)).alias("same"))
-    lagged = running(instants, {"_prev": Running("last", F.col("us"), before=True)}, order=("us",), size=hour)
+    # Stored, as the next running value reads it twice.
+    lagged = cut(running(instants, {"_prev": Running("last", F.col("us"), before=True)}, order=("us",), size=hour))
     after = lambda us: F.timestamp_micros(us) + F.expr(f"interval {gap}")
     opens = F.coalesce(F.timestamp_micros("us") >= after(F.col("_prev")), F.lit(True))
     placed = running(lagged, {"_first": Running("last", F.when(opens, F.col("us")))}, order=("us",), size=hour)
