@@ -1199,7 +1199,14 @@ def guarded_fix(spark, sf_dir):
     return GP.lint_fix(GP.LINKED, D.linked(spark, sf_dir))[1].select("session_id", "errors_before", "errors_after", "wrote")
 
 
-@register("x16_guarded_migrate")
+@register("x16_guarded_migrate", "with " + _OLD + """, o as (select * from old where cid is not null and itype in ('function_call', 'function_call_output')),
+p as (select session_id, cid, count(*) filter (itype = 'function_call') calls, count(*) filter (itype = 'function_call_output') outputs, max(line) filter (itype = 'function_call') last_call,
+  min(line) filter (itype = 'function_call_output') first_out from o group by all),
+b4 as (select session_id, count(*) n from (select session_id from old where kind = 'invalid_json' union all select session_id from p where outputs > 0 and calls = 0) group by session_id),
+af as (select session_id, count(*) n from (select session_id from old where cid is null and itype in ('function_call', 'function_call_output')
+  union all select session_id from p where calls > 0 and first_out < last_call) group by session_id)
+select s.session_id, coalesce(b4.n, 0) errors_before, coalesce(af.n, 0) errors_after, coalesce(af.n, 0) <= coalesce(b4.n, 0) wrote
+from (select distinct session_id from old) s left join b4 on b4.session_id = s.session_id left join af on af.session_id = s.session_id""")
 def guarded_migrate(spark, sf_dir):
     return GP.lint_fix(GP.FLAT, D.flat(spark, sf_dir, "legacy"))[1].select("session_id", "errors_before", "errors_after", "wrote")
 
