@@ -514,6 +514,30 @@ def test_classifier_equals_plain_ridge_and_pooling(spark, sf):
     assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-4
 
 
+def test_boxes_of_cells_spare_most_of_the_shipping(spark, monkeypatch):
+    """Clustered rows in forty shards and more: few (query, shard) pairs are shipped, and the answers are those of brute force."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 50)
+    monkeypatch.setattr(kdtree, "BLOCK_QUERIES", 16)
+    monkeypatch.setattr(kdtree, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 10, (20, 6))
+    x = np.vstack([centres[i % 20] * (1 + i % 3) + rng.normal(0, 0.3, 6) for i in range(2000)]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(6)
+    stored, real = {}, kdtree.cut
+    monkeypatch.setattr(kdtree, "cut", lambda df, name="step": stored.setdefault(name, real(df, name)))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in kdtree.top_k(rows, F.col("vec_id") % 20 == 0, 5).collect()}
+    exact = np.floor(x.astype(np.float64) * 256).astype(np.int64)
+    scores = exact[::20] @ exact.T
+    for j, q in enumerate(range(0, 2000, 20)):
+        order = [i for i in np.lexsort((np.arange(2000), -scores[j])) if i != q][:5]
+        assert [got[q, r + 1] for r in range(5)] == [(i, scores[j, i]) for i in order]
+    shards = stored["celled"].groupBy("cell").count().selectExpr("sum(ceil(count / 50)) n").first().n
+    pairs = stored["routes"].count()
+    assert shards >= 40 and pairs < 0.25 * 100 * (shards - 1)
+
+
 def test_repeated_query_rows_are_answered_once(twin, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
