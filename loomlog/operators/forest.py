@@ -41,8 +41,10 @@ def from_below(tables: list[DataFrame], own: DataFrame, values: dict[str, str])
     if not tables:
         return cut(own.select(*KEY, "node", *values).limit(0))
     found = cut(lifted(own, tables[0]).groupBy(*KEY, "node").agg(*agg))
-    for table in tables:
-        found = cut(found.unionByName(lifted(found, table)).groupBy(*KEY, "node").agg(*agg))
+    for k, table in enumerate(tables):
+        found = found.unionByName(lifted(found, table)).groupBy(*KEY, "node").agg(*agg)
+        if k % 2 or k == len(tables) - 1:  # a level is planned twice rather than stored
+            found = cut(found)
     return found
 
 
@@ -125,6 +127,10 @@ def merge_order(rows: DataFrame) -> DataFrame:
         tips = inner.join(both.drop("low"), [*KEY, "cycle"]).select(
             *KEY, (-F.col("node")).alias("node"), F.col("cycle").alias("parent"), F.col("node").alias("line"), "flag", none.alias("limit"), F.col("parent").alias("entry"))
         plain = outer.select(plain.columns).unionByName(super_).unionByName(tips.select(plain.columns))
+    if not cyclic and rows.where("parent >= node").isEmpty():  # parents come first: one pass, and lines tell the order on a path
+        merged = _decide(plain, tables)
+        taken = from_below(tables, merged.select(*KEY, "node", F.col("line").alias("tip")), {"tip": "max"})
+        return taken.select(*KEY, F.col("tip").alias("tip_line"), F.col("node").alias("line"), (F.col("tip") - F.col("node")).alias("depth"))
     forest, out = cut(plain), None
     while True:
         tables, _ = jump_tables(forest)

@@ -1115,17 +1115,30 @@ picked as (select session_id, line from vn where rn <= floor(n * 0.5)), hit as (
 wanted as (select session_id, line from picked union select t2.session_id, t2.line from turns t1 join picked p on p.session_id = t1.session_id and p.line = t1.line join turns t2 on t2.session_id = t1.session_id and t2.turn = t1.turn),
 seeds as (select * from wanted union select o.* from orphans o join hit using (session_id)),
 reach as (select distinct session_id, line from seeds union select l2.session_id, l2.line from reach join links l1 using (session_id, line) join links l2 on l2.session_id = l1.session_id and l2.id = l1.id),
-bound as (select a.session_id, arg_min(a.line, depth) bline from a join chain on chain.session_id = a.session_id and chain.line = a.line where bnd group by a.session_id),
+bound as (select a.session_id, arg_min(a.line, depth) bline, arg_min(a.uuid, depth) buuid from a join chain on chain.session_id = a.session_id and chain.line = a.line where bnd group by a.session_id),
 gone as (select r.* from reach r left join bound using (session_id) left join roots using (session_id) where not (bline is null and rline is not null and rline = r.line)),
 snap as (select session_id, min(line) sline from a where typ = 'file-history-snapshot' group by session_id), ends as (select session_id, max(line) eline from a group by session_id),
-ins as (select h.session_id, coalesce(bline, case when rline is not null then (case when rmeta then rline end) else coalesce(sline, 0) end) anchor
-  from (select distinct session_id from gone) h left join bound using (session_id) left join roots using (session_id) left join snap using (session_id))
-select a.session_id, a.line, 0 sub from a where not exists (select 1 from gone g where g.session_id = a.session_id and g.line = a.line)
-union all select i.session_id, case when g.line is not null then eline else anchor end, 1 from ins i join ends using (session_id) left join gone g on g.session_id = i.session_id and g.line = i.anchor where anchor is not null"""))
+facts as (select h.session_id, bline, buuid, rline, ruuid, rmeta, sline, coalesce(bline is null and rline is not null and not rmeta, false) swaps, exists (select 1 from gone g where g.session_id = h.session_id) any_gone
+  from hit h left join bound using (session_id) left join roots using (session_id) left join snap using (session_id)),
+work as (select *, case when swaps then ruuid else 'summary' end su from facts where any_gone or swaps),
+ins as (select session_id, coalesce(bline, case when rline is not null then (case when rmeta then rline end) else coalesce(sline, 0) end) anchor, coalesce(buuid, case when rmeta then ruuid end) up from work where not swaps and any_gone),
+kp as (select a.* from a anti join gone g on g.session_id = a.session_id and g.line = a.line),
+wk as (select session_id, line, parent cur, 0 hops from kp
+  union all select w.session_id, w.line, g.parent, hops + 1 from wk w join a g on g.session_id = w.session_id and g.uuid = w.cur semi join gone x on x.session_id = g.session_id and x.line = g.line),
+rl as (select session_id, line, nullif(arg_max(coalesce(cur, ''), hops), '') parent from wk group by all),
+fs as (select v.session_id, arg_min(v.line, v.pos) fline, any_value(su) su from vis v join work w using (session_id) anti join gone g on g.session_id = v.session_id and g.line = v.line
+  where rline is null or v.line <> rline group by v.session_id)
+select k.session_id, k.line, 0 sub, coalesce(case when f.fline = k.line then f.su else rl.parent end, '-') parent, coalesce(w.swaps and w.rline = k.line, false) is_summary
+from kp k join rl on rl.session_id = k.session_id and rl.line = k.line left join fs f on f.session_id = k.session_id left join work w on w.session_id = k.session_id
+union all select i.session_id, case when g.line is not null then eline else anchor end, 1, coalesce(up, '-'), true from ins i join ends using (session_id) left join gone g on g.session_id = i.session_id and g.line = i.anchor where anchor is not null"""))
 def compact(spark, sf_dir):
     linked, chain, chosen = _compaction(spark, sf_dir, tokens=False)
     summaries = linked.select("session_id", F.lit("summary of the earlier part").alias("summary")).distinct()
-    return CP.compact_linked(linked, summaries, chosen, STAMP, chain=chain).lines.select("session_id", "line", "sub")
+    lines = CP.compact_linked(linked, summaries, chosen, STAMP, chain=chain).lines
+    v = J.strict_parse(F.col("raw"))
+    parent, own = J.as_id(F.col("v"), "$.parentUuid"), J.as_string(F.col("v"), "$.message.content") == "summary of the earlier part"
+    shown = F.when(parent == RF.fork_id(F.col("session_id"), "summary"), "summary").otherwise(F.coalesce(parent, F.lit("-")))
+    return lines.select("session_id", "line", "sub", v.alias("v")).select("session_id", "line", "sub", shown.alias("parent"), F.coalesce(own, F.lit(False)).alias("is_summary"))
 
 
 @register("x17_pending_selection", sql("recursive al a refs chain", _VISIBLE + _CLOSE + _ASST_A + """
