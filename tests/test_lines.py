@@ -1,6 +1,8 @@
 """Reading, parsing and classifying lines."""
 
 import json
+import os
+import random
 
 from conftest import to_lines
 from pyspark.sql import functions as F
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 from loomlog.functions import jsonv as J
 from loomlog.functions import specs
 from loomlog.functions import text as T
+from loomlog.operators import keywords as KW
+from loomlog.operators import stats as S
 from loomlog.sources import documents as DOC
 from loomlog.sources import lines as L
 
@@ -160,5 +164,58 @@ def test_documents_and_sinks(spark, tmp_path):
     event = spark.createDataFrame([("a", "session_start", None)], "session_id string, event string, ts string")
     DOC.append_log(event, log, "2024-01-01T00:00:00Z")
     DOC.append_log(event, log, "2024-01-02T00:00:00Z")
-    stamps = sorted(json.loads(r.value)["ts"] for r in spark.read.text(log).collect())
+    stamps = sorted(json.loads(r.value)["ts"] for r in DOC.read_appended(spark, log).collect())
     assert stamps == ["2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"]
+    for _ in range(2):  # an attempt that is repeated replaces what it wrote
+        DOC.append_log(event, log, "2024-01-03T00:00:00Z", batch="7")
+    assert DOC.read_appended(spark, log, "a").count() == 3 and DOC.read_appended(spark, log, "b").count() == 0
+    assert len([p for p in os.listdir(log) if p.startswith("batch=")]) == 3
+
+
+def test_files_are_whole_or_absent(spark, tmp_path):
+    root = str(tmp_path / "files")
+    rows = to_lines(spark, [{"i": i} for i in range(500)], "a").unionByName(to_lines(spark, ["x", "", "é"], "b"))
+    placed = rows.selectExpr("*", f"concat('{root}/p/', session_id, '.jsonl') path").repartition(7)
+    done = {r.path.rsplit("/", 1)[1]: (r.lines, r.bytes) for r in DOC.write_jsonl(placed).collect()}
+    assert done["b.jsonl"] == (3, 6) and done["a.jsonl"][0] == 500
+    assert [json.loads(x)["i"] for x in open(f"{root}/p/a.jsonl")] == list(range(500)) and open(f"{root}/p/b.jsonl").read() == "x\n\né\n"
+    DOC.write_jsonl(placed.where("session_id = 'b' and line = 1"))  # replaces the whole file
+    assert open(f"{root}/p/b.jsonl").read() == "x\n" and sorted(os.listdir(f"{root}/p")) == ["a.jsonl", "b.jsonl"]
+
+    @F.udf("string")
+    def broken(raw):
+        raise ValueError("lost")
+
+    failing = placed.where("session_id = 'a'").withColumn("raw", F.when(F.col("line") > 400, broken("raw")).otherwise(F.col("raw")))
+    with pytest.raises(Exception, match="lost"):
+        DOC.write_jsonl(failing)
+    assert sum(1 for _ in open(f"{root}/p/a.jsonl")) == 500
+
+
+def test_keyword_tables_equal_the_list_form(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc é") for _ in range(rng.randint(1, 5))) for _ in range(300)]
+    texts = [None, "", "ABC é a"] + ["".join(rng.choice("abcABC éx") for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line bigint, text string")
+    table = spark.createDataFrame([(w,) for w in [*words, *words[:5], "", None]], "keyword string")
+    want = sorted((i, w) for i, t in enumerate(texts) if t for w in set(words) if w in t.lower())
+    for bound in (1 << 20, 200):  # one pass and several
+        assert sorted(map(tuple, KW.keyword_hits(rows, table, max_bytes=bound).collect())) == want
+        some = KW.keyword_hits(rows, table, first_only=True, max_bytes=bound)
+        assert sorted(r.line for r in some.collect()) == sorted({i for i, _ in want})
+    hits = rows.where(T.contains_any(F.col("text"), words)).count()
+    assert hits == len({i for i, _ in want})
+    assert KW.keyword_hits(rows, table.limit(0)).count() == 0
+
+
+def test_session_prompts_in_parts(spark):
+    blocks = spark.createDataFrame([("s", i, None if i % 4 == 3 else f"[user]: text\n{i}" * (1 + i % 3)) for i in range(40)] + [("t", 1, None)], "session_id string, line bigint, prompt_text string")
+    texts = [r.prompt_text for r in blocks.where("session_id = 's'").orderBy("line").collect() if r.prompt_text]
+    whole = S.session_prompts(blocks, budget=10**6, part_bytes=50).collect()
+    assert [(r.session_id, r.blocks, r.prompt) for r in whole] == [("s", 30, "\n\n".join(texts))]
+    assert whole[0].source_lines == whole[0].prompt.count("\n") + 1 and whole[0].target_lines == max(20, whole[0].source_lines // 5)
+    parts = S.session_prompts(blocks, part_bytes=50).orderBy("part").collect()
+    assert len(parts) > 5 and "\n\n".join(r.prompt for r in parts) == whole[0].prompt
+    fit = S.session_prompts(blocks, budget=30).first()
+    n = max(k for k in range(len(texts) + 1) if -(-len("\n\n".join(texts[:k]).encode()) // 4) <= 30)
+    assert fit.blocks == n and fit.prompt == "\n\n".join(texts[:n])
