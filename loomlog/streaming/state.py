@@ -179,14 +179,14 @@ class Gaps(StatefulProcessor):
         counts = sorted((k[0], v[0]) for k, v in self.gaps.iterator())
         n = sum(c for _, c in counts)
 
-        def at(rank: int) -> float:
+        def at(rank: int) -> int:
             for gap, c in counts:
                 rank -= c
                 if rank < 0:
-                    return gap / 1000
+                    return gap
             raise IndexError
 
-        out = [at(0), (at((n - 1) // 2) + at(n // 2)) / 2, at(95 * (n - 1) // 100), at(n - 1)] if n else [None] * 4
+        out = [at(0) / 1000, (at((n - 1) // 2) + at(n // 2)) / 2000, at(95 * (n - 1) // 100) / 1000, at(n - 1) / 1000] if n else [None] * 4
         self.settled.clear()
         self.waiting.clear()
         self.gaps.clear()
