@@ -15,8 +15,8 @@ SOME = (
     "g5_relink", "w2_token_plan", "w3_prompt_fit", "j8_repair_links", "x5_fix_flat", "x6_remove_flat", "x10_migrate",
     "x14_fork", "t1_rank_linked", "t4_catalog", "k5_backup_retention", "u4_version_diff", "p7_prompt_text", "p17_log_lines",
     "m1_status", "m2_status_flat", "m3_trigger", "m5_quiet_sessions", "m7_counters", "a12_heartbeat_gaps",
-    "x1_fix", "x8_clean", "x16_guarded_fix", "x17_pending_selection", "g6_collapse_chunks", "u2_ordered_diff", "k1_file_contents",
-    "k4_append_log", "m8_growing_files", "s8_tail_from_end", "f4_keyword_table", "p7_session_prompts", "t3_lookup_ids", "a15_report",
+    "x1_fix", "g6_collapse_chunks", "k1_file_contents", "k4_append_log", "m8_growing_files", "s8_tail_from_end", "f4_keyword_table",
+    "p7_session_prompts", "t3_lookup_ids",
 )
 
 
