@@ -32,9 +32,9 @@ ship_by_value(__name__)
 MARK = "\u2581"  # fixed value of the library
 MARKED = re.compile("\u2581+[^\u2581]*")
 IRREGULAR = re.compile("  |\\A | \\Z|\u2581")  # more than single spaces between words
-SLICE_BYTES = 2 << 20  # text held as Python strings at a time
+SLICE_BYTES = 1 << 20  # text held as Python strings at a time
 BATCH_CHARS = 16 << 10  # of new words that the model gets at a time
-TABLE_SIZE = 200_000  # words remembered by a task; beyond it the table starts afresh
+TABLE_SIZE = 100_000  # words remembered by a task; beyond it the table starts afresh
 LONG_WORD = 256
 
 
