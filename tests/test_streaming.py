@@ -97,11 +97,12 @@ def test_gap_windows_with_late_beats_equal_batch(spark, tmp_path, n):
 def test_gap_state_grows_with_different_gaps_only(spark, tmp_path):
     """After the watermark has passed, ten thousand equal gaps are one entry and no beat is kept."""
     rows = [("s", T0 + timedelta(seconds=i), "heartbeat", None, 1.0, 1.0) for i in range(10_000)]
-    stream = drops(spark, tmp_path, rows + [("s", T0 + timedelta(hours=20), "heartbeat", None, 1.0, 1.0)] * 2500, LOG, files=5)
+    late = [("s", T0 + timedelta(hours=20, seconds=k), "heartbeat", None, 1.0, 1.0) for k in (0, 1) for _ in range(2500)]
+    stream = drops(spark, tmp_path, rows + late, LOG, files=6)  # the last file comes when the watermark has passed the first beats
     run(ST.beat_gaps(stream), tmp_path)
     state = spark.read.format("statestore").option("path", str(tmp_path / "ck"))
     assert state.option("stateVarName", "gaps").load().count() <= 2
-    assert state.option("stateVarName", "waiting").load().count() <= 1
+    assert state.option("stateVarName", "waiting").load().count() <= 2
 
 
 def test_latest_by_cwd_equals_batch_after_a_restart(spark, tmp_path):
