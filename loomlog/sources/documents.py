@@ -142,7 +142,7 @@ def read_handshakes(documents: DataFrame) -> DataFrame:
 def parse_documents(documents: DataFrame, text: str = "value") -> DataFrame:
     """Whole JSON documents with ``v``; documents that are not one JSON object are dropped."""
     configure(documents.sparkSession)
-    return documents.withColumn("v", J.strict_parse(J.js_trim(F.col(text)))).where(J.is_object(F.col("v"))).drop(text)
+    return J.with_parsed(documents, J.js_trim(F.col(text))).where(J.is_object(F.col("v"))).drop(text)
 
 
 def read_documents(spark: SparkSession, paths: str | list[str], glob: str = "*.json") -> DataFrame:

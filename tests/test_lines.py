@@ -4,6 +4,8 @@ import json
 import os
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from conftest import to_lines
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from loomlog.functions import specs
 from loomlog.functions import text as T
 from loomlog.operators import keywords as KW
 from loomlog.operators import stats as S
+from loomlog.session import spread
 from loomlog.sources import documents as DOC
 from loomlog.sources import lines as L
 
@@ -219,3 +222,28 @@ def test_session_prompts_in_parts(spark):
     fit = S.session_prompts(blocks, budget=30).first()
     n = max(k for k in range(len(texts) + 1) if -(-len("\n\n".join(texts[:k]).encode()) // 4) <= 30)
     assert fit.blocks == n and fit.prompt == "\n\n".join(texts[:n])
+
+
+def test_a_line_is_parsed_once_however_often_it_is_read(spark):
+    lines = to_lines(spark, ['{"event":"a","ts":"x"}', '{"event":"b"} 1', " "])
+    rows = DOC.read_log(lines)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") == 1
+    assert [(r.line, r.event) for r in rows.collect()] == [(1, "a")]
+
+
+def test_a_scan_with_all_rows_in_one_of_many_splits_is_spread(spark, tmp_path):
+    pq.write_table(pa.table({"x": list(range(20_000))}), tmp_path / "t.parquet")  # one row group
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "t.parquet"))
+        cores = spark.sparkContext.defaultParallelism
+        assert scan.rdd.getNumPartitions() >= cores
+        sizes = spread(scan).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert sum(sizes) == 20_000 and max(sizes) <= 1.5 * 20_000 / cores
