@@ -300,15 +300,33 @@ def parities_allow(a: str, b: str, percent: int):
     return (F.size(x) != F.size(y)) | (differing * (100 + percent) <= most)
 
 
+def near_heavy(index: DataFrame) -> DataFrame:
+    """(key, heavy, rep, n) of the combinations that a heavy set holds, stored; most combinations have none.
+
+    Their keys travel as a bitmap; a wrong bit keeps a combination that then gives no pair.
+    """
+    sparse = index.sparkSession.sparkContext.broadcast(id_bitmap(index.where("heavy"), "key", CLASS_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.drop_columns(["place"]).filter(pa.array(held(sparse.value, batch.column("place").to_numpy())))
+        hand_back()
+
+    rows = index.where("combined").select("key", "heavy", "rep", "n", hashed_place("key", CLASS_BITS))
+    kept = cut(rows.mapInArrow(run, "key bigint, heavy boolean, rep bigint, n int"), "combined")
+    sparse.destroy()
+    return kept
+
+
 def single_pairs(index: DataFrame, percent: int) -> DataFrame:
+    # Merged at every size: a broadcast of the index would grow with the input.
     rows = index.where("not combined").select("key", "rep", "n")
-    met = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & sizes_allow("x", "y", percent))
+    met = rows.alias("x").join(rows.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & sizes_allow("x", "y", percent))
     return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def star_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Each set of a combination with its smallest heavy set."""
-    rows = index.where("combined")
+def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each set of a combination with its smallest heavy set; ``rows`` are those of :func:`near_heavy`."""
     centres = rows.where("heavy").groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c")).select("key", "c.*")
     met = centres.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & sizes_allow("x", "y", percent))
     return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
@@ -320,9 +338,9 @@ def passing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(parities_allow("x", "y", percent)).select("a", "b").distinct()
 
 
-def cross_pairs(index: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in combinations that hold more than one component."""
-    rows = index.where("combined").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+def cross_pairs(rows: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in combinations that hold more than one component; ``rows`` as in :func:`star_pairs`."""
+    rows = rows.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rows = cut(rows, "rooted")
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("heavy").alias("any"))
     rows = rows.join(mixed.where((F.col("low") != F.col("high")) & F.col("any")).select("key"), "key", "left_semi").join(sets.select("rep", "parity"), "rep")
@@ -335,13 +353,21 @@ def cross_pairs(index: DataFrame, component: DataFrame, sets: DataFrame, percent
     return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
-def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
+def hashed_place(column: str, bits: int = ID_BITS) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - bits).alias("place")
+
+
+def held(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def id_bitmap(ids: DataFrame, column: str, bits: int = ID_BITS) -> np.ndarray:
     """A bitmap of hashed ids, of fixed size whatever their number."""
-    place = F.shiftrightunsigned(F.xxhash64(column), 64 - ID_BITS).alias("place")
+    place = hashed_place(column, bits)
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
     words = ids.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     table = words.toArrow()
-    out = np.zeros(1 << (ID_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[table["word"].to_numpy()] = table["bits"].to_numpy()
     return out.view(np.uint8)
 
@@ -355,13 +381,12 @@ def verified(pairs: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, p
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     asked = cut(wanted.join(asked, "rep", "left_semi"), "asked")
     bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(asked, "mark"))
-    rows = docs.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).withColumn("place", F.shiftrightunsigned(F.xxhash64("mark"), 64 - ID_BITS))
+    rows = docs.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).withColumn("place", hashed_place("mark"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            hit = (bitmap.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            hit = held(bitmap.value, batch.column("place").to_numpy())
             for part in slices(batch.filter(pa.array(hit)), "text", SLICE_BYTES):
                 found = shingler.sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("mark"), pa.array(map(digest, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["mark", "node", "tokens"])
@@ -475,14 +500,15 @@ def linked_rows(docs: DataFrame, words: int, percent: int, doc_id: str, text: st
     classes = docs.sparkSession.sparkContext.broadcast(token_classes(leads, frequent, total // 8))
     index = cut(index_keys(leads, bounds, classes), "index")
     classes.destroy()
+    combined = near_heavy(index)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return verified(pairs, sets.select("rep", "node", "mark"), docs, words, percent, text)
 
     bitmaps = sets.select("rep", "n", "parity")
-    links = verify(passing(single_pairs(index, percent).union(star_pairs(index, percent)), bitmaps, percent))
+    links = verify(passing(single_pairs(index, percent).union(star_pairs(combined, percent)), bitmaps, percent))
     found = cut(components(links), "components")
-    crossing = cut(cross_pairs(index, found, bitmaps, percent), "crossing")
+    crossing = cut(cross_pairs(combined, found, bitmaps, percent), "crossing")
     if not crossing.isEmpty() and not (more := verify(crossing)).isEmpty():
         found = cut(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)), "components")
     return memberships(prints, copied, found)

@@ -364,6 +364,14 @@ def test_join_against_all_pairs(spark, words, percent, frequent):
     assert got == want
 
 
+def test_only_combinations_with_a_heavy_set_are_joined(spark):
+    rows = [(k, True, k < 20 and r == 0, 10 * k + r, 50) for k in range(2000) for r in range(3)] + [(7, False, False, 1, 50)]
+    kept = jaccard.near_heavy(spark.createDataFrame(rows, "key long, combined boolean, heavy boolean, rep long, n int"))
+    assert {(r.key, r.heavy, r.rep) for r in kept.collect()} == {(k, h, r) for k, c, h, r, _ in rows if c and k < 20}
+    plan = jaccard.single_pairs(spark.createDataFrame(rows, "key long, combined boolean, heavy boolean, rep long, n int"), 90)
+    assert "SortMergeJoin" in plan._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_rows_link_by_their_texts_not_their_ids(spark):
     docs = spark.createDataFrame([(5, "a b c d e"), (5, "p q r s t"), (3, "a b c d e"), (4, "P q r s t"), (None, "a b c d e"), (None, "x y z")], "doc_id long, text string")
     got = Counter((r.doc_id, r.component_id) for r in jaccard.link(docs, 3, 90).collect())
