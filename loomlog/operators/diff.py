@@ -16,8 +16,9 @@ where lines were moved, not its lines.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ ship_by_value(__name__)
 
 KEYS = ("session_id", "stretch")
 RUN_BLOCK = 1 << 16  # runs of a stretch that are piled at a time
+PILED = pa.schema([("session_id", pa.string()), *((c, pa.int64()) for c in ("stretch", "run", "pred", "best", "end"))])
 
 
 def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -55,29 +57,41 @@ def _single(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(*KEYS, "h").agg(F.count(F.lit(1)).alias("_n"), F.min("line").alias(name)).where("_n = 1").drop("_n")
 
 
-def _pile(runs: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
-    """Heaviest chains that end in the next block of a stretch's runs, given the piles' tops so far.
+def _pile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heaviest chains that end in the next block of each stretch's runs, given the piles' tops so far.
 
     A top is a run's last place in ``b``, the weight of the heaviest chain that ends there, and the run; tops rise in
-    both. Returns the runs with their predecessor and chain weight, and the new tops.
+    both. Rows come stretch by stretch, first the tops, rising, then the runs in order. Returns the runs with their
+    predecessor and chain weight, and the new tops. A task takes its stretches one after the other and holds one's tops.
     """
-    columns = ["session_id", "stretch", "run", "pred", "best", "end"]
-    if not len(runs):
-        return pd.DataFrame(columns=columns)
-    keys = (runs["session_id"].iloc[0], int(runs["stretch"].iloc[0]))
-    tops = tops.sort_values("end")
-    ends, bests, ids = tops["end"].tolist(), tops["best"].tolist(), tops["run"].tolist()
-    out = []
-    for run, y, weight in runs.sort_values("run")[["run", "y", "weight"]].itertuples(index=False, name=None):
-        at = bisect_left(ends, y)
-        best = weight + (bests[at - 1] if at else 0)
-        out.append((*keys, run, ids[at - 1] if at else None, best, None))
-        over = at
-        while over < len(ends) and bests[over] <= best:
-            over += 1
-        ends[at:over], bests[at:over], ids[at:over] = [y + weight - 1], [best], [run]
-    out += [(*keys, run, None, best, end) for run, best, end in zip(ids, bests, ends)]
-    return pd.DataFrame(out, columns=columns).astype({"pred": "Int64", "end": "Int64"})
+    key, grown, ends, bests, ids = None, False, [], [], []
+
+    def tops() -> list[tuple]:
+        return [(*key, run, None, best, end) for run, best, end in zip(ids, bests, ends)] if grown else []
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(PILED)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PILED.types)], schema=PILED)
+
+    for batch in batches:
+        out = []
+        for session, stretch, run, y, weight, best, end in zip(*(batch.column(c).to_pylist() for c in ("session_id", "stretch", "run", "y", "weight", "best", "end"))):
+            if (session, stretch) != key:
+                out += tops()
+                key, grown, ends, bests, ids = (session, stretch), False, [], [], []
+            if end is not None:
+                ends.append(end), bests.append(best), ids.append(run)
+                continue
+            grown = True
+            at = bisect_left(ends, y)
+            best = weight + (bests[at - 1] if at else 0)
+            out.append((*key, run, ids[at - 1] if at else None, best, None))
+            over = at
+            while over < len(ends) and bests[over] <= best:
+                over += 1
+            ends[at:over], bests[at:over], ids[at:over] = [y + weight - 1], [best], [run]
+        yield made(out)
+    yield made(tops())
 
 
 def longest_run(anchors: DataFrame, block: int = RUN_BLOCK) -> DataFrame:
@@ -106,11 +120,14 @@ def _piled(anchors: DataFrame, block: int) -> DataFrame:
     runs = cut(running(runs, {"place": Running("sum", one)}, KEYS, ("run",)).withColumn("part", F.floor((F.col("place") - 1) / block)))
 
     schema = "session_id string, stretch bigint, run bigint, pred bigint, best bigint, end bigint"
+    none = F.lit(None).cast("bigint")
     tops = anchors.sparkSession.createDataFrame([], schema)
     piled = []
     for part in range((runs.agg(F.max("part")).first()[0] or 0) + 1):
-        now = runs.where(F.col("part") == part).groupBy(*KEYS).cogroup(tops.groupBy(*KEYS)).applyInPandas(_pile, schema)
-        now = cut(now)
+        rows = runs.where(F.col("part") == part).select(*KEYS, "run", "y", "weight", none.alias("best"), none.alias("end")).unionByName(
+            tops.select(*KEYS, "run", none.alias("y"), none.alias("weight"), "best", "end"))
+        rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, F.col("end").isNull(), F.coalesce("end", "run"))
+        now = cut(rows.mapInArrow(_pile, schema))
         tops = now.where("end is not null")
         piled.append(now.where("end is null").drop("end"))
     chains = piled[0]

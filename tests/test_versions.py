@@ -4,6 +4,7 @@ import random
 from bisect import bisect_left
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from loomlog.operators import diff as DF
@@ -113,6 +114,19 @@ def test_longest_run_in_blocks_of_any_size(spark, block):
     assert got == want
 
 
+def test_a_task_piles_many_stretches_cut_anywhere(spark):
+    names = ["session_id", "stretch", "run", "y", "weight", "best", "end"]
+    rows = [("a", 0, 4, None, None, 3, 9), ("b", 0, 1, 3, 2, None, None), ("b", 0, 3, 1, 1, None, None), ("b", 0, 4, 5, 1, None, None),
+            ("b", 2, 1, None, None, 2, 4), ("b", 2, 6, 5, 1, None, None), ("c", 0, 1, 2, 1, None, None)]
+    want = [("b", 0, 1, None, 2, None), ("b", 0, 3, None, 1, None), ("b", 0, 4, 1, 3, None), ("b", 0, 1, None, 2, 4), ("b", 0, 4, None, 3, 5),
+            ("b", 2, 6, 1, 3, None), ("b", 2, 1, None, 2, 4), ("b", 2, 6, None, 3, 5), ("c", 0, 1, None, 1, None), ("c", 0, 1, None, 1, 2)]
+    for n in (1, 2, 3, len(rows)):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + n]], pa.schema(
+            [("session_id", pa.string()), *((c, pa.int64()) for c in names[1:])])) for i in range(0, len(rows), n)]
+        got = [tuple(r.values()) for out in DF._pile(iter(batches)) for r in out.to_pylist()]
+        assert sorted(got, key=str) == sorted([*want, ("b", 0, 3, None, 1, 1)], key=str)
+
+
 def test_one_moved_line_leaves_two_runs_and_one_line(spark):
     """The lines of a long session are never ordered in one place: only its runs are."""
     n = 200_000
