@@ -69,7 +69,7 @@ def guarded_apply(adapter: Adapter, typed: DataFrame, rewrite: Rewrite, force: b
     """
     before = adapter.issues(typed)
     rewritten = cut(renumber(rewrite.lines))
-    retyped = cut(adapter.typed(cut(parse_lines(rewritten))))
+    retyped = cut(adapter.typed(parse_lines(rewritten)))
     sessions = typed.select("session_id").distinct()
     delta = C.error_delta(before, adapter.issues(retyped), sessions)
     verdict = cut(delta.withColumn("wrote", F.lit(force) | ~F.col("worse")))
@@ -83,7 +83,7 @@ def lint_fix(adapter: Adapter, typed: DataFrame, force: bool = False) -> tuple[D
     """Check, migrate legacy sessions, repair, check again, decide: lines, verdict, changes."""
     if adapter is FLAT:
         moved = RF.migrate(typed)
-        ready = cut(flat_lines(cut(parse_lines(renumber(moved.lines)))))
+        ready = cut(flat_lines(parse_lines(renumber(moved.lines))))
         fixed = RF.fix(ready)
         changes = moved.changes.unionByName(fixed.changes)
     else:

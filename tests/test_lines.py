@@ -247,3 +247,41 @@ def test_a_scan_with_all_rows_in_one_of_many_splits_is_spread(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
     assert sum(sizes) == 20_000 and max(sizes) <= 1.5 * 20_000 / cores
+
+
+def test_parsed_values_are_stored_whole(spark, tmp_path):
+    lines = to_lines(spark, [{"type": "user", "uuid": str(i), "n": i} for i in range(200)])
+    L.parse_lines(lines).coalesce(1).write.parquet(f"{tmp_path}/parsed")
+    part = next(str(p) for p in tmp_path.rglob("*.parquet"))
+    columns = {c.path.removeprefix("v.") for c in pq.ParquetFile(part).schema if c.path.startswith("v.")}
+    assert columns == {"value", "metadata"}
+
+
+def test_typed_tables_are_built_from_raw_lines_in_one_step(spark, sf, monkeypatch):
+    from loomlog.plans import derived as D
+
+    built = []
+    monkeypatch.setattr(D, "once", lambda session, source, name, build: (built.append(name), build())[1])
+    assert D.linked(spark, sf, "chats").count() > 0 and D.flat(spark, sf, "legacy").count() > 0
+    assert sorted(built) == ["flat_legacy", "linked_chats", "raw_chats", "raw_legacy"]
+
+
+def test_members_of_other_types(spark):
+    odd = [
+        {"message": {"content": [1, None, "s", {"type": "text", "text": "t", "id": ""}, [{"type": "text"}], {"id": 7, "tool_use_id": "q"}]}},
+        {"message": {"content": {"a": 1}, "id": "m"}, "requestId": "r", "uuid": 5},
+        {"message": "x", "requestId": "r", "parentUuid": "", "isMeta": "true", "isSidechain": True},
+        {"message": {"content": "hi", "id": ""}, "parentUuid": None},
+    ]
+    rows = L.linked_lines(L.parse_lines(to_lines(spark, odd))).orderBy("line").collect()
+    assert [(b.pos, b.type, b.id, b.tool_use_id, b.text) for b in rows[0].blocks] == [
+        (0, "text", None, None, "t"), (1, None, None, "q", None)]
+    assert [(r.uuid, r.merge_key, r.parent_absent, r.content_text, len(r.blocks)) for r in rows[1:]] == [
+        (None, "m", True, None, 0), (None, "r", False, None, 0), (None, None, True, "hi", 0)]
+    assert (rows[2].is_meta, rows[2].is_sidechain) == (False, True)
+
+    stamp = {"timestamp": "2024-01-01T00:00:00Z", "type": "a"}
+    payloads = [{**stamp, "payload": p} for p in (None, [{"type": "b"}], {"type": "", "call_id": 5, "role": "r"})]
+    flat = L.flat_lines(L.parse_lines(to_lines(spark, payloads))).orderBy("line").collect()
+    assert [(r.kind, r.item_is_object, r.item_type, r.call_id, r.role) for r in flat] == [
+        ("wrapped", False, None, None, None), ("wrapped", False, None, None, None), ("wrapped", True, None, None, "r")]
