@@ -76,21 +76,21 @@ def _rollout_files(spark: SparkSession, roots: str | list[str], max_files: int |
 
 def read_log(lines: DataFrame) -> DataFrame:
     """Typed rows of the tools' event log; unreadable lines are dropped."""
-    v = F.col("v")
-    rows = parse_lines(lines).where("json_kind = 'object'")
-    error = F.coalesce(J.as_string(v, "$.error"), F.to_json(J.get(v, "$.error")))
-    shown = lambda path: F.coalesce(
-        J.as_string(v, path), F.when(~J.is_null_or_absent(v, path), F.to_json(J.get(v, path))))
     extra = [c for c in lines.columns if c not in ("session_id", "line", "raw")]
+    read = J.members(
+        F.col("v"), "ts", "event", "result", "stage", "error", "threshold", "tokens", "tokensAfter", "amount", "amountMode", "keepLast", "model")
+    rows = parse_lines(lines).where("json_kind = 'object'").select("session_id", "line", *extra, J.held(read, "_o"))
+    o = lambda name: F.col(f"_o.{name}")
+    given = lambda name: F.when(o(name).isNotNull() & ~F.is_variant_null(o(name)), F.to_json(o(name)))
     return rows.select(
         "session_id", "line", *extra,
-        J.as_id(v, "$.ts").alias("ts_raw"), J.as_id(v, "$.event").alias("event"), J.as_id(v, "$.result").alias("result"),
-        J.as_id(v, "$.stage").alias("stage"), error.alias("error"),
-        J.as_number(v, "$.threshold").alias("threshold"), J.as_number(v, "$.tokens").alias("tokens"),
-        J.as_number(v, "$.tokensAfter").alias("tokens_after"),
-        F.coalesce(F.is_variant_null(J.get(v, "$.tokensAfter")), F.lit(False)).alias("tokens_after_is_null"),
-        shown("$.amount").alias("amount"), J.as_id(v, "$.amountMode").alias("amount_mode"),
-        shown("$.keepLast").alias("keep_last"), J.as_id(v, "$.model").alias("model"),
+        J.id_of(o("ts")).alias("ts_raw"), J.id_of(o("event")).alias("event"), J.id_of(o("result")).alias("result"),
+        J.id_of(o("stage")).alias("stage"), F.coalesce(J.string_of(o("error")), F.to_json(o("error"))).alias("error"),
+        J.number_of(o("threshold")).alias("threshold"), J.number_of(o("tokens")).alias("tokens"),
+        J.number_of(o("tokensAfter")).alias("tokens_after"),
+        F.coalesce(F.is_variant_null(o("tokensAfter")), F.lit(False)).alias("tokens_after_is_null"),
+        F.coalesce(J.string_of(o("amount")), given("amount")).alias("amount"), J.id_of(o("amountMode")).alias("amount_mode"),
+        F.coalesce(J.string_of(o("keepLast")), given("keepLast")).alias("keep_last"), J.id_of(o("model")).alias("model"),
     ).withColumn("ts", F.try_to_timestamp("ts_raw"))
 
 

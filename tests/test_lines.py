@@ -285,3 +285,16 @@ def test_members_of_other_types(spark):
     flat = L.flat_lines(L.parse_lines(to_lines(spark, payloads))).orderBy("line").collect()
     assert [(r.kind, r.item_is_object, r.item_type, r.call_id, r.role) for r in flat] == [
         ("wrapped", False, None, None, None), ("wrapped", False, None, None, None), ("wrapped", True, None, None, "r")]
+
+
+def test_log_members_are_read_in_one_pass(spark):
+    import re
+
+    log = DOC.read_log(to_lines(spark, [
+        {"ts": "2024-01-01T00:00:00Z", "event": "auto_compact", "error": {"b": 1}, "tokens": "5", "tokensAfter": None, "amount": 40, "keepLast": ""},
+        {"event": 5, "error": "e", "tokens": 1.5, "amount": None}]))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"variant_get\(v#\d+, \$\.", plan)
+    rows = log.orderBy("line").collect()
+    assert [(r.event, r.error, r.tokens, r.tokens_after_is_null, r.amount, r.keep_last) for r in rows] == [
+        ("auto_compact", '{"b":1}', None, True, "40", ""), (None, "e", 1.5, False, None, None)]
