@@ -1,6 +1,7 @@
 """Block-wise scans against plain Python, with blocks far smaller than the sessions."""
 
 import random
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -9,8 +10,10 @@ from loomlog.operators import graph as G
 from loomlog.operators import ordered as O
 from loomlog.operators import stats as S
 from loomlog.functions.specs import Amount
+from loomlog.plans import derived as D
 from loomlog.sources import lines as L
-from conftest import to_lines
+from loomlog.sources import tables
+from conftest import SF, to_lines
 
 
 def test_running_over_blocks(spark):
@@ -90,6 +93,66 @@ def test_relink_over_any_number_of_removed_rows(spark):
     assert row.new_parent is None
 
 
+def relinked_by_hand(rows, gone):
+    """{line: new parent} of the kept rows of one session; rows are (line, uuid, parent)."""
+    last = {u: p for line, u, p in rows if line in gone}
+    out = {}
+    for line, _, parent in rows:
+        if line not in gone and parent in last:
+            seen = set()
+            while parent in last and parent not in seen:
+                seen.add(parent)
+                parent = last[parent]
+            out[line] = None if parent in last else parent
+    return out
+
+
+def test_relink_by_condition_and_by_table_match_a_plain_walk(spark, monkeypatch):
+    """Random links and removals: branches, missing parents, repeated uuids, cycles; a condition may be NULL."""
+    monkeypatch.setattr(G.segments, "__defaults__", (8,))
+    rng = random.Random(11)
+    values, want = [], {}
+    for s in range(10):
+        rows = []
+        for i in range(1, 60):
+            kind = rng.random()
+            parent = None if i == 1 else f"u{i - 1}" if kind < 0.8 else f"u{rng.randrange(1, 60)}" if s % 3 == 0 else f"u{rng.randrange(1, i)}"
+            rows.append((i, f"u{i}" if kind < 0.97 else f"u{rng.randrange(1, i + 1)}", parent if kind < 0.98 else "x"))
+        gone = {i for i in range(1, 60) if i % 7 not in (s % 7, (s + 3) % 7)}
+        want |= {(str(s), line): p for line, p in relinked_by_hand(rows, gone).items()}
+        values += [(str(s), i, f'{{"type":"user","uuid":"{u}","parentUuid":{"null" if p is None else chr(34) + p + chr(34)}}}') for i, u, p in rows]
+    linked = L.linked_lines(L.parse_lines(spark.createDataFrame(values, "session_id string, line bigint, raw string"))).cache()
+    goes = F.expr("case when line % 7 <> session_id % 7 and line % 7 <> (session_id + 3) % 7 then true end")
+    removed = L.entries(linked).where(goes).select("session_id", "line")
+    for asked in (goes, removed, removed.unionByName(removed)):
+        got = G.relinked_parents(linked, asked).collect()
+        assert {(r.session_id, r.line): r.new_parent for r in got} == want and len(got) == len(want)
+    assert None in want.values()
+
+
+def test_two_lines_before_over_blocks(spark):
+    """The runs' two lines before, as two passes of running values give them, but each row is shuffled once with its columns."""
+    rng = random.Random(5)
+    rows = [("hot", i + 1, i, "x") for i in rng.sample(range(400), 150)] + [("a", i + 1, i, None) for i in (3, 90, 91, 300)] + [("b", 8, 7, "y")]
+    df = spark.createDataFrame(rows, "session_id string, line bigint, e bigint, other string")
+    found = D._two_before(df, 8)
+    want = []
+    for s in ("hot", "a", "b"):
+        es = sorted(e for t, _, e, _ in rows if t == s)
+        want += [(s, e, es[k - 1] if k > 0 else None, es[k - 2] if k > 1 else None) for k, e in enumerate(es)]
+    assert sorted(found.select("session_id", "e", "prev", "prev2").collect()) == sorted(want)
+    twice = O.running(O.running(df, {"prev": O.Running("last", F.col("e"), before=True)}, size=8), {"prev2": O.Running("last", F.col("prev"), before=True)}, size=8)
+    assert sorted(twice.select("session_id", "e", "prev", "prev2").collect()) == sorted(want)
+    wide = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [lag(e" in line]
+    assert len(wide) == 1
+
+
+def test_runs_store_their_typed_lines_only(spark, tmp_path):
+    shutil.copy(f"{SF}/events.parquet", tmp_path)
+    assert D.linked(spark, str(tmp_path), "runs").count() == spark.read.parquet(str(tmp_path)).count()
+    assert [name for _, source, name in tables._known if source == str(tmp_path)] == ["linked_runs"]
+
+
 def test_relink_and_turns_end_at_cycles(spark):
     values = [{"type": "assistant", "uuid": f"u{i}", "parentUuid": f"u{p}", "message": {"role": "assistant", "content": []}} for i, p in ((1, 3), (2, 1), (3, 2), (4, 3))]
     linked = L.linked_lines(L.parse_lines(to_lines(spark, values)))
