@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 
 import __spark_entry__ as entry_module
-from loomlog.llm import jaccard, kdtree, mixing, perplexity, quality, shards, token_counts, warc
+from loomlog.llm import jaccard, kdtree, mixing, perplexity, quality, shards, token_counts, warc, word_pairs
 from loomlog.llm import pieces as pieces_module
 from loomlog.llm.text_stats import rule_counts
 
@@ -318,6 +318,127 @@ def test_copies_count_once(spark):
     assert {among[400 + i] for i in range(100)} == {among[200]}
 
 
+def slow_words(text):
+    """Words between white space; Han is split by code point."""
+    return [w for run in re.findall(r"[^\x20\x09-\x0D]+", text or "") for w in re.findall(r"[\u4e00-\u9fff]|[^\u4e00-\u9fff]+", run)]
+
+
+def slow_word_figures(rows):
+    """Figure of each (text, lang) by the words and word pairs of the other texts of its language, with dictionaries."""
+    counts = defaultdict(Counter)
+    for text, lang in set(rows):
+        w = slow_words(text)
+        counts[lang].update([()] * len(w) + [(x,) for x in w] + list(zip(w, w[1:])))
+    out = []
+    for text, lang in rows:
+        w = slow_words(text)
+        rest = Counter(counts[lang])
+        rest.subtract([()] * len(w) + [(x,) for x in w] + list(zip(w, w[1:])))
+        p = [(rest[x,] or word_pairs.UNKNOWN) / (rest[()] + word_pairs.UNKNOWN) for x in w]
+        for i in range(len(w) - 1, 0, -1):
+            p[i] = (rest[w[i - 1], w[i]] + word_pairs.PRIOR * p[i]) / (rest[w[i - 1],] + word_pairs.PRIOR)
+        out.append(-sum(map(math.log, p)) / len(w) if w else None)
+    return out
+
+
+def slow_band(figures):
+    """Lower median and deviation of binned figures."""
+    bins = sorted(math.floor(f * 1000 + 0.5) for f in figures)
+    middle = bins[(len(bins) - 1) // 2]
+    off = sorted(abs(b - middle) for b in bins)[(len(bins) - 1) // 2]
+    return middle / 1000, max(1.4826 * off / 1000, perplexity.LEAST_DEVIATION)
+
+
+def word_rows():
+    """(doc_id, text, lang): English, Russian, Chinese and rows without a language, with copies and odd rows."""
+    rng = random.Random(12)
+    vocabularies = {
+        "en": "the of and River stone under mill, bridge boats water 12 13".split(), "ru": "вода река камень мост под ветер ночь лодка и над тихо".split(),
+        "zh": "水 河 石 桥 下 风 夜 船 木 山".split(), None: "été à naïve cœur où".split(),
+    }
+    rows = []
+    for lang, known in vocabularies.items():
+        join = "" if lang == "zh" else " "
+        texts = [join.join(rng.choice(known[: 3 + i % 9]) for _ in range(30 + i % 40)) for i in range(45)]
+        if lang == "zh":
+            texts = [" ".join(t[i : i + 2] for i in range(0, len(t), 2)) for t in texts]
+        rows += [(t, lang) for t in [*texts, *texts[:1] * 20, *texts[3:5]]]
+    odd = [(None, "en"), ("", "ru"), (" \n", "zh"), ("alone in its own language as ten words are here now", "xx"), (rows[0][0], "ru"), ("\t".join(f"new{i}" for i in range(40)), "en")]
+    # Letters that the symbols fold together: other words, the same symbols.
+    swapped = "".join(chr(ord(c) + 7) if "а" <= c <= "и" else chr(ord(c) - 7) if "й" <= c <= "п" else c for c in next(t for t, g in rows if g == "ru"))
+    return [(i, *r) for i, r in enumerate([*rows, *odd, (swapped, "ru")])]
+
+
+def test_word_figures_and_kept_equal_a_plain_model(spark):
+    rows = word_rows()
+    judged = perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3, "doc_id"), ["doc_id"]).collect()
+    got = {r.row.doc_id: r for r in judged}
+    want = slow_word_figures([(t, g) for _, t, g in rows])
+    bands = {}
+    for lang in {g for _, _, g in rows}:
+        first = {t: (got[i].figure, got[i].word_figure) for i, t, g in rows if g == lang}
+        bands[lang] = [slow_band([f[k] for f in first.values() if f[k] is not None] or [0]) for k in (0, 1)]
+    for (i, text, lang), figure in zip(rows, want):
+        r = got[i]
+        assert r.word_figure == (None if figure is None else pytest.approx(figure, abs=1e-9))
+        n_words, word_chars, _, _, repeated = slow_counts(text)
+        kept = n_words >= 10 and 100 * repeated <= 20 * n_words
+        if kept:
+            (m, d), (wm, wd) = bands[lang]
+            kept = abs(r.figure - m) <= 3 * math.sqrt(d * d + 2 / (word_chars + n_words)) and r.word_figure <= wm + 3 * math.sqrt(wd * wd + 16 / n_words)
+        assert r.kept == kept
+    assert len(judged) == len(rows) and 60 < sum(r.kept for r in judged) < len(rows)
+
+
+def test_letters_are_not_folded_together(spark):
+    """A text whose words no other text holds, though all its symbols are those of a text that is kept."""
+    known = "камни лодка бабка мягко глина дождь книга банка егоза".split()
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(known) for _ in range(60)) for _ in range(60)]
+    other = texts[0].translate({ord(c): ord(c) + 7 for c in "абвгдежзи"} | {ord(c): ord(c) - 7 for c in "йклмноп"})
+    assert other.encode().translate(perplexity.ALPHABET) == texts[0].encode().translate(perplexity.ALPHABET)
+    docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate([*texts, other])], "doc_id long, text string, lang string")
+    got = {r.row.doc_id: r for r in perplexity.judge(docs, ["doc_id"]).collect()}
+    assert got[0].figure == got[60].figure and got[0].kept and not got[60].kept and sum(r.kept for r in got.values()) >= 50
+
+
+def test_blocks_shards_and_passes_do_not_show(spark, monkeypatch, tmp_path):
+    """Copies within a block, across blocks and in equal blocks; a model of one language a pass."""
+    rows = word_rows()
+    path = str(tmp_path / "docs")
+    docs = spark.createDataFrame(rows + rows, "doc_id long, text string, lang string").coalesce(1)
+    docs.write.parquet(path)
+
+    def judged():
+        found = perplexity.judge(spark.read.parquet(path), ["doc_id"], stored=True).collect()
+        return Counter((r.row.doc_id, r.figure and round(r.figure, 6), r.word_figure and round(r.word_figure, 9), r.kept) for r in found)
+
+    whole = judged()
+    assert sum(whole.values()) == 2 * len(rows)
+    for bytes_ in (400, 20_000):
+        monkeypatch.setattr(word_pairs, "BLOCK_BYTES", bytes_)
+        monkeypatch.setattr(word_pairs, "SHARD_BYTES", 5_000)
+        monkeypatch.setattr(perplexity, "MODEL_BYTES", bytes_)
+        assert judged() == whole
+
+
+def test_block_without_an_answer_fails(tmp_path):
+    with pytest.raises(ValueError, match="second reading"):
+        word_pairs.totals(tmp_path.as_uri(), 0, np.array([1]), np.array([1]))
+
+
+def test_packed_integers_and_words_of_scripts_without_spaces():
+    values = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    assert word_pairs.unpack(word_pairs.pack(values), len(values)).tolist() == values.tolist()
+    assert word_pairs.unpack(word_pairs.pack(values[:0]), 0).tolist() == []
+    for texts in (["a bc\x0bc  ", None, "", "水河a石 été", "x水", "水 ไท", "a𠀀b", "é\xa0é"], ["", None]):
+        found, sizes = word_pairs.words(texts)
+        want = [["a", "bc", "c"], [], [], ["水", "河", "a", "石", "été"], ["x", "水"], ["水", "ไ", "ท"], ["a", "𠀀", "b"], ["é\xa0é"]][: len(texts)] if texts[0] else [[], []]
+        assert sizes.tolist() == list(map(len, want))
+        flat = sum(want, [])
+        assert len(set(found.tolist())) == len(set(flat)) and all((found[i] == found[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------
 
 
