@@ -4,8 +4,11 @@ import binascii
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -422,6 +425,16 @@ def test_blocks_shards_and_passes_do_not_show(spark, monkeypatch, tmp_path):
         assert judged() == whole
 
 
+def test_tasks_get_the_word_model_as_code():
+    """Workers need not have the package: what a task runs is pickled whole, with no module of it by name."""
+    from pyspark import cloudpickle
+
+    parts = cloudpickle.dumps([perplexity.blocks, perplexity.weighed])
+    script = "import pickle, sys; sys.path = [p for p in sys.path if p not in ('', sys.argv[1])]; blocks, weighed = pickle.load(sys.stdin.buffer); print(list(blocks([])))"
+    done = subprocess.run([sys.executable, "-c", script, os.path.dirname(entry_module.__file__)], input=parts, capture_output=True, cwd="/", env={**os.environ, "PYTHONPATH": ""})
+    assert done.stdout == b"[]\n", done.stderr
+
+
 def test_block_without_an_answer_fails(tmp_path):
     with pytest.raises(ValueError, match="second reading"):
         word_pairs.totals(tmp_path.as_uri(), 0, np.array([1]), np.array([1]))
